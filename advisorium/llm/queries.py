@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from advisorium.llm import url_filter
+from advisorium.llm import sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +36,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def portions(batch: pa.RecordBatch, text_column: int, at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about at_once text bytes, so that a worker's memory doesn't follow the batch's size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= at_once or i == len(sizes) - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, total = i + 1, 0
+
+
 def lower_ascii(c: Column | str) -> Column:
     """A-Z to a-z; all other characters stay."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,11 +18,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import table
+from advisorium.llm.common import portions, table
 
 SPACE = "▁"
 #: Chunks that a worker remembers (about 150 bytes each) before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 class Codec:
@@ -165,7 +165,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(model_path)
         sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out: dict[str, list] = {k: [] for k in schema.names}
             for text, (chunks, ids) in zip(texts, code.encode(texts), strict=True):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from advisorium.llm import packing, sentencepiece_codec, url_filter
+from advisorium.llm import minhash, packing, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op8_packing": packing.op8_packing,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
+    "op10_minhash": minhash.SQL,
 }

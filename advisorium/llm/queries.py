@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from advisorium.llm import minhash, packing, pii, quality, secrets, sentencepiece_codec, url_filter
+from advisorium.llm import langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
+    "op5_language": langid.op5_language,
     "op6_secrets": secrets.op6_secrets,
     "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from advisorium.llm import langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, url_filter
+from advisorium.llm import langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_topk": topk.op2_topk,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
     "op5_language": langid.op5_language,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
+    "op2_topk": topk.SQL,
     "op10_minhash": minhash.SQL,
 }

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from advisorium.llm.common import connected_components, cut, portions, table
 
 BANDS, ROWS = 45, 5
 SKETCH_BITS = 512
+#: Members of a bucket that are compared in one block.
+GROUP = 4096
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _RANDOM = np.random.default_rng(20240607)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -176,11 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = cut(component, "component")
         # buckets that lie in one component have nothing more to tell
         held = buckets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        held = held.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).where("low < high").select("key", "rep", "component")
-        held = cut(held, "open")
-        other = held.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-        pairs = held.withColumnRenamed("rep", "a").join(other, "key").where("component < other")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        held = held.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).withColumn("m", F.count("*").over(bucket)).where("low < high")
+        pairs = cut(open_pairs(held.select("key", "rep", "component", "m"), sketches, percent), "open").distinct()
         candidates = pairs.join(tried.distinct(), ["a", "b"], "left_anti")
     else:
         raise RuntimeError(f"candidate pairs were left after {rounds} rounds")
@@ -191,6 +191,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def open_pairs(held: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in one bucket and different components whose set sizes and odd sketches allow the similarity.
+
+    held has key, rep, component and m, the number of its bucket's members. Members are compared by sketch in
+    blocks of about GROUP, larger buckets by pairs of blocks in tasks of their own; only likely pairs are written.
+    """
+    blocks = F.ceil(F.col("m") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    rows = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "rep", "component", (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("inner"))
+    rows = rows.join(sketches.select("rep", "n_shingles", "sketch"), "rep").select("g", "rep", "component", "upper", "inner", "n_shingles", "sketch")
+    limit = most_flipped(percent / 100)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def likely(rep: np.ndarray, component: np.ndarray, upper: np.ndarray, inner: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
+        left, right = (np.arange(len(rep)),) * 2 if inner[0] else (np.flatnonzero(~upper), np.flatnonzero(upper))
+        found = []
+        for part in np.array_split(left, len(left) * max(len(right), 1) // 500_000 + 1):
+            flipped = np.bitwise_count(sketch[part][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
+            x, y = n[part][:, None], n[right][None]
+            fit = (flipped <= limit) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (component[part][:, None] != component[right][None])
+            i, j = np.nonzero(fit)
+            pair = np.sort(np.stack((rep[part][i], rep[right][j])), axis=0)
+            found.append(pair[:, pair[0] < pair[1]])
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in _with_end(batches):
+            whole = pa.Table.from_batches([batch]) if batch is not None else None
+            both = whole if rest is None else rest if whole is None else pa.concat_tables([rest, whole])
+            if both is None or not both.num_rows:
+                continue
+            g = both.column("g").to_numpy()
+            edges = np.flatnonzero(np.diff(g)) + 1
+            last = len(g) if batch is None else int(edges[-1]) if len(edges) else 0
+            rest = both.slice(last)
+            done = both.slice(0, last).combine_chunks()
+            if not done.num_rows:
+                continue
+            columns = [done.column(k).to_numpy() for k in ("rep", "component", "upper", "inner", "n_shingles")]
+            sketch = pc.list_flatten(done.column("sketch")).to_numpy().reshape(done.num_rows, -1)
+            found = []
+            for start, end in zip([0, *edges[edges < last]], [*edges[edges < last], last], strict=True):
+                if end - start > 1:
+                    found += likely(*(x[start:end] for x in columns), sketch[start:end])
+            pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            pairs = np.unique(pairs, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=schema)
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def probable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes allow the similarity and whose odd sketches differ in few enough bits."""
     one = sketches.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("digest").alias("da"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from advisorium.llm import langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter
+from advisorium.llm import hnsw, langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
+    "op9_hnsw": hnsw.op9_hnsw,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
     "op2_topk": topk.SQL,
+    "op9_hnsw": hnsw.SQL,
     "op10_minhash": minhash.SQL,
 }

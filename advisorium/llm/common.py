@@ -36,6 +36,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to this many are broadcast, 8 bytes each.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in rejected's column id; rows with a null id stay.
+
+    The ids are counted first: up to BROADCAST_IDS of them are broadcast, more are met by shuffle.
+    """
+    ids = cut(rejected.select(F.col("id").alias("r_id")).where("r_id is not null").distinct(), "rejected")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["r_id"], "left_anti")
+
+
 def portions(batch: pa.RecordBatch, text_column: int, at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about at_once text bytes, so that a worker's memory doesn't follow the batch's size."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()

@@ -74,7 +74,7 @@ def bootstrap(mentions: DataFrame, rounds: int = 3, least_support: int = 3, leas
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
-    """One row per input row: row, doc_id, n_email, n_ip, n_card, n_phone, base (spans), spans (all); a span has kind, begin, finish.
+    """One row per input row: row, doc_id, digest (the text's xxhash64), n_email, n_ip, n_card, n_phone, base (spans), spans (all); a span has kind, begin, finish.
 
     Spans are in code points, end exclusive, by kind and then start. Identifiers found by bootstrapping are
     spans of kind found and touch no base span.
@@ -89,17 +89,17 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.where(ok)
     span = F.struct("kind", "begin", "finish")
     mention = F.struct("kind", "begin", "finish", F.col("value").alias("token"), patterns_of(F.col("left"), F.col("value")).alias("patterns"))
-    by_row = found.groupBy("row", "doc_id").agg(F.collect_list(F.when(~token, span)).alias("base"), F.collect_list(F.when(token, mention)).alias("mentions"))
+    by_row = found.groupBy("row", "doc_id", "digest").agg(F.collect_list(F.when(~token, span)).alias("base"), F.collect_list(F.when(token, mention)).alias("mentions"))
     touches = lambda m: F.exists("base", lambda b: (b["begin"] < m["finish"]) & (m["begin"] < b["finish"]))
     mentions = F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["begin"].alias("begin"), m["finish"].alias("finish"), m["token"].alias("token"), m["patterns"].alias("patterns"), touches(m).alias("seed")))
-    by_row = cut(by_row.select("row", "doc_id", F.array_sort("base").alias("base"), mentions.alias("mentions")), "mentions")
+    by_row = cut(by_row.select("row", "doc_id", "digest", F.array_sort("base").alias("base"), mentions.alias("mentions")), "mentions")
     each = by_row.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     more = bootstrap(each.select("token", "seed", "patterns"), rounds, least_support, least_confidence)
     added = each.where("not seed").join(more, "token", "left_semi").groupBy("row").agg(F.collect_list(F.struct("kind", "begin", "finish")).alias("added"))
     none = F.array().cast("array<struct<kind:int,begin:bigint,finish:bigint>>")
     number = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
-    out = by_row.select("row", "doc_id", "base").join(added, "row", "left")
-    return out.select("row", "doc_id", *[number(k).alias(f"n_{NAMES[k]}") for k in range(FOUND)], "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    out = by_row.select("row", "doc_id", "digest", "base").join(added, "row", "left")
+    return out.select("row", "doc_id", "digest", *[number(k).alias(f"n_{NAMES[k]}") for k in range(FOUND)], "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

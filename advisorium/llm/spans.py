@@ -32,7 +32,7 @@ def numbered(k: int, context: bool) -> Callable[[Column, Column], Column]:
 
 
 def matches(docs: DataFrame, kinds: list[Kind], id_col: str, text_col: str) -> DataFrame:
-    """One row per match: row, doc_id, kind (its place in kinds), begin, finish, value, left; texts without one give a row with kind null.
+    """One row per match: row, doc_id, digest (the text's xxhash64), kind (its place in kinds), begin, finish, value, left; texts without one give a row with kind null.
 
     Matches are leftmost and do not overlap within a kind. row numbers the input rows, so that repeated ids
     stay apart. A null text is read as empty.
@@ -47,11 +47,11 @@ def matches(docs: DataFrame, kinds: list[Kind], id_col: str, text_col: str) -> D
         has = text.rlike(kind.pattern) if not kind.only_if else text.contains(kind.only_if) & text.rlike(kind.pattern)
         found.append(F.when(has, F.transform(zipped, numbered(k, kind.context))))
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,n:int,value:string,left:string>>")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("m_text"))
-    rows = rows.select("row", "doc_id", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in found])).alias("m")).select("row", "doc_id", "m.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("m_text")).withColumn("digest", F.xxhash64("m_text"))
+    rows = rows.select("row", "doc_id", "digest", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in found])).alias("m")).select("row", "doc_id", "digest", "m.*")
     upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.repartition("row").withColumn("finish", F.sum(F.col("gap").cast("long") + F.col("n")).over(upto))
-    return placed.select("row", "doc_id", "kind", (F.col("finish") - F.col("n")).alias("begin"), "finish", "value", "left")
+    return placed.select("row", "doc_id", "digest", "kind", (F.col("finish") - F.col("n")).alias("begin"), "finish", "value", "left")
 
 
 def joined(spans: Column, names: list[str]) -> Column:

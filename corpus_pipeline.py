@@ -1,16 +1,63 @@
-"""The corpus pipeline: language ID, quality, near-duplicates, personal data, packing."""
+"""The corpus pipeline: language ID, quality, near-duplicates, personal data, packing.
+
+Every stage takes what its predecessor kept, with the columns of documents, and works on all of it. Rows of
+a repeated id share one decision: they go only if all of them are rejected.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from advisorium.llm import langid, minhash, packing, pii, quality
+from advisorium.llm.common import cut, without
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents whose language can't be told: those without letters, or less than half likely in any language."""
+    found = cut(langid.languages_of(docs, public_tokenizers.path("piece_bpe_32k.model")), "language")
+    sure = (F.col("lang_pred") != "und") & (F.col("score") >= 0.5)
+    return without(docs, found.groupBy(F.col("doc_id").alias("id")).agg(F.max(sure).alias("keep")).where("not keep"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the quality classifier, learnt from the labels of those at hand, predicts to be bad."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    found = cut(quality.quality_scores(docs, labels), "quality")
+    return without(docs, found.groupBy(F.col("doc_id").alias("id")).agg(F.max("predicted").alias("keep")).where("keep = 0"))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest id."""
+    found = minhash.near_duplicates(docs)
+    return without(docs, found.where("not kept").select(F.col("doc_id").alias("id")))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind in angle brackets."""
+    found = pii.personal_spans(docs).where(F.size("spans") > 0)
+    # equal texts have equal spans, so the text's hash tells rows of a repeated id apart
+    found = found.select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest"), "spans").dropDuplicates(["s_id", "s_digest"])
+    both = docs.join(found, docs["doc_id"].eqNullSafe(F.col("s_id")) & (F.xxhash64("text") == F.col("s_digest")), "left")
+    clean = F.when(F.col("spans").isNotNull(), pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    length = F.when(F.col("spans").isNotNull(), F.length("clean").cast("long")).otherwise(F.col("n_chars"))
+    return both.withColumn("clean", clean).withColumn("n_chars", length).withColumn("text", F.col("clean")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in sequences of 1024 ids."""
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [("language", language), ("quality", good), ("near_duplicates", unique), ("personal_data", private), ("packing", packed)]
+#: Quality and language scores are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages."""
+    """documents through all stages, each written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,15 +1,15 @@
-"""Registry of the library's queries and their SQL oracles."""
+"""The library's queries and their SQL oracles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from advisorium.plans import record_queries
+from advisorium.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records a day, until the catalogue's own queries are registered."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    """Bulletin cards by product."""
+    return record_queries.product_cards(spark, sf_dir)

@@ -43,7 +43,11 @@ def repeats_like_a_menu(text: Column) -> Column:
 def language_by_stop_words(text: Column, upto: int = 6000) -> Column:
     """The language with most stop words in the first characters, ties in order of name; null if there is none."""
     words = F.split(F.lower(F.substring(text, 1, upto)), r"[^a-zäöüßàâçéèêëîïôûùñáíóú]+")
-    counts = [F.struct(F.size(F.filter(words, lambda w, x=x: w.isin(x))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, x) in enumerate(sorted(STOP_WORDS.items()))]
+
+    def count(own: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(own)))
+
+    counts = [F.struct(count(own).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("lang")) for k, (name, own) in enumerate(sorted(STOP_WORDS.items()))]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["lang"])
 

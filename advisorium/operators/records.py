@@ -135,5 +135,9 @@ def alias_match(records: DataFrame, products: DataFrame, text: str) -> DataFrame
     names = products.select("name", F.array_join(F.split(F.lower("name"), "[^a-z0-9]+"), " ").alias("gram"), F.size(F.split(F.lower("name"), "[^a-z0-9]+")).alias("n")).distinct()
     longest = names.agg(F.max("n")).first()[0] or 1
     words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(1, longest + 1)]))
+
+    def of_size(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    grams = F.flatten(F.array(*[of_size(n) for n in range(1, longest + 1)]))
     return records.withColumn("gram", F.explode(F.array_distinct(grams))).join(small(names.select("name", "gram")), "gram").drop("gram")

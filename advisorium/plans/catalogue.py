@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advisorium.plans import record_queries
+from advisorium.plans import record_queries, text_queries
 from advisorium.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "text_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,11 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def patterns_of(left: Column, token: Column) -> Column:
-    """The lexical patterns of an instance: the word before it, and the two words before it, each with the token's shape."""
+    """The lexical patterns of an instance: the word before it, and the two words before it, each with the token's shape:
+    an at sign, at least four digits, or fewer."""
     words = F.slice(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != ""), -2, 2)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(token, 1, 64), r"\p{L}+", "a"), "[0-9]+", "0"), r"[^a0@.+/=:-]+", "_")
+    digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
+    shape = F.when(token.contains("@"), "@").when(digits >= 4, "0000").otherwise("0")
     near = F.when(F.size(words) > 0, F.concat_ws(" ", F.element_at(words, -1), shape))
     both = F.when(F.size(words) > 1, F.concat_ws(" ", F.array_join(words, " "), shape))
     return F.filter(F.array(near, both), lambda p: p.isNotNull())

@@ -33,8 +33,8 @@ LEAST_ASSIGNED = 12
 def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
     """For each pair of characters (row by row of the alphabet) the log of how much likelier the step is in random strings.
 
-    A step's chance is its count, smoothed by the chance of its second character, which is smoothed by a
-    uniform one. At most len(ALPHABET) squared numbers come to the driver.
+    A step's chance is its count, smoothed by weight times the chance of its second character. The weight is
+    large for ordinary strings, so that an unlabelled secret among them doesn't make its own steps likely. At most len(ALPHABET) squared numbers come to the driver.
     """
     size = len(ALPHABET)
 
@@ -42,13 +42,13 @@ def log_ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
         pairs = samples.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2)))).alias("pair"))
         return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
 
-    def chances(count: dict[str, int]) -> list[float]:
+    def chances(count: dict[str, int], weight: float) -> list[float]:
         single = {b: sum(count.get(a + b, 0) for a in ALPHABET) + 1 for b in ALPHABET}
         total = sum(single.values())
         before = {a: sum(count.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
-        return [(count.get(a + b, 0) + 4 * single[b] / total) / (before[a] + 4) for a in ALPHABET for b in ALPHABET]
+        return [(count.get(a + b, 0) + weight * single[b] / total) / (before[a] + weight) for a in ALPHABET for b in ALPHABET]
 
-    likely, plain = (chances(steps(x.where(F.length("value") > 1))) for x in (random, ordinary))
+    likely, plain = (chances(steps(x.where(F.length("value") > 1)), weight) for x, weight in ((random, 20.0), (ordinary, 200.0)))
     assert len(likely) == size * size
     return [math.log(x / y) for x, y in zip(likely, plain, strict=True)]
 

@@ -51,6 +51,14 @@ def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> Dat
     return docs.join(ids, docs[id_col] == ids["r_id"], "left_anti")
 
 
+def only(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with an id in wanted's column id; counted and broadcast, or met by shuffle, as in without()."""
+    ids = cut(wanted.select(F.col("id").alias("w_id")).where("w_id is not null").distinct(), "wanted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["w_id"], "left_semi")
+
+
 def portions(batch: pa.RecordBatch, text_column: int, at_once: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about at_once text bytes, so that a worker's memory doesn't follow the batch's size."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()

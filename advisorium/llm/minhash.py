@@ -3,8 +3,9 @@
 Whole texts become sets of word shingles. MinHash samples give bands for candidate search, and are folded
 into a parity bitmap (odd sketch) whose XOR population count estimates how alike two candidates are; only
 likely ones are confirmed, on the full sets. Equal sets are one class from the start, so that copies make
-no pairs. In each bucket all members are first compared with the smallest; after that, only members that
-are still in different components are compared, so a large group of near copies never makes all its pairs.
+no pairs. In each bucket all members are first compared with the smallest. After that, only members that
+are still in different components are compared, their likeliest partners first and then ever more of them,
+until none is left untried: a large group of near copies joins early and never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import connected_components, cut, portions, table
+from advisorium.llm.common import connected_components, cut, only, portions, table
 
 BANDS, ROWS = 45, 5
 SKETCH_BITS = 512
@@ -168,9 +169,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = buckets.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tried = links = None
     sketches = leads.select("rep", "digest", "n_shingles", "sketch")
+    width, cut_short = 2, True
     for _ in range(rounds):
         likely = cut(probable(candidates, sketches, percent), "likely")
-        if tried is not None and likely.isEmpty():
+        if not cut_short and likely.isEmpty():
             break
         true = cut(confirmed(likely, docs, repeats, id_col, text_col, words, percent), "links")
         links = true if links is None else links.unionByName(true)
@@ -180,8 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # buckets that lie in one component have nothing more to tell
         held = buckets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         held = held.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).withColumn("m", F.count("*").over(bucket)).where("low < high")
-        pairs = cut(open_pairs(held.select("key", "rep", "component", "m"), sketches, percent), "open").distinct()
-        candidates = pairs.join(tried.distinct(), ["a", "b"], "left_anti")
+        pairs = cut(open_pairs(held.select("key", "rep", "component", "m"), sketches, percent, width), "open")
+        cut_short, width = not pairs.where("a is null").isEmpty(), width * 4
+        candidates = pairs.where("a is not null").distinct().join(tried.distinct(), ["a", "b"], "left_anti")
     else:
         raise RuntimeError(f"candidate pairs were left after {rounds} rounds")
 
@@ -191,9 +194,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def open_pairs(held: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) in one bucket and different components whose set sizes and odd sketches allow the similarity.
 
+    Each member gets its width likeliest partners of other components; where it has more, a row of nulls tells
+    that the bucket must be asked again, with a larger width, once these pairs have joined what they can.
+
     held has key, rep, component and m, the number of its bucket's members. Members are compared by sketch in
     blocks of about GROUP, larger buckets by pairs of blocks in tasks of their own; only likely pairs are written.
     """
@@ -205,13 +211,20 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     limit = most_flipped(percent / 100)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def likely(rep: np.ndarray, component: np.ndarray, upper: np.ndarray, inner: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
+    def likely(short: list[bool], rep: np.ndarray, component: np.ndarray, upper: np.ndarray, inner: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
         left, right = (np.arange(len(rep)),) * 2 if inner[0] else (np.flatnonzero(~upper), np.flatnonzero(upper))
         found = []
         for part in np.array_split(left, len(left) * max(len(right), 1) // 500_000 + 1):
             flipped = np.bitwise_count(sketch[part][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
             x, y = n[part][:, None], n[right][None]
             fit = (flipped <= limit) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (component[part][:, None] != component[right][None])
+            if (many := fit.sum(axis=1) > width).any():
+                flipped = np.where(fit, flipped, limit + 1)
+                last = np.sort(flipped[many], axis=1)[:, width - 1 : width]
+                # ties at the last place are all kept only as far as the width goes, in order of place
+                kept = (flipped[many] <= last) & fit[many]
+                fit[many] = kept & (np.cumsum(kept, axis=1) <= 2 * width)
+                short.append(True)
             i, j = np.nonzero(fit)
             pair = np.sort(np.stack((rep[part][i], rep[right][j])), axis=0)
             found.append(pair[:, pair[0] < pair[1]])
@@ -233,13 +246,15 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 continue
             columns = [done.column(k).to_numpy() for k in ("rep", "component", "upper", "inner", "n_shingles")]
             sketch = pc.list_flatten(done.column("sketch")).to_numpy().reshape(done.num_rows, -1)
-            found = []
+            found, short = [], []
             for start, end in zip([0, *edges[edges < last]], [*edges[edges < last], last], strict=True):
                 if end - start > 1:
-                    found += likely(*(x[start:end] for x in columns), sketch[start:end])
+                    found += likely(short, *(x[start:end] for x in columns), sketch[start:end])
             pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             pairs = np.unique(pairs, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=schema)
+            if short:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, schema=schema)
 
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
@@ -261,8 +276,8 @@ def probable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, repeats: bool, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that reach the similarity on their full sets, made anew from the texts of the documents in pairs."""
-    wanted = pairs.select(F.col("a").alias("w")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).join(wanted, F.col("d") == F.col("w"), "left_semi")
+    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b"))
+    texts = only(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")), wanted, "d")
     if repeats:
         texts = texts.dropDuplicates(["d", "t"])
     sets = sets_of(texts, "d", "t", words)

@@ -33,13 +33,6 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def repeats_like_a_menu(text: Column) -> Column:
-    """At least 8 words of over two letters, the most frequent being 40 % of them or more."""
-    words = F.filter(F.split(F.lower(text), r"[ \n\t]+"), lambda w: F.length(w) > 2)
-    most = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
-    return (F.size(words) >= 8) & F.coalesce(most >= 0.4 * F.size(words), F.lit(False))
-
-
 def language_by_stop_words(text: Column, upto: int = 6000) -> Column:
     """The language with most stop words in the first characters, ties in order of name; null if there is none."""
     words = F.split(F.lower(F.substring(text, 1, upto)), r"[^a-zäöüßàâçéèêëîïôûùñáíóú]+")

@@ -43,3 +43,13 @@ def carried_sections(texts: DataFrame, key: str, text: str, labels: dict[str, st
 def same_page_groups(pages: DataFrame) -> DataFrame:
     """Pages by what makes their urls the same: key, number of urls and the smallest of them."""
     return pages.groupBy(urls.page_key(F.col("url")).alias("page_key")).agg(F.countDistinct("url").alias("n_urls"), F.min("url").alias("first_url"))
+
+
+def repeat_like_menus(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Whether a text repeats like a menu: at least 8 words of over two letters, the most frequent being 40 % of them.
+
+    Words are counted as rows, so long texts cost their length; texts without such words have no row.
+    """
+    words = texts.select(key, F.explode(F.filter(F.split(F.lower(text), r"[ \n\t]+"), lambda w: F.length(w) > 2)).alias("word"))
+    counted = words.groupBy(key, "word").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("words"), F.max("n").alias("most"))
+    return counted.select(key, ((F.col("words") >= 8) & (F.col("most") >= 0.4 * F.col("words"))).alias("menu"))

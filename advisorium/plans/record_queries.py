@@ -289,13 +289,12 @@ def corroboration(spark: SparkSession, d: str) -> DataFrame:
     return ops.corroborated(vuln_raw(spark, d))
 
 
-@query("alias_theta_join", "SELECT DISTINCT o_orderkey AS id, p_name AS name FROM (SELECT o_orderkey, 'seen in ' || p.p_name || '; not in x' || p.p_name AS note FROM orders JOIN (SELECT p_partkey, p_name FROM part) p ON o_orderkey % 2000 = p_partkey) t JOIN (SELECT DISTINCT p_name FROM part) n ON regexp_matches(lower(note), '(^|[^a-z0-9])' || lower(n.p_name) || '([^a-z0-9]|$)')")
+@query("alias_theta_join", sql("SELECT DISTINCT cve_id, p_name AS name FROM (SELECT cve_id, 'seen in ' || product || '; not in x' || vendor AS note FROM vuln_raw) JOIN (SELECT DISTINCT p_name FROM part) n ON regexp_matches(lower(note), '(^|[^a-z0-9])' || lower(n.p_name) || '([^a-z0-9]|$)')"))
 def alias_join(spark: SparkSession, d: str) -> DataFrame:
     """Names in texts at word bounds, by n-grams and an equi-join in place of a nested loop."""
-    part = table(spark, d, "part").select("p_partkey", "p_name")
-    notes = table(spark, d, "orders").join(part, F.col("o_orderkey") % 2000 == F.col("p_partkey"))
-    notes = notes.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("seen in "), "p_name", F.lit("; not in x"), "p_name").alias("note"))
-    return ops.alias_match(notes, part.select(F.col("p_name").alias("name")), "note").select("id", "name").distinct()
+    note = F.concat(F.lit("seen in "), "product", F.lit("; not in x"), "vendor")
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"))
+    return ops.alias_match(vuln_raw(spark, d).select("cve_id", note.alias("note")), names, "note").select("cve_id", "name").distinct()
 
 
 @query("asof_last_run", "SELECT event_id, last_run::DATE::VARCHAR AS last_run FROM events e ASOF LEFT JOIN (SELECT user_id, ts AS last_run FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'signup')) r ON e.user_id = r.user_id AND e.ts >= r.last_run WHERE event_type <> 'signup'")

@@ -142,10 +142,10 @@ def capped_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.capped(F.col("text"), 120).alias("short"))
 
 
-@query("menu_detector", "SELECT doc_id, len(w) >= 8 AND coalesce(list_max(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)))) >= 0.4 * len(w), false) AS menu FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\n\\t]+'), lambda x: length(x) > 2) AS w FROM documents WHERE length(text) < 600)")
+@query("menu_detector", "SELECT doc_id, sum(n) >= 8 AND max(n) >= 0.4 * sum(n) AS menu FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\n\\t]+')) AS word FROM documents) WHERE length(word) > 2 GROUP BY ALL) GROUP BY doc_id")
 def menu_detector(spark: SparkSession, d: str) -> DataFrame:
-    """Short texts that repeat like a menu."""
-    return table(spark, d, "documents").where("length(text) < 600").select("doc_id", text.repeats_like_a_menu(F.col("text")).alias("menu"))
+    """Texts that repeat like a menu."""
+    return pg.repeat_like_menus(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("last_exchanges", "SELECT conv_id, list(turn ORDER BY turn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 4 GROUP BY conv_id")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advisorium.plans import record_queries, state_queries, text_queries
+from advisorium.plans import more_queries, record_queries, state_queries, text_queries
 from advisorium.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "state_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "more_queries", "state_queries", "text_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,7 +259,8 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = 1024, id_col: str =
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int")
+    # rows of one repeated document are spread too; the groups are written with the pieces, and so stay as they are
+    group = F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(RANK_GROUPS)).cast("int")
     found = cut(pieces(docs, tokenizer_path, size, id_col, text_col).withColumn("g", group), "pieces")
     # at most size x RANK_GROUPS rows, whatever the number of pieces
     counts = found.groupBy("length", "g").agg(F.count("*").alias("n"))

@@ -104,11 +104,11 @@ def week_preset(spark: SparkSession, d: str) -> DataFrame:
     return vuln_raw(spark, d).groupBy(F.to_date(F.date_trunc("week", "published_at")).cast("string").alias("week")).agg(F.count("*").alias("n"))
 
 
-@query("prefix_containment_join", "SELECT DISTINCT n_name AS name, r_name AS region FROM nation JOIN region ON starts_with(n_name, left(r_name, 1)) OR contains(n_name, left(r_name, 2))")
+@query("prefix_containment_join", "SELECT DISTINCT n_name AS name, r_name AS region FROM nation JOIN region ON starts_with(n_name, left(r_name, 1)) OR contains(n_name, left(r_name, 1))")
 def prefix_containment(spark: SparkSession, d: str) -> DataFrame:
     """A containment join against a counted small side."""
     region = ops.small(table(spark, d, "region"))
-    met = F.startswith("n_name", F.left("r_name", F.lit(1))) | F.contains("n_name", F.left("r_name", F.lit(2)))
+    met = F.startswith("n_name", F.left("r_name", F.lit(1))) | F.contains("n_name", F.left("r_name", F.lit(1)))
     return table(spark, d, "nation").join(region, met).select(F.col("n_name").alias("name"), F.col("r_name").alias("region")).distinct()
 
 

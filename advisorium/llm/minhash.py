@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from advisorium.llm.common import connected_components, cut, only, portions, table
 
 BANDS, ROWS = 45, 5
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 #: Members of a bucket that are compared in one block.
 GROUP = 4096
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -95,12 +95,14 @@ def odd_sketch(least: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 def most_flipped(similarity: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS, deviations: float = 4.5) -> int:
     """XOR bits that sketches of sets this similar, or more, exceed with a chance of about 3e-6.
 
-    Each of the samples differs with chance 1 - similarity and then flips two places; the number of differing
-    samples stays under its mean plus deviations standard deviations, and so does the number of odd places.
+    Each of the samples differs with chance 1 - similarity and then flips two places. The number of odd places
+    varies with the number of differing samples and with places that are hit twice; both variances are exact.
     """
-    unlike = samples * (1 - similarity) + deviations * np.sqrt(samples * similarity * (1 - similarity))
-    share = (1 - (1 - 2 / bits) ** (2 * min(unlike, samples))) / 2
-    return int(np.ceil(bits * share + deviations * np.sqrt(bits * share * (1 - share)) * 0.5))
+    flips = 2 * samples * (1 - similarity)
+    even, pairs = (1 - 2 / bits) ** flips, (1 - 4 / bits) ** flips
+    twice = (bits + bits * (bits - 1) * pairs - bits**2 * even**2) / 4
+    slope = -bits * np.log(1 - 2 / bits) * even
+    return int(np.ceil(bits * (1 - even) / 2 + deviations * np.sqrt(twice + slope**2 * samples * similarity * (1 - similarity))))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = buckets.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     tried = links = None
     sketches = leads.select("rep", "digest", "n_shingles", "sketch")
-    width, cut_short = 2, True
+    width, cut_short = 8, True
     for _ in range(rounds):
         likely = cut(probable(candidates, sketches, percent), "likely")
         if not cut_short and likely.isEmpty():
@@ -183,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         held = buckets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         held = held.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).withColumn("m", F.count("*").over(bucket)).where("low < high")
         pairs = cut(open_pairs(held.select("key", "rep", "component", "m"), sketches, percent, width), "open")
-        cut_short, width = not pairs.where("a is null").isEmpty(), width * 4
+        cut_short, width = not pairs.where("a is null").isEmpty(), width * 8
         candidates = pairs.where("a is not null").distinct().join(tried.distinct(), ["a", "b"], "left_anti")
     else:
         raise RuntimeError(f"candidate pairs were left after {rounds} rounds")
@@ -212,12 +214,15 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def likely(short: list[bool], rep: np.ndarray, component: np.ndarray, upper: np.ndarray, inner: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
-        left, right = (np.arange(len(rep)),) * 2 if inner[0] else (np.flatnonzero(~upper), np.flatnonzero(upper))
-        found = []
-        for part in np.array_split(left, len(left) * max(len(right), 1) // 500_000 + 1):
-            flipped = np.bitwise_count(sketch[part][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
-            x, y = n[part][:, None], n[right][None]
-            fit = (flipped <= limit) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (component[part][:, None] != component[right][None])
+        # every pair across components has a member outside the largest one: those members ask for partners
+        names, counts = np.unique(component, return_counts=True)
+        left, found = np.flatnonzero(component != names[counts.argmax()]), []
+        for part in np.array_split(left, len(left) * len(rep) // 500_000 + 1):
+            flipped = np.bitwise_count(sketch[part][:, None] ^ sketch[None]).sum(axis=2, dtype=np.int32)
+            x, y = n[part][:, None], n[None]
+            fit = (flipped <= limit) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (component[part][:, None] != component[None])
+            if not inner[0]:
+                fit &= upper[part][:, None] != upper[None]
             if (many := fit.sum(axis=1) > width).any():
                 flipped = np.where(fit, flipped, limit + 1)
                 last = np.sort(flipped[many], axis=1)[:, width - 1 : width]
@@ -226,7 +231,7 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -
                 fit[many] = kept & (np.cumsum(kept, axis=1) <= 2 * width)
                 short.append(True)
             i, j = np.nonzero(fit)
-            pair = np.sort(np.stack((rep[part][i], rep[right][j])), axis=0)
+            pair = np.sort(np.stack((rep[part][i], rep[j])), axis=0)
             found.append(pair[:, pair[0] < pair[1]])
         return found
 
@@ -245,7 +250,8 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -
             if not done.num_rows:
                 continue
             columns = [done.column(k).to_numpy() for k in ("rep", "component", "upper", "inner", "n_shingles")]
-            sketch = pc.list_flatten(done.column("sketch")).to_numpy().reshape(done.num_rows, -1)
+            # unsigned: numpy counts the bits of a negative number's absolute value
+            sketch = pc.list_flatten(done.column("sketch")).to_numpy().view(np.uint64).reshape(done.num_rows, -1)
             found, short = [], []
             for start, end in zip([0, *edges[edges < last]], [*edges[edges < last], last], strict=True):
                 if end - start > 1:

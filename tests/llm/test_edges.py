@@ -280,3 +280,16 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_odd_sketches_estimate_high_similarities():
+    rng = np.random.default_rng(8)
+    passed = {}
+    for common in (771, 600, 300):  # of 900 each: similarities of 0.75, 0.5 and 0.2
+        flipped = []
+        for _ in range(60):
+            x = rng.integers(0, 2**63, 1800, dtype=np.uint64)
+            a, b = (minhash.odd_sketch(minhash.min_hashes(np.sort(s))) for s in (x[:900], np.concatenate((x[:common], x[900 : 1800 - common]))))
+            flipped.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
+        passed[common] = np.mean(np.array(flipped) <= minhash.most_flipped(0.75))
+    assert passed[771] == 1 and passed[600] < 0.1 and passed[300] == 0

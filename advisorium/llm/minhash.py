@@ -1,11 +1,12 @@
 """Operator 10, MinHash near-duplicates with odd sketches.
 
-Whole texts become sets of word shingles. MinHash samples give bands for candidate search, and are folded
-into a parity bitmap (odd sketch) whose XOR population count estimates how alike two candidates are; only
-likely ones are confirmed, on the full sets. Equal sets are one class from the start, so that copies make
-no pairs. In each bucket all members are first compared with the smallest. After that, only members that
-are still in different components are compared, their likeliest partners first and then ever more of them,
-until none is left untried: a large group of near copies joins early and never makes all its pairs.
+Whole texts become sets of word shingles. MinHash samples of many hash functions give bands for candidate
+search. MinHash samples of one permutation, the smallest of each of its bins, are folded into a parity bitmap
+(odd sketch) whose XOR population count estimates how alike two candidates are; only likely ones are confirmed,
+on the full sets. Equal sets are one class from the start, so that copies make no pairs. In each bucket all
+members are first compared with the smallest. After that, only members that are still in different components
+are compared, their likeliest partners first and then ever more of them, until none is left untried: a large
+group of near copies joins early and never makes all its pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from advisorium.llm.common import connected_components, cut, only, portions, table
 
 BANDS, ROWS = 45, 5
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
+#: Bins of the one permutation whose samples are folded into the sketch.
+SKETCH_BINS = 2048
 #: Members of a bucket that are compared in one block.
 GROUP = 4096
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -31,7 +34,9 @@ _BASE = np.uint64(int(_RANDOM.integers(2**62)) * 2 + 1)
 _PLACE = _RANDOM.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _MULTIPLY = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_SAMPLE = _RANDOM.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+_SAMPLE = np.uint64(int(_RANDOM.integers(2**62)))
+#: Steps of a doubling of two sets' summed sizes in the table of limits; beyond the last the limit stays.
+STEPS, LAST_STEP = 16, 16 * 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,23 +91,51 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def odd_sketch(least: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Each sample flips one bit of the bitmap."""
-    at = mix(least.astype(np.uint64) ^ _SAMPLE) % np.uint64(bits)
+def odd_sketch(shingles: np.ndarray, bins: int = SKETCH_BINS, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bitmap in which each bin's smallest shingle flips one bit. shingles: sorted, as a permutation has them."""
+    own = shingles // np.uint64(2**64 // bins)
+    samples = shingles[np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint64(1)))]
+    at = mix(samples ^ _SAMPLE) % np.uint64(bits)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def most_flipped(similarity: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS, deviations: float = 4.5) -> int:
-    """XOR bits that sketches of sets this similar, or more, exceed with a chance of about 3e-6.
+def _flips(shared: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean flips of a bin, and their mean square, by the mean numbers of its shared shingles and those of one set only."""
+    rate = shared + one + two
+    differ = (one + two) / rate * -np.expm1(-rate)
+    single = np.exp(-shared - two) * -np.expm1(-one) + np.exp(-shared - one) * -np.expm1(-two)
+    return 2 * differ - single, 4 * differ - 3 * single
 
-    Each of the samples differs with chance 1 - similarity and then flips two places. The number of odd places
-    varies with the number of differing samples and with places that are hit twice; both variances are exact.
+
+def most_flipped(total: np.ndarray, similarity: float, bins: int = SKETCH_BINS, bits: int = SKETCH_BITS, deviations: float = 4.5) -> np.ndarray:
+    """XOR bits that sketches of sets this similar, or more, exceed with a chance of about 3e-6, by the sets' summed sizes.
+
+    A bin flips two places if both sets have a sample there and these differ, one if only one set has. Its
+    numbers of shingles are nearly Poisson; as all bins' sum is fixed, what follows from that sum's variation
+    is taken off. The number of odd places then varies with places that are hit twice.
     """
-    flips = 2 * samples * (1 - similarity)
-    even, pairs = (1 - 2 / bits) ** flips, (1 - 4 / bits) ** flips
-    twice = (bits + bits * (bits - 1) * pairs - bits**2 * even**2) / 4
-    slope = -bits * np.log(1 - 2 / bits) * even
-    return int(np.ceil(bits * (1 - even) / 2 + deviations * np.sqrt(twice + slope**2 * samples * similarity * (1 - similarity))))
+    total = np.asarray(total, float)
+    union = total / (1 + similarity)
+    shared, rest, most = similarity * union / bins, (1 - similarity) * union / bins, np.zeros(len(total))
+    for part in (1e-9, 0.25, 0.5):  # how the shingles that differ are split between the sets
+        rates = [shared, rest * part, rest * (1 - part)]
+        mean, square = _flips(*rates)
+        taken = np.zeros(len(total))
+        for k in range(3):
+            nudged = [r * (1 + 1e-4 * (j == k)) for j, r in enumerate(rates)]
+            taken += ((_flips(*nudged)[0] - mean) / (rates[k] * 1e-4)) ** 2 * rates[k]
+        flips, varies = bins * mean, bins * np.maximum(square - mean**2 - taken, 0)
+        even, pairs = (1 - 2 / bits) ** flips, (1 - 4 / bits) ** flips
+        twice = np.maximum((bits + bits * (bits - 1) * pairs - bits**2 * even**2) / 4, 0)
+        slope = -bits / 2 * np.log(1 - 2 / bits) * even
+        most = np.maximum(most, bits * (1 - even) / 2 + deviations * np.sqrt(twice + slope**2 * varies))
+    return np.ceil(most).astype(int) + 1
+
+
+def limits(similarity: float) -> np.ndarray:
+    """The most flipped bits of two sets by steps of their summed sizes, the larger end of each step counting."""
+    ends = 2 ** ((np.arange(LAST_STEP + 1) + 1) / STEPS)
+    return np.maximum.accumulate(most_flipped(ends, similarity))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -122,7 +155,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     key = np.arange(BANDS, dtype=np.uint64)
                     for k in range(ROWS):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grouped[:, k])
-                    row = (len(own), blake2b(own.tobytes(), digest_size=16).digest(), key.view(np.int64), odd_sketch(least))
+                    row = (len(own), blake2b(own.tobytes(), digest_size=16).digest(), key.view(np.int64), odd_sketch(own))
                 else:
                     row = (0, None, None, None)
                 for column, value in zip(out, row, strict=True):
@@ -168,25 +201,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one representative can be that of several classes only if its id is repeated; it then meets itself, which the pair filter drops
     buckets = cut(buckets.withColumn("n", F.count("*").over(bucket)).withColumn("lead", F.min("rep").over(bucket)).where("n > 1").select("key", "rep", "lead"), "buckets")
 
-    candidates = buckets.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = links = None
-    sketches = leads.select("rep", "digest", "n_shingles", "sketch")
-    width, cut_short = 8, True
+    sketches = leads.select("rep", "digest", "n_shingles", "sketch", "bands")
+    stars = buckets.where("rep > lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = cut(probable(stars, sketches, percent), "likely")
+    links = cut(confirmed(tried, docs, repeats, id_col, text_col, words, percent), "links")
+    width = 1
     for _ in range(rounds):
-        likely = cut(probable(candidates, sketches, percent), "likely")
-        if not cut_short and likely.isEmpty():
-            break
-        true = cut(confirmed(likely, docs, repeats, id_col, text_col, words, percent), "links")
-        links = true if links is None else links.unionByName(true)
-        tried = likely.select("a", "b") if tried is None else tried.unionByName(likely.select("a", "b"))
-        component = connected_components(links)
-        component = cut(component, "component")
+        component = cut(connected_components(links), "component")
         # buckets that lie in one component have nothing more to tell
         held = buckets.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         held = held.withColumn("low", F.min("component").over(bucket)).withColumn("high", F.max("component").over(bucket)).withColumn("m", F.count("*").over(bucket)).where("low < high")
         pairs = cut(open_pairs(held.select("key", "rep", "component", "m"), sketches, percent, width), "open")
-        cut_short, width = not pairs.where("a is null").isEmpty(), width * 8
-        candidates = pairs.where("a is not null").distinct().join(tried.distinct(), ["a", "b"], "left_anti")
+        fresh = cut(pairs.where("a is not null").distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+        links = links.unionByName(cut(confirmed(fresh, docs, repeats, id_col, text_col, words, percent), "links"))
+        if pairs.where("a is null").isEmpty():
+            break
+        tried, width = tried.unionByName(fresh), width * 64
     else:
         raise RuntimeError(f"candidate pairs were left after {rounds} rounds")
 
@@ -200,7 +230,8 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -
     """Pairs (a, b) in one bucket and different components whose set sizes and odd sketches allow the similarity.
 
     Each member gets its width likeliest partners of other components; where it has more, a row of nulls tells
-    that the bucket must be asked again, with a larger width, once these pairs have joined what they can.
+    that the bucket must be asked again, with a larger width, once these pairs have joined what they can. With
+    more than one partner a pair counts only in the first of the buckets that its members share.
 
     held has key, rep, component and m, the number of its bucket's members. Members are compared by sketch in
     blocks of about GROUP, larger buckets by pairs of blocks in tasks of their own; only likely pairs are written.
@@ -208,27 +239,33 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -
     blocks = F.ceil(F.col("m") / GROUP).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rows = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "rep", "component", (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("inner"))
-    rows = rows.join(sketches.select("rep", "n_shingles", "sketch"), "rep").select("g", "rep", "component", "upper", "inner", "n_shingles", "sketch")
-    limit = most_flipped(percent / 100)
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "rep", "component", (F.col("own") > F.col("other")).alias("upper"), (F.col("own") == F.col("other")).alias("inner"))
+    rows = rows.join(sketches.select("rep", "n_shingles", "sketch", *["bands"] * (width > 1)), "rep")
+    rows = rows.select("g", "rep", "component", "upper", "inner", "n_shingles", "sketch", *["key", "bands"] * (width > 1))
+    table = limits(percent / 100)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def likely(short: list[bool], rep: np.ndarray, component: np.ndarray, upper: np.ndarray, inner: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> list[np.ndarray]:
+    def likely(short: list[bool], rep: np.ndarray, component: np.ndarray, upper: np.ndarray, inner: np.ndarray, n: np.ndarray, sketch: np.ndarray, key: np.ndarray | None, bands: np.ndarray | None) -> list[np.ndarray]:
         # every pair across components has a member outside the largest one: those members ask for partners
         names, counts = np.unique(component, return_counts=True)
         left, found = np.flatnonzero(component != names[counts.argmax()]), []
         for part in np.array_split(left, len(left) * len(rep) // 500_000 + 1):
             flipped = np.bitwise_count(sketch[part][:, None] ^ sketch[None]).sum(axis=2, dtype=np.int32)
             x, y = n[part][:, None], n[None]
-            fit = (flipped <= limit) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (component[part][:, None] != component[None])
+            fit = (flipped <= table[np.minimum(np.log2(x + y) * STEPS, LAST_STEP).astype(int)]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (component[part][:, None] != component[None])
             if not inner[0]:
                 fit &= upper[part][:, None] != upper[None]
+            if bands is not None:
+                i, j = np.nonzero(fit)
+                for at in range(0, len(i), 100_000):
+                    p, q = i[at : at + 100_000], j[at : at + 100_000]
+                    first = (bands[part[p]] == bands[q]).argmax(axis=1)
+                    fit[p, q] = bands[q, first] == key[0]
             if (many := fit.sum(axis=1) > width).any():
-                flipped = np.where(fit, flipped, limit + 1)
-                last = np.sort(flipped[many], axis=1)[:, width - 1 : width]
-                # ties at the last place are all kept only as far as the width goes, in order of place
-                kept = (flipped[many] <= last) & fit[many]
-                fit[many] = kept & (np.cumsum(kept, axis=1) <= 2 * width)
+                likeliest = np.argsort(np.where(fit[many], flipped[many], SKETCH_BITS + 1), axis=1, kind="stable")[:, :width]
+                kept = np.zeros_like(fit[many])
+                np.put_along_axis(kept, likeliest, True, axis=1)
+                fit[many] = kept
                 short.append(True)
             i, j = np.nonzero(fit)
             pair = np.sort(np.stack((rep[part][i], rep[j])), axis=0)
@@ -250,12 +287,14 @@ def open_pairs(held: DataFrame, sketches: DataFrame, percent: int, width: int) -
             if not done.num_rows:
                 continue
             columns = [done.column(k).to_numpy() for k in ("rep", "component", "upper", "inner", "n_shingles")]
+            key = done.column("key").to_numpy() if width > 1 else None
+            bands = pc.list_flatten(done.column("bands")).to_numpy().reshape(done.num_rows, -1) if width > 1 else None
             # unsigned: numpy counts the bits of a negative number's absolute value
             sketch = pc.list_flatten(done.column("sketch")).to_numpy().view(np.uint64).reshape(done.num_rows, -1)
             found, short = [], []
             for start, end in zip([0, *edges[edges < last]], [*edges[edges < last], last], strict=True):
                 if end - start > 1:
-                    found += likely(short, *(x[start:end] for x in columns), sketch[start:end])
+                    found += likely(short, *(x[start:end] for x in columns), sketch[start:end], *(None if x is None else x[start:end] for x in (key, bands)))
             pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             pairs = np.unique(pairs, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=schema)
@@ -277,7 +316,8 @@ def probable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     two = sketches.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("digest").alias("db"))
     both = pairs.join(one, "a").where("a <> b").join(two, "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("da") != F.col("db")))
     flipped = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return both.where(flipped <= most_flipped(percent / 100)).select("a", "b", "na", "nb").distinct()
+    step = F.least(F.floor(F.log2((F.col("na") + F.col("nb")).cast("double")) * STEPS).cast("int"), F.lit(LAST_STEP))
+    return both.where(flipped <= F.element_at(F.lit(limits(percent / 100).tolist()), step + 1)).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, repeats: bool, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:

@@ -288,8 +288,21 @@ def test_odd_sketches_estimate_high_similarities():
     for common in (771, 600, 300):  # of 900 each: similarities of 0.75, 0.5 and 0.2
         flipped = []
         for _ in range(60):
-            x = rng.integers(0, 2**63, 1800, dtype=np.uint64)
-            a, b = (minhash.odd_sketch(minhash.min_hashes(np.sort(s))) for s in (x[:900], np.concatenate((x[:common], x[900 : 1800 - common]))))
+            x = rng.integers(0, 2**64, 1800, dtype=np.uint64)
+            a, b = (minhash.odd_sketch(np.sort(s)) for s in (x[:900], np.concatenate((x[:common], x[900 : 1800 - common]))))
             flipped.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
-        passed[common] = np.mean(np.array(flipped) <= minhash.most_flipped(0.75))
-    assert passed[771] == 1 and passed[600] < 0.1 and passed[300] == 0
+        passed[common] = np.mean(np.array(flipped) <= minhash.most_flipped([1800], 0.75)[0])
+    assert passed[771] == 1 and passed[600] == 0 and passed[300] == 0
+
+
+def test_limits_hold_for_sets_of_all_sizes():
+    rng = np.random.default_rng(9)
+    table = minhash.limits(0.75)
+    for union in (8, 40, 180, 900, 5000):
+        shared = -(-3 * union // 4)
+        for one in (0, (union - shared) // 2):  # shingles that only the first set has
+            for _ in range(200):
+                x = rng.integers(0, 2**64, union, dtype=np.uint64)
+                a, b = np.sort(x[: shared + one]), np.sort(np.concatenate((x[:shared], x[shared + one :])))
+                flipped = int(np.bitwise_count((minhash.odd_sketch(a) ^ minhash.odd_sketch(b)).view(np.uint64)).sum())
+                assert flipped <= table[int(np.log2(len(a) + len(b)) * minhash.STEPS)]

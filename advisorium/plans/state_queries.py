@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,9 @@ def date_texts(spark: SparkSession, d: str) -> DataFrame:
 @query("cvss_guard", sql("SELECT seq, CASE WHEN is_new AND solution IS NULL THEN 4.0 WHEN solution IS NULL THEN 3.1 WHEN is_new THEN 4.0 ELSE 3.1 END AS version FROM vuln_raw"))
 def cvss_guard(spark: SparkSession, d: str) -> DataFrame:
     """A newer scoring scheme is never replaced by an older or missing one."""
-    old, new = F.when(F.col("is_new"), 4.0), F.when(F.col("solution").isNull() | ~F.col("is_new"), 3.1)
-    kept = F.when(F.coalesce(new, F.lit(0.0)) >= F.coalesce(old, F.lit(0.0)), new).otherwise(old)
+    none, older, newer = (F.lit(Decimal(x)) for x in ("0.0", "3.1", "4.0"))
+    old, new = F.when(F.col("is_new"), newer), F.when(F.col("solution").isNull() | ~F.col("is_new"), older)
+    kept = F.when(F.coalesce(new, none) >= F.coalesce(old, none), new).otherwise(old)
     return vuln_raw(spark, d).select("seq", kept.alias("version"))
 
 

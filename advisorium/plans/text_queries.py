@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -202,8 +203,9 @@ def day_status(spark: SparkSession, d: str) -> DataFrame:
 @query("relevance_score", "SELECT doc_id, round(least(1.0, 0.5 + CASE WHEN n_chars > 1000 THEN 0.3 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.15 ELSE 0 END), 2) AS score FROM documents")
 def relevance(spark: SparkSession, d: str) -> DataFrame:
     """Additive relevance, clamped."""
-    total = F.lit(0.5) + F.when(F.col("n_chars") > 1000, 0.3).otherwise(0.0) + F.when(F.col("lang") == "en", 0.15).otherwise(0.0)
-    return table(spark, d, "documents").select("doc_id", F.round(F.least(F.lit(1.0), total), 2).alias("score"))
+    none, base, long, english, most = (F.lit(Decimal(x)) for x in ("0.00", "0.50", "0.30", "0.15", "1.00"))
+    total = base + F.when(F.col("n_chars") > 1000, long).otherwise(none) + F.when(F.col("lang") == "en", english).otherwise(none)
+    return table(spark, d, "documents").select("doc_id", F.round(F.least(most, total), 2).alias("score"))
 
 
 @query("label_decision", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 100 WHEN quality = 1 OR toxic = 0 THEN CASE WHEN quality = 1 THEN 60 ELSE 40 END ELSE 0 END::INTEGER AS score FROM labels")

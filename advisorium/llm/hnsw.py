@@ -2,9 +2,9 @@
 
 Vectors of one label and dimension are dealt into shards of bounded size, each with its own hierarchical
 graph. Every vector queries every shard of its label: a beam finds the neighbourhood, which is then widened
-along the graph as far as links go. Each block of queries is audited against brute force on some of its
-members and searched again with a wider beam until nothing is missed. Cosines are verified in double
-precision, and components are joined from each block's local ones. Equal vectors are one point throughout.
+along the graph as far as links go. Every query of a block is audited by the block's exact matrix product in
+double precision: queries without a link aren't searched, and where the graph missed a link the product
+answers. Components are joined from each block's local ones. Equal vectors are one point throughout.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from advisorium.llm.common import connected_components, cut, table
 
-SHARD, DEGREE, BUILD_BEAM, AUDITED = 8192, 16, 48, 48
+SHARD, DEGREE, BUILD_BEAM, BEAM, MARGIN, TILE = 8192, 16, 48, 32, 0.03 + 1e-5, 256
 
 
 class Graph:
@@ -157,19 +157,19 @@ def unpack(raw: bytes, vectors: np.ndarray) -> Graph:
 
 
 def linked(queries: np.ndarray, graph: Graph, targets: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query the targets with a verified cosine of least at least, audited and searched wider until none is missed."""
-    audits = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    true = [np.flatnonzero(targets @ queries[a] >= least) for a in audits]
-    width, margin = 32, 0.03
-
-    def ask(q: np.ndarray) -> np.ndarray:
-        met = graph.within(q.astype(np.float32), least, width, margin + 1e-5)
-        return met[targets[met] @ q >= least]
-
-    # beams are widened on the audited queries first, then hold for the whole block
-    while width < len(targets) and any(len(ask(queries[a])) < len(t) for a, t in zip(audits, true, strict=True)):
-        width, margin = width * 2, margin + 0.03
-    return [ask(q) for q in queries]
+    """For each query all targets with a cosine of least at least: the graph's, or the exact product's where the graph missed any."""
+    found = []
+    for start in range(0, len(queries), TILE):
+        tile = queries[start : start + TILE]
+        true = tile @ targets.T >= least
+        for q, own in zip(tile, true, strict=True):
+            if not own.any():
+                found.append(np.zeros(0, np.int64))
+                continue
+            met = graph.within(q.astype(np.float32), least, BEAM, MARGIN)
+            met = met[targets[met] @ q >= least]
+            found.append(met if len(met) == own.sum() else np.flatnonzero(own))
+    return found
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:

@@ -231,6 +231,32 @@ def test_graph_recall():
     assert sum(map(len, found)) >= 0.98 * true
 
 
+def test_links_of_a_node_that_the_graph_lost():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    x[7] = x[300] + 0.02 * rng.normal(size=16)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    for layer in graph.layers:  # as where pruning leaves no link to a node
+        for i, near in layer.items():
+            layer[i] = near[near != 7]
+    found = hnsw.linked(x, hnsw.unpack(hnsw.pack(graph), x), x, 0.93)
+    assert [sorted(f.tolist()) for f in found] == [np.flatnonzero(x @ q >= 0.93).tolist() for q in x]
+
+
+def test_sparse_pairs_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 150)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 24))
+    x[880:] = x[:20] + 0.05 * rng.normal(size=(20, 24))
+    vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(vectors).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    assert near.sum() == 900 + 2 * 20
+    assert got == {i: (near[i].sum() - 1, np.flatnonzero(near[i]).min()) for i in range(900)}
+
+
 def near_brute(texts, words=5, percent=75):
     sets = {}
     for i, t in texts:

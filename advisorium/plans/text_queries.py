@@ -110,6 +110,19 @@ def section_carry(spark: SparkSession, d: str) -> DataFrame:
     return pg.carried_sections(rows, "conv_id", "t", {"summary": "summary"}, ["end"])
 
 
+_TURN_LINES = "SELECT conv_id, unnest(lines) AS raw, generate_subscripts(lines, 1) - 1 AS place FROM (SELECT conv_id, string_split(string_agg(role || chr(10) || text, chr(10) ORDER BY turn, role, text), chr(10)) AS lines FROM conversations GROUP BY conv_id)"
+_TURN_MARKS = f"SELECT conv_id, place, trim(raw) AS line, CASE WHEN lower(trim(raw)) = 'system' THEN '' WHEN lower(trim(raw)) IN ('user', 'assistant') THEN lower(trim(raw)) END AS mark FROM ({_TURN_LINES})"
+
+
+@query("section_carry_turns", f"SELECT conv_id, place, field, line FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS field FROM ({_TURN_MARKS})) WHERE mark IS NULL AND field <> '' AND line <> ''")
+def section_carry_turns(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of all turns belong to the role that heads them, until the next role; system's stop."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"])), "\n")
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(said.alias("t"))
+    return pg.carried_sections(rows, "conv_id", "t", {"user": "user", "assistant": "assistant"}, ["system"])
+
+
 @query("exact_copies", "SELECT text_hash, n, first_id FROM (SELECT sha256(text) AS text_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1) WHERE n > 1")
 def exact_copies(spark: SparkSession, d: str) -> DataFrame:
     """A23 over texts: groups of exact copies."""

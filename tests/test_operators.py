@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from advisorium.functions import scoring, text, urls
 from advisorium.operators import pages, records
+from advisorium.plans import catalogue
 
 
 def test_missing_status_is_kept(spark):
@@ -63,6 +64,16 @@ def test_feed_items_and_sections(spark):
     assert [(r.field, r.line) for r in pages.carried_sections(note, "id", "t", {"impact": "impact"}, ["contact"]).orderBy("place").collect()] == [("impact", "high"), ("impact", "wide")]
 
 
+def test_sections_carry_over_all_lines_and_turns(spark, tmp_path):
+    turns = [(1, 0, "system", "be brief\nvery"), (1, 1, "user", "one\n\n two "), (1, 2, "assistant", "three\nfour\nUser\nfive"), (2, 0, "assistant", "six\nsystem\nlost"), (2, 1, "user", "seven")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalogue.QUERIES["section_carry_turns"](spark, str(tmp_path)).orderBy("conv_id", "place").collect()
+    assert [(r.conv_id, r.place, r.field, r.line) for r in got] == [
+        (1, 4, "user", "one"), (1, 6, "user", "two"), (1, 8, "assistant", "three"), (1, 9, "assistant", "four"), (1, 11, "user", "five"),
+        (2, 1, "assistant", "six"), (2, 5, "user", "seven"),
+    ]
+
+
 def test_failure_streaks(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate("fffsffs")] + [(2, 0, "s")], "k int, t int, x string")
     assert {r.k: (r.longest, r["last"]) for r in records.failure_streaks(rows, "k", "t", "t", F.col("x") == "f").collect()} == {1: (3, 0), 2: (0, 0)}

@@ -15,10 +15,10 @@ from advisorium.llm.common import cut, without
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose language can't be told: those without letters, or less than half likely in any language."""
+    """Without documents whose language can't be told because they hold no letters; short or mixed ones are as good as any."""
     found = cut(langid.languages_of(docs, public_tokenizers.path("piece_bpe_32k.model")), "language")
-    sure = (F.col("lang_pred") != "und") & (F.col("score") >= 0.5)
-    return without(docs, found.groupBy(F.col("doc_id").alias("id")).agg(F.max(sure).alias("keep")).where("not keep"))
+    told = F.col("lang_pred") != "und"
+    return without(docs, found.groupBy(F.col("doc_id").alias("id")).agg(F.max(told).alias("keep")).where("not keep"))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

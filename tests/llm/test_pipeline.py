@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from advisorium.llm import langid
 from advisorium.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +31,15 @@ def test_stages(spark):
     assert pieces.select("doc_id").distinct().count() == before.count()
 
 
+def test_language_stage_keeps_every_text_with_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    words = ["a", "la", "de", "in", "an", "es", "on", "en", "é ß", "ñ ö ç", "æøåþð", "zzzz qqqq", "123 !", "", None]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(words)], docs.schema)
+    both = cut(docs.unionByName(more), "test-both")
+    got = {r.doc_id for r in corpus_pipeline.language(spark, both, SF).select("doc_id").collect()}
+    assert got == {r.doc_id for r in both.collect() if langid.LETTERS.search((r.text or "").lower())}
+
+
 @pytest.mark.parametrize("name", ["op1_url_filter", "op2_topk", "op9_hnsw", "op10_minhash"])
 def test_operator_matches_sql(spark, name):
     con = duckdb.connect()

@@ -28,10 +28,36 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, found.groupBy(F.col("doc_id").alias("id")).agg(F.max("predicted").alias("keep")).where("keep = 0"))
 
 
+def once(docs: DataFrame, key: list[str]) -> DataFrame:
+    """docs with one row of each group of equal keys and texts; rows with a null text stay.
+
+    Only hashes of the texts are grouped; rows move only where there are copies.
+    """
+    hashed = docs.withColumn("text_hash", F.sha2("text", 256))
+    copied = cut(hashed.where("text_hash is not null").groupBy(*key, "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    if copied.isEmpty():
+        return docs
+    copied = copied.select(*[F.col(c).alias(f"c_{c}") for c in copied.columns])
+    same = F.col("text_hash") == F.col("c_text_hash")
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    single = hashed.join(copied, same, "left_anti")
+    return single.unionByName(hashed.join(copied, same, "left_semi").dropDuplicates([*key, "text_hash"])).drop("text_hash")
+
+
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
-    found = minhash.near_duplicates(docs)
-    return without(docs, found.where("not kept").select(F.col("doc_id").alias("id")))
+    """One document of each group of near-duplicates, the one of the smallest id; those without an id come after all others.
+
+    Rows of one id, or of none, with equal texts are one document.
+    """
+    columns, docs = docs.columns, once(docs, ["doc_id"]).withColumn("own_id", F.col("doc_id"))
+    nameless = docs.where("doc_id is null")
+    if not nameless.isEmpty():
+        top = docs.agg(F.max("doc_id")).first()[0]
+        numbered = nameless.withColumn("own_id", F.lit(0 if top is None else top + 1).cast("long") + F.monotonically_increasing_id())
+        docs = docs.where("doc_id is not null").unionByName(cut(numbered, "nameless"))
+    found = minhash.near_duplicates(docs, "own_id")
+    return without(docs, found.where("not kept").select(F.col("doc_id").alias("id")), "own_id").select(*columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,19 @@ def test_language_stage_keeps_every_text_with_letters(spark):
     assert got == {r.doc_id for r in both.collect() if langid.LETTERS.search((r.text or "").lower())}
 
 
+def test_copies_under_one_id_or_none_stay_once(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, b), (2, b + " more"), (3, c), (None, c), (None, d), (None, d), (None, d + " more"), (4, None), (4, None), (None, None)]
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")), "test-copies")
+    after = corpus_pipeline.unique(spark, docs, SF)
+    assert after.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in after.collect()]
+    named = [x for x in kept if x[0] is not None]
+    assert sorted(named, key=str) == sorted([(1, a), (2, b), (2, b + " more"), (3, c), (4, None), (4, None)], key=str)
+    nameless = [t for i, t in kept if i is None]
+    assert len(nameless) == 2 and None in nameless and (d in nameless) != (d + " more" in nameless)
+
+
 @pytest.mark.parametrize("name", ["op1_url_filter", "op2_topk", "op9_hnsw", "op10_minhash"])
 def test_operator_matches_sql(spark, name):
     con = duckdb.connect()

@@ -17,25 +17,28 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import cut, portions, table, text_crc
+from advisorium.llm.common import bounded_batches, cut, portions, table, text_crc
 
 SPACE = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are read in parts, so that a word's chance stays within a double.
-LONGEST = 40
+#: Runs of characters that make up words, among them numbers such as ½ and Ⅳ, which are no letters.
+RUNS = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers before it starts anew, about 200 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Characters of words that are worked on at once.
+AT_ONCE = 65_536
 #: Chance of a character that is no piece itself.
 STRANGE = 1e-7
+#: Forward sums are scaled anew after so many characters, so that words of any length stay within doubles.
+SCALED = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case, cut to parts of at most LONGEST."""
-    found = LETTERS.findall(text.lower())
-    if found and max(map(len, found)) > LONGEST:
-        found = [x[i : i + LONGEST] for x in found for i in range(0, len(x), LONGEST)]
-    return found
+    """Runs of letters (Unicode category L), in lower case."""
+    found = RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 class Vocabulary:
@@ -44,7 +47,7 @@ class Vocabulary:
     def __init__(self, path: str):
         library = sentencepiece.SentencePieceProcessor(model_file=path)
         every = (library.id_to_piece(i) for i in range(library.get_piece_size()))
-        self.pieces = sorted({p for p in every if p == p.lower() and re.fullmatch(r"▁?[^\W\d_]+", p) and len(p) <= LONGEST})
+        self.pieces = sorted({p for p in every if p == p.lower() and p.removeprefix(SPACE).isalpha()})
         self.longest = max(map(len, self.pieces), default=1)
         codes = [self.hashed(np.array([[ord(c) for c in p]], np.uint64))[0] for p in self.pieces]
         order = np.argsort(np.array(codes, np.uint64))
@@ -57,80 +60,85 @@ class Vocabulary:
             total = total * _BASE + codes[:, k] + np.uint64(1)
         return total ^ (total >> np.uint64(29))
 
-    def find(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """For every start and end in words of one length: the piece there, or -1."""
-        n, length = codes.shape
-        found = {}
-        for start in range(length):
-            total = np.zeros(n, np.uint64)
-            for end in range(start + 1, min(length, start + self.longest) + 1):
-                total = total * _BASE + codes[:, end - 1] + np.uint64(1)
-                if not len(self.keys):
-                    continue
-                key = total ^ (total >> np.uint64(29))
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                ids = np.where(self.keys[at] == key, self.ids[at], -1)
-                if (ids >= 0).any():
-                    found[start, end] = ids
-        return found
+    def of_hashes(self, total: np.ndarray) -> np.ndarray:
+        """The pieces of rolling hashes, or -1."""
+        if not len(self.keys):
+            return np.full(len(total), -1)
+        key = total ^ (total >> np.uint64(29))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], -1)
+
+    def steps(self, codes: np.ndarray) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """For every end in words of one length: the starts within reach, and in each word the piece between, or -1."""
+        held: list[tuple[int, np.ndarray]] = []
+        for end in range(1, codes.shape[1] + 1):
+            held = [*held[-(self.longest - 1) :] * (self.longest > 1), (end - 1, np.zeros(len(codes), np.uint64))]
+            held = [(start, total * _BASE + codes[:, end - 1] + np.uint64(1)) for start, total in held]
+            yield [(start, self.of_hashes(total)) for start, total in held]
 
     def by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in words, and the characters of a space mark and the word, of words of one length."""
         sizes = np.array([len(x) for x in words])
         for n in np.unique(sizes):
             at = np.flatnonzero(sizes == n)
-            for part in np.array_split(at, len(at) // 50_000 + 1):
+            for part in np.array_split(at, len(at) * (n + 1) // AT_ONCE + 1):
                 text = "".join(SPACE + words[i] for i in part)
                 yield part, np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").reshape(len(part), n + 1).astype(np.uint64)
 
-    def forward(self, found: dict, n: int, length: int, chance: np.ndarray) -> np.ndarray:
-        """alpha[word, place, language]: the summed chance of all segmentations up to a place."""
-        alpha = np.zeros((n, length + 1, chance.shape[1]))
-        alpha[:, 0] = 1
-        padded = np.vstack((chance, np.zeros(chance.shape[1])))
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                if (ids := found.get((start, end))) is not None:
-                    alpha[:, end] += alpha[:, start] * padded[ids]
-            # a character that is no piece; the space mark before a word always counts
-            single = found.get((end - 1, end))
-            lacking = np.ones(n, bool) if single is None else single < 0
-            alpha[lacking, end] += alpha[lacking, end - 1] * STRANGE
-        return alpha
-
     def log_chances(self, words: list[str], chance: np.ndarray) -> np.ndarray:
+        """The log of each word's summed chance over all its segmentations, by language. Only a window of sums is held."""
         out = np.zeros((len(words), chance.shape[1]))
+        padded = np.vstack((chance, np.zeros(chance.shape[1])))
         for at, codes in self.by_length(words):
-            found = self.find(codes)
-            out[at] = np.log(np.maximum(self.forward(found, *codes.shape, chance)[:, -1], 1e-300))
+            sums, scale = [np.ones((len(at), chance.shape[1]))], np.zeros((len(at), chance.shape[1]))
+            for end, reach in enumerate(self.steps(codes), 1):
+                sums = sums[-len(reach) :]
+                now = np.zeros_like(scale)
+                for (_, ids), before in zip(reach, sums, strict=True):
+                    if (ids >= 0).any():
+                        now += before * padded[ids]
+                # a character that is no piece; the space mark before a word always counts
+                lacking = reach[-1][1] < 0
+                now[lacking] += sums[-1][lacking] * STRANGE
+                if end % SCALED == 0:
+                    sums = [x / now for x in sums]
+                    scale += np.log(now)
+                    now = np.ones_like(now)
+                sums.append(now)
+            out[at] = scale + np.log(sums[-1])
         return out
 
     def expected(self, words: list[str], languages: np.ndarray, weights: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, by language, over weighted words of known language."""
-        total = np.zeros_like(chance)
+        """Expected uses of each piece, by language, over weighted words of known language; in logs, by forward and backward sums."""
+        total, width = np.zeros(chance.size), chance.shape[1]
+        logs = np.vstack((np.log(chance), np.full(width, -np.inf)))
         for at, codes in self.by_length(words):
-            found, (n, length) = self.find(codes), codes.shape
-            own = languages[at]
-            alpha = self.forward(found, n, length, chance)[np.arange(n), :, own]
-            beta = np.zeros((n, length + 1))
-            beta[:, length] = 1
-            piece = np.vstack((chance, np.zeros(chance.shape[1])))
-            for start in range(length - 1, -1, -1):
-                for end in range(start + 1, min(length, start + self.longest) + 1):
-                    if (ids := found.get((start, end))) is not None:
-                        beta[:, start] += beta[:, end] * piece[ids, own]
-                single = found.get((start, start + 1))
-                lacking = np.ones(n, bool) if single is None else single < 0
-                beta[lacking, start] += beta[lacking, start + 1] * STRANGE
-            scale = weights[at] / np.maximum(alpha[:, length], 1e-300)
-            for (start, end), ids in found.items():
-                has = ids >= 0
-                use = alpha[has, start] * piece[ids[has], own[has]] * beta[has, end] * scale[has]
-                np.add.at(total, (ids[has], own[has]), use)
-        return total
-
-
-@lru_cache(maxsize=2)
+            n, length = codes.shape
+            own, reach = languages[at], list(self.steps(codes))
+            alpha, beta = np.full((length + 1, n), -np.inf), np.full((length + 1, n), -np.inf)
+            alpha[0] = beta[length] = 0
+            step = [[(start, logs[ids, own]) for start, ids in ends] for ends in reach]
+            for ends in step:
+                # a character that is no piece
+                start, single = ends[-1]
+                ends[-1] = (start, np.where(np.isneginf(single), np.log(STRANGE), single))
+            for end, ends in enumerate(step, 1):
+                alpha[end] = np.logaddexp.reduce([alpha[start] + x for start, x in ends], axis=0)
+            for end in range(length, 0, -1):
+                for start, x in step[end - 1]:
+                    beta[start] = np.logaddexp(beta[start], beta[end] + x)
+            places, uses = [], []
+            for end, (ends, found) in enumerate(zip(step, reach, strict=True), 1):
+                for (start, x), (_, ids) in zip(ends, found, strict=True):
+                    if (has := ids >= 0).any():
+                        places.append(ids[has] * width + own[has])
+                        uses.append(np.exp(alpha[start] + x + beta[end] - alpha[length])[has] * weights[at][has])
+            if places:
+                total += np.bincount(np.concatenate(places), np.concatenate(uses), len(total))
+        return total.reshape(chance.shape)
+
+
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -140,6 +148,7 @@ def learn(samples: DataFrame, languages: list[str], model_path: str, rounds: int
 
     Word counts stay distributed; only expected uses, at most pieces times languages numbers, come to the driver.
     """
+    bounded_batches(samples)
     schema = pa.schema([("word", pa.string()), ("lang", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +189,8 @@ def languages_of(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Learns from text and non-null lang of rows whose crc32(doc_id as text) mod folds is not held; about
     learn_from documents a language at most, taken by a hash of their id. Rows of remainder held are held out.
 
-    A null text, or one without letters, is und with score 0; so is every text when nothing can be learnt.
-    Long texts are read whole and counted in logs. Rows with a null id are never learnt from and not held
+    A null text, or one without letters (Unicode category L, so ½ is none), is und with score 0; so is every text
+    when nothing can be learnt. Texts and words of any length are read whole and counted in logs. Rows with a null id are never learnt from and not held
     out. Equal scores go to the first language in order of name. Repeated rows are each returned; other
     columns are not read; an empty table gives no rows.
     """
@@ -210,7 +219,7 @@ def languages_of(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 start = len(place)
                 place.update(zip(new, range(start, start + len(new)), strict=True))
                 if len(logs) < len(place):
-                    logs = np.vstack((logs[:start], np.zeros((2 * len(place) - start, len(languages)))))
+                    logs = np.concatenate((logs[:start], np.zeros((2 * len(place) - start, len(languages)))))
                 logs[start : len(place)] = own.log_chances(new, chance)
             out: list[tuple] = []
             for words in texts:
@@ -222,7 +231,7 @@ def languages_of(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 out.append((languages[best], float(1 / np.exp(total - total[best]).sum())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], schema=schema)
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(text_crc("doc_id") % folds == held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.llm.common import cut, table
-from advisorium.llm.spans import Kind, joined, matches
+from advisorium.llm.spans import Kind, joined, matches, with_touches
 
 #: Possessive repeats keep Java's matcher from recursing on long runs; what follows them cannot be given back
 #: to a match here. A local part is only tried from its run's start (or from where the last match ended).
@@ -44,57 +44,59 @@ def valid(kind: Column, value: Column) -> Column:
     return F.when(kind == 1, ip).when(kind == 2, card).when(kind == 3, F.length(digits).between(9, 15)).otherwise(True)
 
 
-def patterns_of(left: Column, token: Column) -> Column:
-    """The lexical patterns of an instance: the word before it, and the two words before it, each with the token's shape:
-    an at sign, at least four digits, or fewer."""
-    words = F.slice(F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != ""), -2, 2)
-    digits = F.length(F.regexp_replace(token, "[^0-9]", ""))
-    shape = F.when(token.contains("@"), "@").when(digits >= 4, "0000").otherwise("0")
-    near = F.when(F.size(words) > 0, F.concat_ws(" ", F.element_at(words, -1), shape))
-    both = F.when(F.size(words) > 1, F.concat_ws(" ", F.array_join(words, " "), shape))
+def shape(token: Column) -> Column:
+    """An at sign, at least four digits, or fewer: as @, 0000 or 0."""
+    return F.when(token.contains("@"), "@").when(F.length(F.regexp_replace(token, "[^0-9]", "")) >= 4, "0000").otherwise("0")
+
+
+def patterns_of(words: Column, token: Column) -> Column:
+    """The lexical patterns of an instance: the word before it, and the two words before it, each with the token's shape."""
+    near = F.when(F.size(words) > 0, F.concat_ws(" ", F.element_at(words, -1), shape(token)))
+    both = F.when(F.size(words) > 1, F.concat_ws(" ", F.array_join(words, " "), shape(token)))
     return F.filter(F.array(near, both), lambda p: p.isNotNull())
 
 
-def bootstrap(mentions: DataFrame, rounds: int = 3, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
+def bootstrap(mentions: DataFrame, rounds: int = 30, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
     """Tokens that high-confidence patterns find: token. mentions has token, seed (boolean) and patterns (array).
 
     A pattern's confidence is the mean confidence of its distinct tokens, if at least least_support of them
     are confident, else 0; a token's is 1 for seeds, else one minus the product of its patterns' doubts.
-    Only patterns and tokens of at least least_confidence count in the next round.
+    Only patterns and tokens of at least least_confidence count in the next round. Confidence only ever grows,
+    and rounds go on until no token is added (RuntimeError if some still are after rounds).
     """
     edges = cut(mentions.select("token", "seed", F.explode("patterns").alias("pattern")).groupBy("token", "pattern").agg(F.max("seed").alias("seed")), "edges")
-    sure = edges.where("seed").select("token").distinct().withColumn("confidence", F.lit(1.0))
-    seeds = sure
+    seeds = sure = cut(edges.where("seed").select("token").distinct().withColumn("confidence", F.lit(1.0)), "seeds")
+    doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
+    others = edges.where("not seed").join(seeds.select("token"), "token", "left_anti").select("token", "pattern")
+    added = 0
     for _ in range(rounds):
         rated = edges.join(sure, "token", "left").groupBy("pattern").agg(F.count("confidence").alias("support"), (F.coalesce(F.sum("confidence"), F.lit(0.0)) / F.count("*")).alias("trust"))
         trusted = rated.where((F.col("support") >= least_support) & (F.col("trust") >= least_confidence)).select("pattern", "trust")
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
-        reached = edges.where("not seed").join(trusted, "pattern").groupBy("token").agg((1 - doubt).alias("confidence"))
-        reached = reached.join(seeds.select("token"), "token", "left_anti").where(F.col("confidence") >= least_confidence)
-        sure = cut(seeds.unionByName(reached), "sure")
-    return sure.join(seeds.select("token"), "token", "left_anti").select("token")
+        reached = cut(others.join(trusted, "pattern").groupBy("token").agg((1 - doubt).alias("confidence")).where(F.col("confidence") >= least_confidence), "reached")
+        if (now := reached.count()) == added:
+            return reached.select("token")
+        added, sure = now, seeds.unionByName(reached)
+    raise RuntimeError(f"tokens were still added after {rounds} rounds")
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 30, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
     """One row per input row: row, doc_id, digest (the text's xxhash64), n_email, n_ip, n_card, n_phone, base (spans), spans (all); a span has kind, begin, finish.
 
     Spans are in code points, end exclusive, by kind and then start. Identifiers found by bootstrapping are
-    spans of kind found and touch no base span.
+    spans of kind found and touch no base span. An instance is a token between white space with a digit or an at
+    sign; words of letters alone are contexts and never instances.
 
     A null or empty text has no spans; without seeds nothing is found beside the base. Repeated rows and
     null ids are each returned, texts are read whole, other columns are not read, and an empty table gives
     no rows.
     """
-    found = matches(docs, KINDS, id_col, text_col)
+    found = matches(docs, KINDS, id_col, text_col, shape)
     token = F.col("kind") == FOUND
-    ok = F.col("kind").isNull() | valid(F.col("kind"), F.col("value"))
-    found = found.where(ok)
+    found = with_touches(found.where(F.col("kind").isNull() | valid(F.col("kind"), F.col("value"))), ~token)
     span = F.struct("kind", "begin", "finish")
-    mention = F.struct("kind", "begin", "finish", F.col("value").alias("token"), patterns_of(F.col("left"), F.col("value")).alias("patterns"))
-    by_row = found.groupBy("row", "doc_id", "digest").agg(F.collect_list(F.when(~token, span)).alias("base"), F.collect_list(F.when(token, mention)).alias("mentions"))
-    touches = lambda m: F.exists("base", lambda b: (b["begin"] < m["finish"]) & (m["begin"] < b["finish"]))
-    mentions = F.transform("mentions", lambda m: F.struct(m["kind"].alias("kind"), m["begin"].alias("begin"), m["finish"].alias("finish"), m["token"].alias("token"), m["patterns"].alias("patterns"), touches(m).alias("seed")))
-    by_row = cut(by_row.select("row", "doc_id", "digest", F.array_sort("base").alias("base"), mentions.alias("mentions")), "mentions")
+    mention = F.struct("kind", "begin", "finish", F.col("value").alias("token"), patterns_of(F.col("left"), F.col("value")).alias("patterns"), F.col("touches").alias("seed"))
+    by_row = found.groupBy("row", "doc_id", "digest").agg(F.array_sort(F.collect_list(F.when(~token, span))).alias("base"), F.collect_list(F.when(token, mention)).alias("mentions"))
+    by_row = cut(by_row, "mentions")
     each = by_row.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     more = bootstrap(each.select("token", "seed", "patterns"), rounds, least_support, least_confidence)
     added = each.where("not seed").join(more, "token", "left_semi").groupBy("row").agg(F.collect_list(F.struct("kind", "begin", "finish")).alias("added"))

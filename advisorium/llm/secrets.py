@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.llm.common import cut, table
-from advisorium.llm.spans import Kind, joined, matches
+from advisorium.llm.spans import Kind, joined, matches, with_touches
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The hex and access patterns ask for their least length at once: a shorter run has no match within it either.
@@ -78,11 +78,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut(matches(docs, KINDS, id_col, text_col), "matches")
     base = F.col("kind") < MARKOV
     good = ~base | (F.col("kind") != 0) | (F.length("value") >= LEAST_ASSIGNED)
-    found = found.where(F.col("kind").isNull() | good)
+    found = with_touches(found.where(F.col("kind").isNull() | good), base)
     span = F.struct("begin", "kind", "finish", "value")
-    by_row = found.groupBy("row", "doc_id").agg(F.collect_list(F.when(base, span)).alias("base"), F.collect_list(F.when(F.col("kind") == MARKOV, span)).alias("other"))
-    apart = F.filter("other", lambda o: ~F.exists("base", lambda b: (b["begin"] < o["finish"]) & (o["begin"] < b["finish"])))
-    by_row = cut(by_row.select("row", "doc_id", F.array_sort("base").alias("base"), apart.alias("other")), "rows")
+    by_row = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(base, span))).alias("base"), F.collect_list(F.when((F.col("kind") == MARKOV) & ~F.col("touches"), span)).alias("other"))
+    by_row = cut(by_row, "rows")
     sample = F.regexp_replace("value", r"[^A-Za-z0-9+/_=-]", "")
     random = by_row.select(F.explode("base.value").alias("value")).select(sample.alias("value"))
     ordinary = by_row.select(F.explode("other.value").alias("value"))

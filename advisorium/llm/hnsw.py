@@ -205,7 +205,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     built = cut(dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shards int, shard int, ids binary, members binary, x binary, graph binary"), "graphs")
     # every shard's vectors are a block of queries for every shard of their label
     asks = built.select("label", "dim", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    pairs = asks.join(built.drop("shards"), ["label", "dim", "shard"]).select("dim", (F.col("q_shard") == F.col("shard")).alias("own"), "q_ids", "q_x", "ids", "members", "x", "graph")
+    # each pair of shards is a task of its own, however few bytes it has: its work is what counts
+    tasks = built.agg(F.sum("shards")).first()[0] or 1
+    pairs = asks.join(built.drop("shards"), ["label", "dim", "shard"]).repartition(tasks).select("dim", (F.col("q_shard") == F.col("shard")).alias("own"), "q_ids", "q_x", "ids", "members", "x", "graph")
     found_schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 Components are terms. Documents lie in ranges with a forward index (their weights as a matrix) and, by block
 of a range, the largest and smallest weight of each term. A query meets every range; in it, blocks are taken
 in order of their summed term maxima and scored until the bound falls below the query's kth score. A first
-pass over the query's own range gives that score a floor before any other range is read.
+pass of every query block over one range, dealt by a hash, gives that score a floor before any other range is read.
 """
 
 from __future__ import annotations
@@ -132,11 +132,11 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, id_col: str = "vec_id"
     floors_schema = pa.schema([("q_part", pa.int64()), ("floors", pa.binary())])
     hits_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    # floors: every query block is scored against one range of its dimension, the one it is dealt by its number
+    # floors: every query block is scored against one range of its dimension, dealt by a hash of its number
     count = ranges.groupBy("size").agg(F.count("*").alias("ranges"))
     numbered = cut(ranges.select("size", "part").withColumn("i", F.row_number().over(Window.partitionBy("size").orderBy("part")) - 1), "numbers")
     blocks = queries.withColumnsRenamed({"part": "q_part", "ids": "q_ids", "weights": "q_weights", "n": "q_n"}).drop("floors").join(count, "size")
-    dealt = blocks.withColumn("i", F.pmod("q_part", F.col("ranges"))).join(numbered, ["size", "i"]).join(ranges.select("part", "ids", "weights"), "part")
+    dealt = blocks.withColumn("i", F.pmod(F.xxhash64("q_part"), F.col("ranges"))).join(numbered, ["size", "i"]).join(ranges.select("part", "ids", "weights"), "part")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

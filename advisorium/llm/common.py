@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,19 +12,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that a Python worker is sent at most, but for single rows that are larger.
+BATCH_BYTES = "2m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of an input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, after its session is told to send texts to Python workers in batches of few bytes, not of many rows.
+
+    The setting stays in the session, as a plan is run after its operator has returned.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.advisorium.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="advisorium-shared-")
-        spark.conf.set("spark.advisorium.shared.dir", found)
-    return found
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that is unset (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/advisorium-shared"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import connected_components, cut, only, portions, table
+from advisorium.llm.common import bounded_batches, connected_components, cut, only, portions, table
 
 BANDS, ROWS = 45, 5
 SKETCH_BITS = 2048
@@ -162,7 +162,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, schema.types[1:], strict=True))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

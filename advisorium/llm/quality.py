@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import cut, portions, table, text_crc
+from advisorium.llm.common import bounded_batches, cut, portions, table, text_crc
 
 FEATURES = (
     "characters", "words", "word_length", "distinct_words", "repeated_neighbours", "letters", "capitals", "digits", "spaces", "sentence_marks",
@@ -56,7 +56,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in (part for whole in batches for part in portions(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t or "") for t in batch.column(1).to_pylist()], schema.types[1])], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 class Discriminant(NamedTuple):

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import portions, table
+from advisorium.llm.common import bounded_batches, portions, table
 
 SPACE = "▁"
 #: Chunks that a worker remembers (about 150 bytes each) before it starts anew.
@@ -184,7 +184,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) if k != "doc_id" else out[k] for k, t in zip(schema.names, schema.types, strict=True)], schema=schema)
 
     ddl = "doc_id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,12 +14,12 @@ from tokenizers import Tokenizer
 
 from advisorium.llm import hnsw, langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter
 from advisorium.llm.common import connected_components
-from advisorium.llm.spans import joined
+from advisorium.llm.spans import joined, matches, with_touches
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 LONG = "word and more of it " * 3000
-TEXTS = [(1, None), (2, ""), (3, " "), (4, "  two  spaces "), (5, "日本語 😀\n\tx"), (6, LONG), (7, "same text here for you"), (7, "same text here for you"), (7, "another text"), (None, "no id"), (8, "x" * 5000), (9, "▁ <s> \x00 <0x0A>")]
+TEXTS = [(1, None), (2, ""), (3, " "), (4, "  two  spaces "), (5, "日本語 😀\n\tx"), (6, LONG), (7, "same text here for you"), (7, "same text here for you"), (7, "another text"), (None, "no id"), (8, "x" * 5000), (9, "▁ <s> \x00 <0x0A>"), (10, "a <|endoftext|> b<|endoftext|><|endoftext|>\n  c")]
 
 
 @pytest.fixture(scope="module")
@@ -96,9 +96,10 @@ def test_quality(spark, docs):
 
 def test_language(spark, docs):
     rows = [(i, "der und die mit von einer schule " * 3, "de") if i % 2 else (i, "the and of with a school and that " * 3, "en") for i in range(80)]
-    rows += [(100, None, "de"), (101, "123 ...", "en"), (102, "the school", None)]
+    rows += [(100, None, "de"), (101, "123 ...", "en"), (102, "the school", None), (103, "½ ① Ⅳ ²", "en")]
     found = {r.doc_id: r for r in langid.languages_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
     assert all(found[i].lang_pred == ("de" if i % 2 else "en") for i in range(80)) and found[102].lang_pred == "en"
+    assert found[103].lang_pred == "und" and found[103].score == 0
     assert (found[100].lang_pred, found[101].lang_pred, found[101].score) == ("und", "und", 0.0)
     assert langid.languages_of(docs, PIECES).count() == len(TEXTS)
     assert {r.lang_pred for r in langid.languages_of(docs.withColumn("lang", F.lit(None).cast("string")), PIECES).collect()} == {"und"}
@@ -118,6 +119,25 @@ def test_forward_sum_is_the_sum_over_segmentations():
 
     words = ["school", "étre", "xq", "ß", "日本"]
     assert np.allclose(own.log_chances(words, chance), np.log([total(langid.SPACE + w) for w in words]))
+    # words far beyond the range of doubles: no piece spans two strange characters, so logs add up
+    one = own.log_chances(["日"], chance)[0] - own.log_chances([""], chance)[0]
+    assert np.allclose(own.log_chances(["日" * 3000], chance)[0], own.log_chances([""], chance)[0] + 3000 * one)
+
+
+def test_expected_uses_are_the_slopes_of_the_forward_sum():
+    own = langid.vocabulary(PIECES)
+    chance = np.random.default_rng(0).random((len(own.pieces), 2)) / 100
+    words, languages, weights = ["school", "house", "日a"], np.array([0, 1, 0]), np.array([2.0, 3.0, 1.0])
+    uses = own.expected(words, languages, weights, chance)
+    for piece, language in np.argwhere(uses > 1e-9)[:20]:
+        more = chance.copy()
+        more[piece, language] *= 1.0001
+        slope = sum(w * (own.log_chances([x], more) - own.log_chances([x], chance))[0, k] for x, k, w in zip(words, languages, weights, strict=True)) / np.log(1.0001)
+        assert abs(slope - uses[piece, language]) < 1e-4
+
+
+def test_numbers_are_no_letters():
+    assert langid.words_of("½ ² ① Ⅳ 12 _ a½b É") == ["a", "b", "é"]
 
 
 def test_secrets_and_personal_data_against_regular_expressions(spark, docs):
@@ -165,14 +185,50 @@ def test_bootstrapping_finds_identifiers_in_seeded_contexts(spark):
     assert {r.doc_id: r.t for r in clean.collect()}[99] == "write to mail: <found> today"
 
 
+def test_contexts_reach_over_the_whole_text(spark):
+    far = " " * 300
+    rows = [(0, f"call{far}now 12{far}34 x"), (1, "q" * 100 + " 55"), (2, "77 a@b.c"), (3, "one 5")]
+    found = matches(spark.createDataFrame(rows, "doc_id long, text string"), pii.KINDS, "doc_id", "text", pii.shape).where(F.col("kind") == pii.FOUND)
+    got = {(r.doc_id, r.value): list(r.left) for r in found.collect()}
+    assert got == {(0, "12"): ["call", "now"], (0, "34"): ["now", "0"], (1, "55"): [hashlib.md5(b"q" * 100).hexdigest()], (2, "77"): [], (2, "a@b.c"): ["0"], (3, "5"): ["one"]}
+
+
+def test_touching_spans_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(r), int(k), int(b), int(b + rng.integers(1, 9))) for r, k, b in zip(rng.integers(0, 8, 400), rng.integers(0, 2, 400), rng.integers(0, 120, 400), strict=True)]
+    placed = spark.createDataFrame(rows, "row long, kind int, begin long, finish long")
+    for r in with_touches(placed, F.col("kind") == 0).where("kind = 1").collect():
+        assert r.touches == any(row == r.row and k == 0 and b < r.finish and r.begin < f for row, k, b, f in rows)
+
+
+def test_quality_is_the_plain_discriminant(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["alpha", "be", "|", "Gamma!!!", "12"], int(rng.integers(1, 80)), p=[0.5, 0.2, 0.1, 0.1, 0.1] if i % 2 else [0.2, 0.2, 0.3, 0.2, 0.1])), int(i % 2)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs.select("doc_id", "text"), docs.select("doc_id", "quality")).collect()}
+    x, y = np.array([quality.statistics(t) for _, t, _ in rows]), np.array([q for _, _, q in rows])
+    learn = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows])
+    own = [np.cov(x[learn & (y == c)].T, bias=True) for c in (0, 1)]
+    share = [np.mean(y[learn] == c) for c in (0, 1)]
+    pooled = share[0] * own[0] + share[1] * own[1]
+    density = []
+    for c in (0, 1):
+        shrunk = 0.98 * (0.8 * own[c] + 0.2 * pooled) + 0.02 * np.diag(np.diag(pooled) + 1e-6)
+        away = x - x[learn & (y == c)].mean(axis=0)
+        density.append(np.log(share[c]) - 0.5 * np.linalg.slogdet(shrunk)[1] - 0.5 * np.einsum("ij,ij->i", away, np.linalg.solve(shrunk, away.T).T))
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / 2, -500, 500)))
+    assert np.allclose([got[i] for i in range(300)], want, atol=1e-6)
+
+
 def test_packing_is_whole(spark, docs):
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
-    rows = packing.packed(docs, BYTES, size=64).collect()
+    rows = packing.packed(docs, BYTES, size=64, ranked=50).collect()
     at, seen = defaultdict(list), defaultdict(list)
     for r in rows:
         at[r.sequence_id].append((r.offset, r.length))
         seen[r.doc_id, r.doc_tokens].append(r)
+    padded = sum(64 - sum(n for _, n in places) for places in at.values() if sum(n for _, n in places) not in (1, 2, 4, 8, 16, 32))
+    assert padded <= 0.1 * 64 * len(at)
     for places in at.values():
         end = 0
         for offset, length in sorted(places):
@@ -201,6 +257,24 @@ def test_patterns_use_up_any_histogram():
         assert (used == demand * np.arange(1, 129)).all()
 
 
+def test_programme_in_a_running_session(spark):
+    assert spark.range(1).count() == 1
+    demand = np.random.default_rng(1).integers(1, 100_000, 1024)
+    sequences = max(s + -(-(j + ranks) // share) for _, _, ranks, _, _, share, j, s, _ in packing.plan(demand, 1024))
+    assert sequences * 1024 <= 1.01 * (demand * np.arange(1, 1025)).sum()
+
+
+def test_ids_are_those_of_the_library():
+    library, ids = Tokenizer.from_file(BYTES), packing.ids_of(BYTES)
+    assert ids.of.__name__ == "fast"
+    rng = np.random.default_rng(5)
+    letters = np.array([*map(chr, range(0x250)), "日", "😀", "½", "\u2028", "\u3000", " ", "  ", "\n ", "'s", "<|endoftext|>", "<|endof"], object)
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
+    assert list(ids.encode(texts)) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    spec = packing.json.load(open(BYTES))
+    assert not packing.Ids.ranks(spec | {"pre_tokenizer": {"type": "Whitespace"}})
+
+
 def test_near_duplicate_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))

@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, quality, near-duplicates, personal data, packing.
 
 Every stage takes what its predecessor kept, with the columns of documents, and works on all of it. Rows of
-a repeated id share one decision: they go only if all of them are rejected.
+a repeated id share one decision: they go only if all of them are rejected. Rows with a null id are never
+rejected by language or quality; a null text has no letters and so goes, with its id, in the first stage. An empty
+table passes through all stages. Further columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,16 +35,14 @@ def once(docs: DataFrame, key: list[str]) -> DataFrame:
 
     Only hashes of the texts are grouped; rows move only where there are copies.
     """
-    hashed = docs.withColumn("text_hash", F.sha2("text", 256))
-    copied = cut(hashed.where("text_hash is not null").groupBy(*key, "text_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    # documents stay in one struct, whatever their columns are called
+    hashed = docs.select(F.struct("*").alias("doc"), F.struct(*key).alias("key"), F.sha2("text", 256).alias("hash"))
+    copied = cut(hashed.where("hash is not null").groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("c_key"), F.col("hash").alias("c_hash")), "copied")
     if copied.isEmpty():
         return docs
-    copied = copied.select(*[F.col(c).alias(f"c_{c}") for c in copied.columns])
-    same = F.col("text_hash") == F.col("c_text_hash")
-    for c in key:
-        same &= F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    same = (F.col("hash") == F.col("c_hash")) & F.col("key").eqNullSafe(F.col("c_key"))
     single = hashed.join(copied, same, "left_anti")
-    return single.unionByName(hashed.join(copied, same, "left_semi").dropDuplicates([*key, "text_hash"])).drop("text_hash")
+    return single.unionByName(hashed.join(copied, same, "left_semi").dropDuplicates(["key", "hash"])).select("doc.*")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,25 +50,29 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id, or of none, with equal texts are one document.
     """
-    columns, docs = docs.columns, once(docs, ["doc_id"]).withColumn("own_id", F.col("doc_id"))
-    nameless = docs.where("doc_id is null")
+    docs = once(docs, ["doc_id"]).select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+    nameless = docs.where("own_id is null")
     if not nameless.isEmpty():
-        top = docs.agg(F.max("doc_id")).first()[0]
+        top = docs.agg(F.max("own_id")).first()[0]
         numbered = nameless.withColumn("own_id", F.lit(0 if top is None else top + 1).cast("long") + F.monotonically_increasing_id())
-        docs = docs.where("doc_id is not null").unionByName(cut(numbered, "nameless"))
-    found = minhash.near_duplicates(docs, "own_id")
-    return without(docs, found.where("not kept").select(F.col("doc_id").alias("id")), "own_id").select(*columns)
+        docs = docs.where("own_id is not null").unionByName(cut(numbered, "nameless"))
+    found = minhash.near_duplicates(docs, "own_id", "own_text")
+    return without(docs, found.where("not kept").select(F.col("doc_id").alias("id")), "own_id").select("doc.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind in angle brackets."""
+    """All documents, personal data in their texts replaced by its kind in angle brackets. Null texts and ids stay as they are."""
     found = pii.personal_spans(docs).where(F.size("spans") > 0)
     # equal texts have equal spans, so the text's hash tells rows of a repeated id apart
-    found = found.select(F.col("doc_id").alias("s_id"), F.col("digest").alias("s_digest"), "spans").dropDuplicates(["s_id", "s_digest"])
-    both = docs.join(found, docs["doc_id"].eqNullSafe(F.col("s_id")) & (F.xxhash64("text") == F.col("s_digest")), "left")
-    clean = F.when(F.col("spans").isNotNull(), pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    length = F.when(F.col("spans").isNotNull(), F.length("clean").cast("long")).otherwise(F.col("n_chars"))
-    return both.withColumn("clean", clean).withColumn("n_chars", length).withColumn("text", F.col("clean")).select(*docs.columns)
+    found = found.select(F.struct("doc_id", "digest").alias("key"), "spans").dropDuplicates(["key"]).select("key", "spans")
+    # documents stay in one struct, whatever their columns are called
+    whole = docs.select(F.struct("*").alias("doc"))
+    both = whole.join(found, F.col("doc.doc_id").eqNullSafe(F.col("key.doc_id")) & (F.xxhash64("doc.text") == F.col("key.digest")), "left")
+    clean = both.withColumn("clean", F.when(F.col("spans").isNotNull(), pii.redacted(F.col("doc.text"), F.col("spans"))))
+    put = {"text": F.coalesce("clean", "doc.text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.coalesce(F.length("clean").cast(docs.schema["n_chars"].dataType), "doc.n_chars")
+    return clean.select(*[put.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

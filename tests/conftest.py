@@ -2,6 +2,7 @@ import os
 import sys
 
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # tests multiply matrices beside a running JVM, where threads can lock up
 
 import pytest
 from pyspark.sql import SparkSession

@@ -8,20 +8,110 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Month names by number, French in full and English by three letters (fixed values).
-MONTHS = {"janvier": 1, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+#: French month names in full, with and without accents, and English ones by three letters (fixed values).
+FRENCH_MONTHS = {"janvier": 1, "février": 2, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "decembre": 12}
+ENGLISH_MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+#: Units of relative times (fixed values).
+UNITS = {
+    "SECOND": ["s", "sec", "secs", "second", "seconds", "seconde", "secondes"], "MINUTE": ["m", "mn", "min", "mins", "minute", "minutes"],
+    "HOUR": ["h", "he", "heure", "heures", "hour", "hours"], "DAY": ["j", "jour", "jours", "d", "day", "days"], "WEEK": ["sem", "semaine", "semaines", "w", "week", "weeks"],
+}
+#: Words that show a relative time, those that mean now, and those that mean the day before (fixed values).
+RELATIVE = ["ago", "il y a", "auparavant", "hier", "yesterday", "aujourd'hui", "aujourdhui", "today", "just now", "à l'instant", "à l’instant", "min", "h"]
+PRESENT = ["just now", "à l'instant", "à l’instant", "maintenant", "now", "today", "aujourd'hui", "aujourd’hui", "aujourdhui"]
+PAST_DAY = ["yesterday", "hier"]
+#: Phrases before a date that tell what it is, by kind (fixed values).
+CUES = {
+    "deadline": ["due date", "duedate", "date d'échéance", "date d'echeance", "échéance", "echeance", "deadline", "expires", "expire", "remediation due", "action due"],
+    "modified": ["last updated", "lastupdated", "modified", "date modified", "updated", "mis à jour", "dernière modification", "derniere modification"],
+    "publish": ["date added", "dateadded", "added on", "published", "date published", "publication", "publié le", "publié", "date de publication", "pubdate", "pub date", "created", "date created", "disclosed", "disclosure", "release date", "released", "dc:date", "dc.date"],
+}
+
+
+def _looked_up(names: dict[str, int], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key)
 
 
 def month_number(name: Column) -> Column:
-    """The month of a French full or English abbreviated name, in either case; null for anything else."""
-    low = F.lower(name)
-    found = F.lit(None).cast("int")
-    for word, number in MONTHS.items():
-        same = low == word if len(word) > 3 or word == "mai" else F.left(low, F.lit(3)) == word
-        found = F.when(same, F.lit(number)).otherwise(found)
+    """The month of a French full or English name, the latter by its first three letters, in either case; null for anything else."""
+    low = F.lower(F.trim(name))
+    return F.coalesce(_looked_up(FRENCH_MONTHS, low), _looked_up(ENGLISH_MONTHS, F.left(low, F.lit(3))))
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """A date of numbers as texts, as midnight; null if there is no such day."""
+    return F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date").cast("timestamp_ntz")
+
+
+def relative_time(text: Column, now: Column) -> Column:
+    """The time that a text like "2h ago", "il y a 30 minutes" or "hier" means; null if it is none."""
+    low = F.lower(F.trim(text))
+    every = sorted({x for words in UNITS.values() for x in words}, key=lambda x: (-len(x), x))
+    pattern = rf"(\d{{1,6}})\s*({'|'.join(every)})\b"
+    n, unit = F.regexp_extract(low, pattern, 1).try_cast("int"), F.regexp_extract(low, pattern, 2)
+    ahead = F.lit(None).cast("timestamp_ntz")
+    for name, words in UNITS.items():
+        ahead = F.when(unit.isin(words), F.timestamp_add(name, -n, now)).otherwise(ahead)
+    said = F.lower(text).rlike("|".join(rf"(?U)\b{x}\b" if x in ("ago", "min", "h") else x for x in RELATIVE))
+    return F.when(said, F.when(low.isin(PRESENT), now).when(low.isin(PAST_DAY), F.timestamp_add("DAY", F.lit(-1), now)).otherwise(ahead))
+
+
+def parsed_time(text: Column, now: Column) -> Column:
+    """A text as a time without zone, in UTC: relative times, ISO, the first YYYY-MM-DD, "Mon D, YYYY", "D Mon YYYY", then numbers.
+
+    Of numbers with slashes or points the first is the month if it is at most 12, else the day. A named month with an
+    impossible day gives null.
+    """
+    bare = F.trim(text)
+    iso = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+    naive = F.when(bare.rlike(iso + "$"), bare).try_cast("timestamp_ntz")
+    zoned = F.when(bare.rlike(iso + r"(?:Z|[+-]\d{2}:\d{2})$"), bare).try_cast("timestamp")
+    utc = F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz")
+    part = lambda p, i: F.regexp_extract(text, p, i)
+    first = F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0).try_cast("date").cast("timestamp_ntz")
+    name = r"\p{L}{3,9}"
+    month_first, day_first, numbers = rf"(?<![\p{{L}}\d])({name})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({name})\.?\s+(\d{{4}})\b", r"\b(\d{1,2})[/.](\d{1,2})[/.](\d{4})\b"
+    one, two = month_number(part(month_first, 1)), month_number(part(day_first, 2))
+    a, b, year = part(numbers, 1), part(numbers, 2), part(numbers, 3)
+    by_number = F.when(a.try_cast("int") <= 12, _day(year, a, b)).otherwise(_day(year, b, a))
+    named = F.when(one.isNotNull(), _day(part(month_first, 3), one, part(month_first, 2))).when(two.isNotNull(), _day(part(day_first, 3), two, part(day_first, 1))).when(year != "", by_number)
+    return F.coalesce(relative_time(text, now), naive, utc, first, named)
+
+
+def date_kind(before: Column) -> Column:
+    """What a date is by the nearest phrase in the text before it: publish, modified or deadline; else plain."""
+    low = F.lower(before)
+    at = [F.struct((F.length(low) - F.nullif(F.instr(F.reverse(low), cue[::-1]), F.lit(0)) - len(cue) + 2).alias("at"), F.lit(-k).alias("k"), F.lit(kind).alias("kind")) for k, (kind, cues) in enumerate(CUES.items()) for cue in cues]
+    best = F.array_max(F.filter(F.array(*at), lambda x: x["at"].isNotNull()))
+    return F.coalesce(best["kind"], F.lit("plain"))
+
+
+def content_kind(body: Column, content_type: Column, method: Column) -> Column:
+    """Whether a body is json, xml or html, by its first character, its stated type and how it was collected."""
+    bare, said, how = F.ltrim(F.regexp_replace(F.coalesce(body, F.lit("")), r"^\s+", "")), F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(method, F.lit("")))
+    head = F.lower(F.left(bare, F.lit(2000)))
+    xml = said.rlike("xml|rss|atom") | (how == "rss") | head.startswith("<?xml") | head.contains("<rss") | head.contains("<feed")
+    return F.when(F.left(bare, F.lit(1)).isin("{", "["), "json").when(xml, "xml").otherwise("html")
+
+
+def names_day(text: Column, day: dt.date) -> Column:
+    """Whether a text names a day: as ISO, with slashes with and without zeros, in French, or in English with and without a comma."""
+    french = list(FRENCH_MONTHS)[[*FRENCH_MONTHS.values()].index(day.month)]
+    english = day.strftime("%B").lower()
+    forms = [day.isoformat(), f"{day:%d/%m/%Y}", f"{day.day}/{day.month}/{day.year}", f"{day.day} {french} {day.year}", f"{english} {day.day}, {day.year}", f"{english} {day.day} {day.year}"]
+    low = F.lower(text)
+    found = F.lit(False)
+    for x in forms:
+        found |= F.coalesce(low.contains(x), F.lit(False))
     return found
 
 
+def fresh(made: Column, now: Column, hours: int, version: Column | None = None, wanted: int = 1) -> Column:
+    """Whether something made within so many hours, and by the wanted version of its rule, may be used again."""
+    young = F.coalesce(F.timestamp_diff("SECOND", made, now) < 3600 * hours, F.lit(False))
+    return young if version is None else young & F.coalesce(version == wanted, F.lit(False))
+
+
 def iso_day(text: Column) -> Column:
     """The first date of a text as YYYY-MM-DD: ISO, then DD/MM/YYYY, then day, month name and year; null if there is none."""
     iso = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)

@@ -10,8 +10,8 @@ SEVERITIES = ["low", "medium", "high", "critical"]
 
 
 def severity(score: Column) -> Column:
-    """Severity by CVSS score: critical from 9, high from 7, medium from 4, else low; null stays null."""
-    return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score.isNotNull(), "low")
+    """Severity by CVSS score: critical from 9, high from 7, medium from 4, low above 0; null for 0 and null."""
+    return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low")
 
 
 def severity_rank(name: Column) -> Column:
@@ -43,3 +43,56 @@ def date_accepted(old: Column, new: Column, collected: Column, now: Column, veri
     credible = (new >= F.lit("1999-01-01").cast("timestamp_ntz")) & (new <= now + F.expr("INTERVAL 2 DAYS"))
     late = (new > collected + F.expr("INTERVAL 1 DAY")) & ~verified
     return F.coalesce(credible & ~F.coalesce(late, F.lit(False)) & (old.isNull() | (new < old)), F.lit(False))
+
+
+#: Base metrics of a CVSS vector with their values, and what version 4 calls some of them (fixed values).
+METRICS = {"AV": "NALP", "AC": "LH", "PR": "NLH", "UI": "NRPA", "S": "CU", "C": "HLN", "I": "HLN", "A": "HLN"}
+VERSION_4 = {"VC": "C", "VI": "I", "VA": "A", "AT": "AC"}
+
+
+def cvss_metrics(vector: Column) -> Column:
+    """The base metrics of a CVSS vector as a map by version 3's names; the first value of a metric counts, unknown ones are left out."""
+    pairs = F.regexp_extract_all(F.upper(vector), F.lit("[A-Z]{1,2}:[A-Z]"), F.lit(0))
+
+    def renamed_pair(p: Column) -> Column:
+        for new, old in VERSION_4.items():
+            p = F.regexp_replace(p, f"^{new}:", f"{old}:")
+        return p
+
+    renamed = F.transform(pairs, renamed_pair)
+    known = F.array_distinct(F.filter(renamed, lambda p: p.isin([f"{k}:{v}" for k, values in METRICS.items() for v in values])))
+    key = lambda p: F.substring_index(p, ":", 1)
+    first = F.aggregate(known, F.array().cast("array<string>"), lambda s, p: F.when(F.exists(s, lambda q: key(q) == key(p)), s).otherwise(F.concat(s, F.array(p))))
+    return F.map_from_entries(F.transform(first, lambda p: F.struct(key(p), F.substring_index(p, ":", -1))))
+
+
+def exploitation(status: Column, references: Column) -> Column:
+    """kev for a stated status or a reference to the catalogue of exploited vulnerabilities, poc for one to published proof, else null."""
+    joined = F.lower(F.array_join(references, " "))
+    known = joined.contains("known-exploited-vulnerabilit")
+    proof = joined.rlike(r"exploit-db\.com|/exploits?/|packetstorm|metasploit|proof.of.concept")
+    return F.when(F.trim(status) != "", "kev").when(known, "kev").when(proof, "poc")
+
+
+def worst_severity(names: Column) -> Column:
+    """Of severity names in either case the highest, null if none is known."""
+    ranked = F.filter(F.transform(names, lambda x: F.struct(severity_rank(F.lower(x)).alias("rank"), F.lower(x).alias("name"))), lambda x: x["rank"] > 0)
+    return F.array_max(ranked)["name"]
+
+
+def pass_ratio(checks: list[Column]) -> Column:
+    """Per cent of determined checks that passed, rounded half to even; 0 if none is determined."""
+    passed = sum((F.when(c, 1).otherwise(0) for c in checks), F.lit(0))
+    known = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in checks), F.lit(0))
+    return F.coalesce(F.bround(100 * passed / F.nullif(known, F.lit(0))), F.lit(0)).cast("int")
+
+
+def shown_value(value: Column) -> Column:
+    """A value for a label of change: 60 characters at most, or that it is missing."""
+    return F.when(F.coalesce(value, F.lit("")) == "", "non renseigné").otherwise(F.left(value, F.lit(60)))
+
+
+def change_label(name: str, old: Column, new: Column) -> Column:
+    """name : before → after, or name : after (ajouté) where there was nothing before; null if nothing changed."""
+    label = F.when(F.coalesce(old, F.lit("")) == "", F.concat(F.lit(f"{name} : "), shown_value(new), F.lit(" (ajouté)"))).otherwise(F.concat(F.lit(f"{name} : "), shown_value(old), F.lit(" → "), shown_value(new)))
+    return F.when(~old.eqNullSafe(new), label)

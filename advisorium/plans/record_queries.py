@@ -199,11 +199,10 @@ def bulletin_header(spark: SparkSession, d: str) -> DataFrame:
     return latest.groupBy("product").agg(F.count("*").alias("n"), F.max("cvss_score").alias("max_cvss"), F.max(scoring.severity_rank(severity())).alias("max_rank"), day(F.min("published_at")).alias("since"))
 
 
-@query("multi_agg_maxby", sql("SELECT cve_id, max(cvss_score) AS cvss_score, max_by(product, cvss_score::VARCHAR || seq) AS product, min(published_at)::DATE::VARCHAR AS published FROM vuln_raw GROUP BY cve_id"))
+@query("multi_agg_maxby", sql("SELECT cve_id, max(cvss_score) AS cvss_score, max_by(product, (cvss_score, seq)) AS product, min(published_at)::DATE::VARCHAR AS published FROM vuln_raw GROUP BY cve_id"))
 def multi_agg_maxby(spark: SparkSession, d: str) -> DataFrame:
-    """The highest score with the product it belongs to."""
-    key = F.concat(F.col("cvss_score").cast("string"), F.col("seq"))
-    return vuln_raw(spark, d).groupBy("cve_id").agg(F.max("cvss_score").alias("cvss_score"), F.max_by("product", key).alias("product"), day(F.min("published_at")).alias("published"))
+    """The highest score with the product it belongs to; of equal scores the last to arrive."""
+    return vuln_raw(spark, d).groupBy("cve_id").agg(F.max("cvss_score").alias("cvss_score"), F.max_by("product", F.struct("cvss_score", "seq")).alias("product"), day(F.min("published_at")).alias("published"))
 
 
 @query("argmax_ties", sql("SELECT cve_id, seq, cvss_score FROM (SELECT *, max(cvss_score) OVER (PARTITION BY cve_id) AS m FROM vuln_raw) WHERE cvss_score = m"))

@@ -39,7 +39,7 @@ def question_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query("date_texts", "SELECT o_orderkey AS id, o_orderdate::DATE::VARCHAR AS iso, o_orderdate::DATE::VARCHAR AS slash, o_orderdate::DATE::VARCHAR AS named FROM orders")
 def date_texts(spark: SparkSession, d: str) -> DataFrame:
     """The same day in three notations."""
-    names = F.array(*[F.lit(x) for x in list(dates.MONTHS)[:12]])
+    names = F.array(*[F.lit(x) for x in {n: name for name, n in reversed(dates.FRENCH_MONTHS.items())}.values()][::-1])
     day, month, year = F.dayofmonth("o_orderdate").cast("string"), F.month("o_orderdate"), F.year("o_orderdate").cast("string")
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), dates.iso_day(F.concat(F.lit("on "), F.to_date("o_orderdate").cast("string"))).alias("iso"),

@@ -29,15 +29,15 @@ from advisorium.llm.common import bounded_batches, cut, portions, table
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents up to this many are looked up by broadcast ids (8 bytes each) when a piece of theirs is cut again.
 BROADCAST_IDS = 200_000
-#: Pieces that one task ranks, about.
-RANKED = 50_000
+#: Pieces of a length that are ranked together: so many at least, and else so few that there are about GROUPS groups.
+RANKED, GROUPS = 500, 100_000
 
 
 class Ids:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the tokenizers library gives them by default.
 
     A plain byte-level BPE file, whose ids rise with the order of its merges, is the same encoding as a table of
-    ranks, for which tiktoken is several times as fast. That is checked when the file is loaded, on all texts of the
+    ranks, for which tiktoken is several times as fast. That is checked when the file is loaded, on the texts of the
     vocabulary in a row; if the two differ, or the file is of another kind, the library encodes everything. Added
     tokens are cut out of a text first, where their file says that they match as they stand.
     """
@@ -68,7 +68,7 @@ class Ids:
             return np.concatenate([np.array(x, "<u4") for x in ids])
 
         every = [x for raw in ranks if (x := raw.decode("utf-8", "ignore")).encode() == raw]
-        probe = "".join(every) + " ".join(every) + "".join(x + "a " + x for x in own)
+        probe = " ".join(every) + "".join(every[::5]) + "".join(x + "a " + x for x in own)
         if self.of(probe) == fast(probe).tolist():
             self.of = fast
 
@@ -298,7 +298,7 @@ def plan(demand: np.ndarray, size: int, slack: int = 32) -> list[tuple]:
 SLOT = ("first", "ranks", "inside", "ids", "share", "before", "sequence", "at")
 
 
-def packed(docs: DataFrame, tokenizer_path: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", ranked: int = RANKED) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", ranked: int = RANKED, groups: int = GROUPS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id is in one piece and sequences are filled from offset 0 without gaps. All have size ids or up to
@@ -309,7 +309,8 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = 1024, id_col: str =
 
     A null or empty text is its end id alone. A null id stays null. Repeated rows are each packed. Texts of
     any length are cut; other columns are not read; an empty table gives no rows. size is a power of two
-    (else ValueError). A task ranks about so many pieces of a length as ranked says.
+    (else ValueError). Pieces of a length are ranked in groups of about ranked pieces, or more if there would be more than
+    about groups of them, as the groups' counts are broadcast.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -332,8 +333,9 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = 1024, id_col: str =
     slots = docs.sparkSession.createDataFrame(sorted(by_length.items()), T.StructType([T.StructField("length", T.LongType()), T.StructField("slots", slot_type)]))
 
     # groups of a length in proportion to its pieces; rows of one repeated document are spread too
-    groups = F.element_at(F.lit([int(-(-n // ranked)) or 1 for n in rest]), F.col("length").cast("int"))
-    shorter = found.where(F.col("length") < size).withColumn("g", F.pmod(F.xxhash64("number"), groups).cast("int"))
+    ranked = max(ranked, int(rest.sum()) // groups)
+    shares = F.element_at(F.lit([int(-(-n // ranked)) or 1 for n in rest]), F.col("length").cast("int"))
+    shorter = found.where(F.col("length") < size).withColumn("g", F.pmod(F.xxhash64("number"), shares).cast("int"))
     counts = shorter.groupBy("length", "g").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     before = F.broadcast(counts.select("length", "g", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before")))

@@ -130,14 +130,13 @@ def host_suffix_match(hosts: DataFrame, domains: DataFrame, labels: int = 6) ->
 def alias_match(records: DataFrame, products: DataFrame, text: str) -> DataFrame:
     """Records and the products whose whole name stands in the text between other characters than a-z and 0-9.
 
-    The text's word n-grams, up to the names' longest, meet names by an equi-join, so no pair is tried in vain.
+    Distinct words of a text meet the names that begin with them by an equi-join; the whole name is then looked for in
+    the text's words. So no pair is tried without a common word, and a text costs its length. Names without a word match nothing.
     """
-    names = products.select("name", F.array_join(F.split(F.lower("name"), "[^a-z0-9]+"), " ").alias("gram"), F.size(F.split(F.lower("name"), "[^a-z0-9]+")).alias("n")).distinct()
-    longest = names.agg(F.max("n")).first()[0] or 1
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-
-    def of_size(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    grams = F.flatten(F.array(*[of_size(n) for n in range(1, longest + 1)]))
-    return records.withColumn("gram", F.explode(F.array_distinct(grams))).join(small(names.select("name", "gram")), "gram").drop("gram")
+    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    names = products.select("name", words("name").alias("a_name")).where(F.size("a_name") > 0).distinct()
+    names = names.select("name", F.element_at("a_name", 1).alias("a_first"), padded("a_name").alias("a_gram"))
+    rows = records.withColumn("a_words", words(text)).withColumn("a_text", padded("a_words"))
+    met = rows.withColumn("a_first", F.explode(F.array_distinct("a_words"))).join(small(names), "a_first").where(F.contains("a_text", F.col("a_gram")))
+    return met.select(*records.columns, "name")

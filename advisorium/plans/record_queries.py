@@ -184,12 +184,12 @@ def dashboard_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("daily_digest", sql(f"SELECT coalesce(product, 'other') AS product, count(*) AS total, count(*) FILTER (WHERE {SEV} = 'critical') AS critical, list(cve_id ORDER BY {RANK} DESC, cvss_score DESC, seq)[1:3] AS first_ids FROM vuln_raw WHERE is_new AND collected_at >= TIMESTAMP '2001-06-01' GROUP BY 1"))
 def daily_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Unread rows by product with counters and the three worst ids; only three rows a product are gathered."""
+    """Unread rows by product with counters, and the three worst ids, which alone are ranked and gathered."""
     rows = vuln_raw(spark, d).where(F.col("is_new") & (F.col("collected_at") >= ops.ts("2001-06-01"))).withColumn("product", F.coalesce("product", F.lit("other")))
     order = [scoring.severity_rank(severity()).desc(), F.desc("cvss_score"), F.col("seq")]
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("product").orderBy(*order)))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "cve_id")))), lambda x: x["cve_id"])
-    return ranked.groupBy("product").agg(F.count("*").alias("total"), F.count_if(severity() == "critical").alias("critical"), first.alias("first_ids"))
+    worst = ops.top_per_group(rows, "product", order, 3).groupBy("product").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cve_id"))), lambda x: x["cve_id"]).alias("first_ids"))
+    counts = rows.groupBy("product").agg(F.count("*").alias("total"), F.count_if(severity() == "critical").alias("critical"))
+    return counts.join(worst, "product").select("product", "total", "critical", "first_ids")
 
 
 @query("bulletin_header", sql(f"SELECT product, count(*) AS n, max(cvss_score) AS max_cvss, max({RANK})::INTEGER AS max_rank, min(published_at)::DATE::VARCHAR AS since FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY published_at DESC, seq) AS k FROM vuln_raw) WHERE k <= 80 GROUP BY product"))

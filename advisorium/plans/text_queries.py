@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -228,8 +227,8 @@ def label_decision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or one of our own where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="advisorium-stream-")
+    """The shared folder of the cluster, or one in the warehouse where none is set."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/advisorium-shared"
 
 
 @query("stream_source_state", "SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts)::DATE::VARCHAR AS last_attempt, (max(ts) FILTER (WHERE event_type <> 'error'))::DATE::VARCHAR AS last_success FROM events GROUP BY user_id")
@@ -248,7 +247,7 @@ def stream_tumbling_day(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_dedup_watermark", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """ST: each event once, by state within the watermark."""
+    """ST02, ST19: each event once, by state that is kept for three days of event time."""
     found = runs.drained(spark, f"{d}/events.parque[t]", lambda e: runs.deduplicated(e.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("at")), "event_id", "at"), "append", _state_dir(spark))
     return found.groupBy("event_type").agg(F.count("*").alias("n"))
 

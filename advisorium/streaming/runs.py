@@ -32,8 +32,8 @@ def drained(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFram
     return written.drop("batch")
 
 
-def deduplicated(events: DataFrame, key: str, ts_col: str, late: str = "3650 days") -> DataFrame:
-    """Each key once within the watermark."""
+def deduplicated(events: DataFrame, key: str, ts_col: str, late: str = "3 days") -> DataFrame:
+    """Each key once among events that lie within late of one another; the state of older ones is given up."""
     return events.withWatermark(ts_col, late).dropDuplicatesWithinWatermark([key])
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from advisorium.functions import scoring, text, urls
-from advisorium.operators import pages, records
+from advisorium.operators import pages, records, sets
 from advisorium.plans import catalogue
 
 
@@ -52,9 +52,9 @@ def test_hosts_and_sites(spark):
 
 
 def test_alias_match_needs_word_bounds(spark):
-    products = spark.createDataFrame([("Blue Server",), ("Blue",)], "name string")
-    notes = spark.createDataFrame([(1, "the blue server runs"), (2, "bluebird"), (3, "Blue!"), (4, None)], "id int, note string")
-    assert {(r.id, r.name) for r in records.alias_match(notes, products, "note").collect()} == {(1, "Blue Server"), (1, "Blue"), (3, "Blue")}
+    products = spark.createDataFrame([("Blue Server",), ("-Blue!",), ("...",)], "name string")
+    notes = spark.createDataFrame([(1, "the blue server runs"), (2, "bluebird"), (3, "Blue! blue"), (4, None)], "id int, note string")
+    assert {(r.id, r.name) for r in records.alias_match(notes, products, "note").collect()} == {(1, "Blue Server"), (1, "-Blue!"), (3, "-Blue!")}
 
 
 def test_feed_items_and_sections(spark):
@@ -77,3 +77,20 @@ def test_sections_carry_over_all_lines_and_turns(spark, tmp_path):
 def test_failure_streaks(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate("fffsffs")] + [(2, 0, "s")], "k int, t int, x string")
     assert {r.k: (r.longest, r["last"]) for r in records.failure_streaks(rows, "k", "t", "t", F.col("x") == "f").collect()} == {1: (3, 0), 2: (0, 0)}
+
+
+def test_the_product_of_the_highest_score_by_number(spark):
+    rows = spark.createDataFrame([("x", 9.8, "1", "low"), ("x", 10.0, "2", "top")], "cve_id string, cvss_score double, seq string, product string")
+    assert rows.groupBy("cve_id").agg(F.max_by("product", F.struct("cvss_score", "seq")).alias("p")).first().p == "top"
+
+
+def test_set_operators(spark):
+    stored = spark.createDataFrame([("A@x", 1)], "email string, n int")
+    more = spark.createDataFrame([("a@X ", 2), ("b@x", 3), ("B@x", 4), (None, 5)], "email string, n int")
+    assert sorted((r.email, r.n) for r in sets.appended_once(stored, more, "email").collect()) == [("A@x", 1), ("B@x", 4)]
+    old = spark.createDataFrame([("k", ["a"], ["s"], "2001-02-01", False), ("o", ["z"], [], None, True)], "id string, scopes array<string>, sources array<string>, first_published string, confirmed boolean")
+    new = spark.createDataFrame([("k", ["b", "a"], ["s", "t"], "2001-01-01", None), ("n", [], ["u"], "2002-01-01", None)], old.schema)
+    got = {r.id: (r.scopes, r.sources, r.first_published, r.confirmed) for r in sets.scope_merge(old, new, "id").collect()}
+    assert got == {"k": (["a", "b"], ["s", "t"], "2001-01-01", False), "o": (["z"], [], None, True), "n": ([], ["u"], "2002-01-01", False)}
+    lists = spark.createDataFrame([(["a", "b"], ["b", "a", "a"]), (["a"], ["b"])], "a array<string>, b array<string>")
+    assert [(r.u, r.s) for r in lists.select(sets.ordered_union(F.col("a"), F.col("b")).alias("u"), sets.same_set(F.col("a"), F.col("b")).alias("s")).collect()] == [(["a", "b"], True), (["a", "b"], False)]

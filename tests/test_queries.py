@@ -57,7 +57,7 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
     import sys
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for name in ("advisorium", "__spark_entry__.py"):
+    for name in ("advisorium", "__spark_entry__.py"):  # the pipeline's file goes with the folder
         source, target = os.path.join(here, name), tmp_path / name
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, target)
     shutil.rmtree(tmp_path / "advisorium" / "llm", ignore_errors=True)

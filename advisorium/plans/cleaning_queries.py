@@ -15,7 +15,6 @@ from advisorium.plans.text_queries import HOST
 from advisorium.sources.tables import NOW, sql, table, vuln_raw
 
 DAY = dt.date(2001, 7, 20)
-ENGLISH, FRENCH = "|".join(text.ENGLISH_WORDS), "|".join(text.FRENCH_WORDS)
 
 
 def _quoted(words: list[str]) -> str:
@@ -78,13 +77,13 @@ def fresh_rows(spark: SparkSession, d: str) -> DataFrame:
     return vuln_raw(spark, d).groupBy("vendor").agg(F.count_if(usable).alias("fresh"), F.count("*").alias("n"))
 
 
-_BARE = "trim(regexp_replace(regexp_replace(text, '<[a-zA-Z/!][^>]{0,80}>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_BARE = "trim(regexp_replace(replace(replace(replace(regexp_replace(text, '<[a-zA-Z/!][^>]{0,80}>', ' ', 'g'), '&nbsp;', ' '), '&#39;', ''''), '&apos;', ''''), '\\s+', ' ', 'g'))"
 
 
-@query("clean_descriptions", f"SELECT doc_id, sha256(b) AS digest, length(b)::INTEGER AS n FROM (SELECT doc_id, text, {_BARE} AS b FROM documents WHERE NOT contains(text, '&')) WHERE length(b) >= 40 AND NOT {_holds('text', text.CODE_MARKS)} AND NOT {_holds('b', text.CODE_MARKS + text.UNSHOWN_MARKS)} AND NOT ({_holds('b', text.FRAME_MARKS)} AND length(b) < 200)")
+@query("clean_descriptions", f"SELECT doc_id, sha256(b) AS digest, length(b)::INTEGER AS n FROM (SELECT doc_id, text, {_BARE} AS b FROM documents) WHERE length(b) >= 40 AND NOT {_holds('text', text.CODE_MARKS)} AND NOT {_holds('b', text.CODE_MARKS + text.UNSHOWN_MARKS)} AND NOT ({_holds('b', text.FRAME_MARKS)} AND length(b) < 200)")
 def clean_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    """Usable descriptions among all texts without an ampersand; code, unshown pages and frames give none."""
-    rows = table(spark, d, "documents").where(~F.contains("text", F.lit("&"))).select("doc_id", text.clean_description(F.col("text")).alias("b"))
+    """Usable descriptions among all texts; code, unshown pages and frames give none."""
+    rows = table(spark, d, "documents").select("doc_id", text.clean_description(F.col("text")).alias("b"))
     return rows.where("b is not null").select("doc_id", F.sha2("b", 256).alias("digest"), F.length("b").alias("n"))
 
 
@@ -102,11 +101,10 @@ def decorative_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url", urls.decorative(F.col("url")).alias("decorative"))
 
 
-@query("english_texts", f"SELECT doc_id, length(trim(text)) >= 25 AND len(regexp_extract_all(lower(text), '(?:^|[^\\pL\\pN_])(?:{ENGLISH})(?:$|[^\\pL\\pN_])')) > 0 AS english FROM documents WHERE NOT regexp_matches(lower(text), '(?:^|[^\\pL\\pN_])(?:{FRENCH})(?:$|[^\\pL\\pN_])')")
+@query("english_texts", f"SELECT doc_id, length(trim(text)) >= 25 AND len(list_filter(w, lambda x: x IN ({_quoted(text.ENGLISH_WORDS)}))) > len(list_filter(w, lambda x: x IN ({_quoted(text.FRENCH_WORDS)}))) AS english FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\pL\\pN_]+') AS w FROM documents)")
 def english_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Of texts without a French function word, those that look English."""
-    rows = table(spark, d, "documents").where(~F.lower("text").rlike(rf"(?U)(?:^|[^\pL\pN_])(?:{FRENCH})(?:$|[^\pL\pN_])"))
-    return rows.select("doc_id", text.looks_english(F.col("text")).alias("english"))
+    """Whether a text looks English."""
+    return table(spark, d, "documents").select("doc_id", text.looks_english(F.col("text")).alias("english"))
 
 
 @query("folded_words", "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z]{12,}')) AS word FROM documents) GROUP BY word")

@@ -113,7 +113,7 @@ def fresh(made: Column, now: Column, hours: int, version: Column | None = None,
 
 
 def iso_day(text: Column) -> Column:
-    """The first date of a text as YYYY-MM-DD: ISO, then DD/MM/YYYY, then day, month name and year; null if there is none."""
+    """The first date of a text as YYYY-MM-DD: ISO, then DD/MM/YYYY, then day, month name and year, then Month D, YYYY; null if there is none."""
     iso = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
     slash = r"(\d{1,2})/(\d{1,2})/(\d{4})"
     named = r"(\d{1,2})(?:er)?\s+(\p{L}+)\.?\s+(\d{4})"
@@ -122,7 +122,10 @@ def iso_day(text: Column) -> Column:
     by_slash = F.when(part(slash, 3) != "", F.concat_ws("-", part(slash, 3), two(part(slash, 2)), two(part(slash, 1))))
     month = month_number(part(named, 2))
     by_name = F.when(month.isNotNull(), F.concat_ws("-", part(named, 3), two(month.cast("string")), two(part(named, 1))))
-    return F.coalesce(F.nullif(iso, F.lit("")), by_slash, by_name)
+    english = r"(\p{L}{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+    first = month_number(part(english, 1))
+    by_english = F.when(first.isNotNull(), F.concat_ws("-", part(english, 3), two(first.cast("string")), two(part(english, 2))))
+    return F.coalesce(F.nullif(iso, F.lit("")), by_slash, by_name, by_english)
 
 
 def period_of(phrase: str, today: dt.date) -> tuple[dt.date, dt.date] | None:
@@ -141,3 +144,43 @@ def period_of(phrase: str, today: dt.date) -> tuple[dt.date, dt.date] | None:
     if re.search(r"this year|cette année", low):
         return today.replace(month=1, day=1), today
     return None
+
+
+#: Names under which pages' metadata give their publication (fixed values).
+META_DATES = ["article:published_time", "date", "dcterms.date", "datepublished", "dc.date", "pubdate"]
+
+
+def page_date(html: Column) -> Column:
+    """When a page was published, as a struct of day, found and confidence, all null if it doesn't say.
+
+    Structured data come first (published, created, modified), then metadata, then the date after a phrase of publication in
+    the visible text, then any date there.
+    """
+    blocks = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    stated = F.coalesce(*[iso_day(F.regexp_extract(blocks, rf'"{key}"\s*:\s*"([^"]*)"', 1)) for key in ("datePublished", "dateCreated", "dateModified")])
+    own = rf"(?i)\b(?:name|property|itemprop)\s*=\s*[\"'](?:{'|'.join(x.replace('.', chr(92) + '.') for x in META_DATES)})[\"']"
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0)), lambda m: m.rlike(own) & m.rlike(r"(?i)\bcontent\s*="))
+    meta = iso_day(F.regexp_extract(F.get(metas, F.lit(0)), r"(?i)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1))
+    visible = F.regexp_replace(html, "<[^>]+>", " ")
+    after = iso_day(F.regexp_extract(visible, r"(?i)(?:publi\p{L}*|posted|date)\s*(?:le\b|on\b|:)?\s*(.{6,40})", 1))
+    found = [(stated, "json_ld", 0.95), (meta, "html_metadata", 0.9), (after, "text_extraction", 0.8), (iso_day(visible), "text_extraction", 0.7)]
+    how = lambda i: F.coalesce(*[F.when(f[0].isNotNull(), F.lit(f[i])) for f in found])
+    return F.struct(F.coalesce(*[f[0] for f in found]).alias("day"), how(1).alias("found"), how(2).alias("confidence"))
+
+
+def catch_up(last: Column, midnight: Column, most: int = 7) -> Column:
+    """Where a day's window of collection begins, as a struct of since and why; it ends a day after midnight.
+
+    At the last run that succeeded, but at most so many days before the end; two days before it if that run was today; at
+    midnight if there was none.
+    """
+    back = lambda days: F.timestamp_add("DAY", F.lit(1 - days), midnight)
+    capped, today = last < back(most), last >= midnight
+    since = F.when(last.isNull(), midnight).when(capped, back(most)).when(today, back(2)).otherwise(last)
+    return F.struct(since.alias("since"), F.when(last.isNull(), "no run").when(capped, "capped").when(today, "today").otherwise("since run").alias("why"))
+
+
+def due_status(failing: Column, given_up: Column, found: Column, delay: Column, late: float) -> Column:
+    """How a due collection ended: degraded if all failing sources were given up, else partial; without failures empty, late or complete."""
+    done = F.when(found <= 0, "suspicious_empty").when(delay > late, "completed_late").otherwise("completed")
+    return F.when(failing == 0, done).when(given_up, "degraded").otherwise("partial")

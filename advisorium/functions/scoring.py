@@ -96,3 +96,39 @@ def change_label(name: str, old: Column, new: Column) -> Column:
     """name : before → after, or name : after (ajouté) where there was nothing before; null if nothing changed."""
     label = F.when(F.coalesce(old, F.lit("")) == "", F.concat(F.lit(f"{name} : "), shown_value(new), F.lit(" (ajouté)"))).otherwise(F.concat(F.lit(f"{name} : "), shown_value(old), F.lit(" → "), shown_value(new)))
     return F.when(~old.eqNullSafe(new), label)
+
+
+def registry_score(body: Column) -> Column:
+    """Score and severity of a registry's JSON object: version 3.1's first metric, else 3.0's, else 2's; a label that is no severity gives way to the score."""
+    best = F.lit(None).cast("struct<score:double,severity:string>")
+    for name in ("cvssMetricV2", "cvssMetricV30", "cvssMetricV31"):
+        at = f"$.metrics.{name}[0]"
+        score = F.get_json_object(body, f"{at}.cvssData.baseScore").try_cast("double")
+        label = F.lower(F.coalesce(F.get_json_object(body, f"{at}.cvssData.baseSeverity"), F.get_json_object(body, f"{at}.baseSeverity")))
+        here = F.struct(score.alias("score"), F.coalesce(F.when(label.isin(SEVERITIES), label), severity(score)).alias("severity"))
+        best = F.when(F.get_json_object(body, at).isNotNull(), here).otherwise(best)
+    return best
+
+
+#: Words of sensational titles (fixed values), and the length under which a page says too little.
+SENSATIONAL = ["choquant", "incroyable", "vous n'allez pas croire", "urgent", "alerte maximale", "catastrophe", "scandale", "explosif", "shocking", "you won't believe", "breaking", "must read", "insane", "terrifying"]
+ENOUGH = 500
+
+
+def credibility(body: Column, reputation: Column, official: Column, ids: Column, known: Column, dated: Column, owner: Column, confirmed: Column) -> Column:
+    """A page's credibility from 0 to 100 by weighted checks; under a blacklisted host it is 10 at most.
+
+    reputation: as urls.reputation says; official: true or null; ids: number of ids; known: whether the registry has them, or
+    null; dated, owner: whether the page tells its date and organisation; confirmed: by other sources, or null.
+    """
+    low = F.lower(body)
+    calm = ~F.contains(body, F.lit("!!!"))
+    for word in SENSATIONAL:
+        calm &= ~low.contains(word)
+    linked = low.rlike("<a |https?://|<link")
+    checks = [
+        (F.when(official, True), 3.0), (F.when(reputation == "whitelisted", True), 2.0), (F.when(reputation == "blacklisted", False), 4.0), (ids > 0, 1.5), (F.when(ids > 0, known), 1.5),
+        (F.trim(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)) != "", 1.0), (dated, 2.0), (owner, 3.0), (calm, 1.0), (F.length(F.trim(body)) >= ENOUGH, 1.0), (linked, 1.0), (confirmed, 1.5),
+    ]
+    score = weighted(checks)
+    return F.when(reputation == "blacklisted", F.least(score, F.lit(10))).otherwise(score)

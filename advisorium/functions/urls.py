@@ -43,6 +43,8 @@ def links(html: Column) -> Column:
 FRAME_HOSTS = ["fonts.googleapis.com", "fonts.gstatic.com", "gmpg.org", "w3.org", "schema.org", "gravatar.com", "googletagmanager.com", "google-analytics.com", "doubleclick.net", "aliexpress.com", "amazon-adsystem.com", "cdn.jsdelivr.net", "cdnjs.cloudflare.com", "unpkg.com", "bootstrapcdn.com", "polyfill.io", "govdelivery.com", "list-manage.com", "mailchi.mp"]
 COMMUNITY_HOSTS = ["reddit.com", "twitter.com", "x.com", "facebook.com", "linkedin.com", "t.me", "mastodon.social", "bsky.app", "instagram.com", "youtube.com"]
 GENERIC_LABELS = ["gov", "gouv", "com", "org", "net", "edu", "ac", "co", "go", "gob", "mil", "int", "info", "biz", "www"]
+#: Domains under which only governments register (fixed values).
+GOVERNMENTS = ["gov", "gouv.fr", "gov.uk", "gc.ca", "govt.nz", "gov.ma", "gov.sg", "gov.au", "gov.in", "gov.br", "gov.za", "gov.it", "gob.es", "gov.pl", "gov.tn", "go.jp", "go.kr", "gov.tr", "gov.pt", "gv.at", "admin.ch", "bund.de", "europa.eu"]
 #: Paths of sharing, feeds, themes and tags, and of single discussions (fixed patterns).
 FRAME_PATH = r"(?i)/(submit|share|sharer|intent/tweet|shareArticle|feed|rss|wp-json|wp-content|wp-includes|xmlrpc\.php|tag|category|author)(/|$)"
 DISCUSSION_PATH = r"(?i)/(comments|status|posts?|threads?)/"
@@ -94,3 +96,8 @@ def publication_key(url: Column, title: Column) -> Column:
     """A publication's url in lower case without last slashes, else its title as a slug of at most 120 characters."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.coalesce(F.nullif(source_key(url), F.lit("")), F.left(slug, F.lit(120)))
+
+
+def reputation(name: Column, trusted: list[str], banned: list[str]) -> Column:
+    """blacklisted if a host is or lies under a banned domain, else whitelisted under a trusted or a government's one, else unknown."""
+    return F.when(under_any(name, banned) if banned else F.lit(False), "blacklisted").when(under_any(name, [*trusted, *GOVERNMENTS]), "whitelisted").otherwise("unknown")

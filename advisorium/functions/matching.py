@@ -36,6 +36,11 @@ TEXT_RISKS = {
 #: Words before which a product's name ends in a line of affected systems (fixed pattern).
 VERSION_WORDS = r"\b(versions?|versoions?|all\s+versions|ant[ée]rieures?|avant|before|prior\s+to|jusqu|[àa]\s+la\s+version)\b|[<>]"
 
+#: Words that mean one's own collection, that ask what something is, and that name its subjects (fixed patterns).
+OWN_WORDS = r"en base|dans la base|de la base|base de connaissances|database|collect[ée]|notre catalogue|catalogue (?:de |des )?(?:cve|vuln)|aujourd|\bhier\b|cette semaine|derni[èe]re semaine|derniers? jours|ce mois|cette ann[ée]e|\bliste[rz]?\b|affiche|combien|nos sources|mes sources|nos (?:cve|vuln)|mes (?:cve|vuln)"
+DEFINITION_WORDS = r"qu.est.ce que|qu.est.ce qu|c.est quoi|que signifie|d[ée]finition|diff[ée]rence entre|[àa] quoi sert|what\s+is\s|what.s the difference"
+SUBJECT_WORDS = r"\bcve\b|vuln[ée]rabilit|bulletin|\b[ée]diteur\b"
+
 
 def auto_aliases(name: Column, vendor: Column) -> Column:
     """Aliases of a product that has none of its own, lower case: broad (name, vendor and name, vendor alone) and strict (without the vendor alone)."""
@@ -130,3 +135,16 @@ def advisory_id(value: Column, prefix: str = "CERT") -> Column:
     """The first id like PREFIX-2024-AVI-0001 of a text, upper case, white space within it removed; null if there is none."""
     found = F.regexp_extract(value, rf"(?i)\b{prefix}[A-Z]*\s*-\s*\d{{4}}\s*-\s*[A-Z]{{2,4}}\s*-\s*\d{{3,5}}", 0)
     return F.nullif(F.upper(F.regexp_replace(found, r"\s+", "")), F.lit(""))
+
+
+def question_scope(question: Column, ids: Column, vendor: Column, filtered: Column) -> Column:
+    """internal, external or auto: whether a question asks for the collection, for common knowledge, or for either.
+
+    ids, vendor: what it names, null or empty if nothing; filtered: whether it holds criteria of records. A definition without
+    a target is external, even with filters; null questions are auto.
+    """
+    says = lambda words: F.coalesce(question.rlike(f"(?iU){words}"), F.lit(False))
+    named, owned = F.coalesce(F.size(ids) > 0, F.lit(False)), F.coalesce(vendor != "", F.lit(False))
+    own, definition = says(OWN_WORDS), says(DEFINITION_WORDS)
+    direct = named | F.coalesce(filtered, F.lit(False)) | own
+    return F.when(definition & ~named & ~owned & ~own, "external").when(direct | owned | says(SUBJECT_WORDS), "internal").otherwise("auto")

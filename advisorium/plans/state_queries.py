@@ -19,7 +19,7 @@ TODAY = dt.date(2001, 8, 1)
 
 @query("question_answer", sql("SELECT cve_id, seq FROM vuln_raw WHERE cvss_score >= 9 AND published_at >= TIMESTAMP '2001-07-02' AND published_at < TIMESTAMP '2001-08-02'"))
 def question_answer(spark: SparkSession, d: str) -> DataFrame:
-    """A question in words as a filter."""
+    """A question in words as a filter."""
     return questions.answer(vuln_raw(spark, d), "show all critical vulnerabilities of the last 30 days", TODAY).select("cve_id", "seq")
 
 

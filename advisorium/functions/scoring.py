@@ -132,3 +132,28 @@ def credibility(body: Column, reputation: Column, official: Column, ids: Column,
     ]
     score = weighted(checks)
     return F.when(reputation == "blacklisted", F.least(score, F.lit(10))).otherwise(score)
+
+
+#: Words of technical discussions (fixed values).
+TECHNICAL_WORDS = ["exploit", "poc", "proof of concept", "patch", "mitigation", "workaround", "vulnerab", "attack", "payload", "advisory", "remediation", "detection", "analysis", "correctif", "faille"]
+
+
+def overall(technical: Column, credible: Column, authentic: Column) -> Column:
+    """A source's score from 0 to 100: three tenths technical, half credibility, two tenths authenticity, rounded half to even."""
+    return F.bround((3 * technical + 5 * credible + 2 * authentic) / 10).cast("int")
+
+
+def decision(total: Column, technical: Column, banned: Column, approve: int, review: int, least: int) -> Column:
+    """rejected if banned or under review; review if under approve or technically under least; else approved."""
+    return F.when(banned | (total < review), "rejected").when((total < approve) | (technical < least), "review").otherwise("approved")
+
+
+def discussion_relevance(cve_id: Column, title: Column, body: Column, comment: Column, answers: Column, comments: Column) -> Column:
+    """How much a discussion is about an id, from 0 to 1: nothing unless it cites the id; then half, more for the title unless it is a
+    comment, for technical words and for answers, less if it cites five other ids or more. Nulls count as absent."""
+    said = F.lower(F.concat_ws(" ", title, body))
+    cited = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit(r"cve-\d{4}-\d{4,7}"), F.lit(0)), F.upper))
+    points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    total = 50 + points(F.contains(F.upper(title), F.upper(cve_id)) & ~F.coalesce(comment, F.lit(False)), 30) + points(said.rlike("|".join(TECHNICAL_WORDS)), 15) + points((F.coalesce(answers, F.lit(0)) > 0) | (F.coalesce(comments, F.lit(0)) >= 3), 5)
+    total = total - points(F.size(F.array_except(cited, F.array(F.upper(cve_id)))) >= 5, 20)
+    return (F.when(F.coalesce(F.array_contains(cited, F.upper(cve_id)), F.lit(False)), F.greatest(F.lit(0), F.least(F.lit(100), total))).otherwise(0) / 100).cast("decimal(3,2)")

@@ -243,3 +243,22 @@ def registry_records(spark: SparkSession, d: str) -> DataFrame:
     body = F.when(F.col("is_new"), f"{two},{three},{newest}").when(F.col("solution").isNotNull(), f"{two},{three}").otherwise(two)
     found = scoring.registry_score(F.concat(F.lit('{"id":"x","metrics":{'), body, F.lit("}}")))
     return vuln_raw(spark, d).select("seq", found["score"].cast("decimal(4,1)").alias("score"), found["severity"].alias("severity"))
+
+
+@query("overall_decisions", "SELECT t, c, a, total, CASE WHEN banned OR total < 40 THEN 'rejected' WHEN total < 70 OR t < 50 THEN 'review' ELSE 'approved' END AS decision, count(*) AS n FROM (SELECT *, round_even((3 * t + 5 * c + 2 * a) / 10.0, 0)::INTEGER AS total FROM (SELECT (value::BIGINT % 101)::INTEGER AS t, (event_id % 101)::INTEGER AS c, (user_id % 101)::INTEGER AS a, event_type = 'error' AS banned FROM (SELECT floor(value) AS value, event_id, user_id, event_type FROM events))) GROUP BY ALL")
+def overall_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """A source's overall score of three, and what is decided on it."""
+    part = lambda c: (c.cast("bigint") % 101).cast("int")
+    rows = table(spark, d, "events").select(part(F.floor("value")).alias("t"), part(F.col("event_id")).alias("c"), part(F.col("user_id")).alias("a"), (F.col("event_type") == "error").alias("banned"))
+    rows = rows.withColumn("total", scoring.overall(F.col("t"), F.col("c"), F.col("a")))
+    return rows.groupBy("t", "c", "a", "total", scoring.decision(F.col("total"), F.col("t"), F.col("banned"), 70, 40, 50).alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("discussion_scores", sql("SELECT seq, CASE WHEN source_id % 7 = 0 THEN 0 ELSE (50 + CASE WHEN is_new AND source_id % 3 <> 0 THEN 30 ELSE 0 END + CASE WHEN solution IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN source_id % 5 >= 3 THEN 5 ELSE 0 END - CASE WHEN source_id % 4 = 0 THEN 20 ELSE 0 END) / 100.0 END::DECIMAL(3,2) AS score FROM vuln_raw"))
+def discussion_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How much discussions are about an id: cited, in the title, technical, answered, or one of many."""
+    k, none = F.col("source_id"), F.lit(None).cast("int")
+    cited = F.when(k % 7 == 0, "CVE-1990-0000").otherwise(F.lower("cve_id"))
+    title = F.when(F.col("is_new"), F.concat(F.lit("On "), cited)).otherwise("News")
+    body = F.concat_ws(" ", cited, F.when(F.col("solution").isNotNull(), "Workaround here"), F.when(k % 4 == 0, " ".join(f"CVE-1991-000{i}" for i in range(5))))
+    return vuln_raw(spark, d).select("seq", scoring.discussion_relevance(F.col("cve_id"), title, body, k % 3 == 0, none, k % 5).alias("score"))

@@ -109,3 +109,17 @@ def test_upserts_over_several_batches_keep_the_latest_and_tell_changes(spark, tm
         last[r.k] = r.after
     assert last == {1: "b", 2: "x", 3: None}
     assert feed.select("batch").distinct().count() >= 2
+
+
+def test_relevance_needs_the_id_and_bears_nulls(spark):
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("int")
+    score = lambda title, body, comment=False, answers=None: float(one(spark, scoring.discussion_relevance(F.lit("CVE-2020-1234"), F.lit(title).cast("string"), F.lit(body).cast("string"), F.lit(comment), F.lit(answers).cast("int"), no)))
+    assert [score(None, None), score("cve-2020-12345", ""), score(None, "see cve-2020-1234"), score("CVE-2020-1234", "a PoC", answers=1), score("CVE-2020-1234", "", comment=True)] == [0, 0, 0.5, 1, 0.5]
+    assert score(None, "CVE-2020-1234 " + " ".join(f"cve-2021-100{i}" for i in range(5))) == 0.3
+    assert one(spark, scoring.discussion_relevance(none, F.lit("x"), none, F.lit(None).cast("boolean"), no, no)) == 0
+
+
+def test_decisions_need_a_usable_source(spark):
+    said = lambda total, technical, banned=False: one(spark, scoring.decision(F.lit(total), F.lit(technical), F.lit(banned), 70, 40, 50))
+    assert [said(70, 50), said(90, 49), said(69, 90), said(39, 90), said(99, 99, True)] == ["approved", "review", "review", "rejected", "rejected"]
+    assert one(spark, scoring.overall(F.lit(1), F.lit(0), F.lit(1))) == 0  # a half goes to the even number

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from advisorium.llm import hnsw, langid, minhash, packing, pii, quality, secrets, sentencepiece_codec, topk, url_filter
+from advisorium.llm import annular, hnsw, langid, minhash, packing, pii, quality, repair, secrets, sentencepiece_codec, topk, url_filter, variants
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_hnsw": hnsw.op9_hnsw,
     "op10_minhash": minhash.op10_minhash,
+    "op11_repair": repair.op11_repair,
+    "op12_annular": annular.op12_annular,
+    "op13_variants": variants.op13_variants,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
     "op2_topk": topk.SQL,
     "op9_hnsw": hnsw.SQL,
     "op10_minhash": minhash.SQL,
+    "op12_annular": annular.SQL,
+    "op13_variants": variants.SQL,
 }

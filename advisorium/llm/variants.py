@@ -1,21 +1,44 @@
 """Operator 13, grouping of spelling variants by pairless wildcard groups.
 
 Words that differ in one replaced letter share exactly one wildcard, a word with one position left open. A
-group of words under a wildcard keeps its size and its two most frequent words only: that is enough to tell each
+group of words under a wildcard keeps its size and its two most frequent words: that is enough to tell each
 member how many others there are and which of them is the most frequent. For inserted and deleted letters,
-words with one letter left out meet the vocabulary by equality; both sides are summed before they are
-joined. No pair of near words is ever a row of its own beside those of a word's own deletions. The chain from
-a word to its last form is followed by doubling.
+what is left of a word without one letter meets the vocabulary in the same grouping. A group is bounded by the
+alphabet, times the word's length for deletions, and no pair of near words is ever a row. The chain from a word
+to its last form is followed by doubling.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.llm.common import cut, lower_ascii, table
+from advisorium.llm.common import bounded_batches, cut, portions, table
+
+RUN = re.compile("[A-Za-z\u00C0-\u00FF]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Distinct words that a task holds before it passes their counts on, and characters of a text that are read at once.
+HELD, AT_ONCE = 300_000, 1 << 20
+
 
-RUN = "[A-Za-z\\u00C0-\\u00FF]+"
+def runs_of(text: str) -> Counter:
+    """The letter runs of a text, lower-cased in A-Z, with their counts."""
+    found: Counter = Counter()
+    start = 0
+    while start < len(text):
+        end = start + AT_ONCE
+        if rest := RUN.match(text, end):  # a run is never cut
+            end = rest.end()
+        part = text[start:end]
+        found.update(RUN.findall(part.lower() if part.isascii() else part.translate(LOWER)))
+        start = end
+    return found
 
 
 def noted_words(docs: DataFrame, every: int = 97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,14 +47,32 @@ def noted_words(docs: DataFrame, every: int = 97, id_col: str = "doc_id", text_c
     Where every divides h, the crc32 of `<id>:<run>`, the run's code point number h % length is left out, as a
     misspelling; what becomes empty is no word. Rows without an id lose no letter; null texts have no words.
     """
-    # a text's runs are told apart by id and word, so that each is changed once and not by occurrence
-    runs = docs.select(F.col(id_col).cast("string").alias("id"), F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(RUN), 0)).alias("run"))
-    runs = runs.select("id", lower_ascii("run").alias("run"))
-    h = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
-    at = (F.col("h") % F.length("run")).cast("int")
-    left = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    word = F.when(F.col("id").isNotNull() & (F.col("h") % every == 0), left).otherwise(F.col("run"))
-    return runs.withColumn("h", h).select(word.alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+        for batch in (part for whole in batches for part in portions(whole, 1)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = runs_of(text) if text else {}
+                if doc is not None:
+                    seed = zlib.crc32(f"{doc}:".encode())
+                    for word in [w for w in own if zlib.crc32(w.encode(), seed) % every == 0]:
+                        at = zlib.crc32(word.encode(), seed) % len(word)
+                        # another run of the text may be what is left of this one
+                        counts[word[:at] + word[at + 1 :]] += own.pop(word)
+                counts.update(own)
+                if len(counts) > HELD:
+                    yield passed()
+                    counts.clear()
+        if counts:
+            yield passed()
+
+    texts = bounded_batches(docs).select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    return texts.mapInArrow(run, "word string, n long").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def variants(words: DataFrame, ratio: int = 2) -> DataFrame:
@@ -43,28 +84,24 @@ def variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     """
     known = cut(words.select("word", F.col("n").cast("long").alias("n")).where("word is not null"), "vocabulary")
     size = F.length("word")
-    opened = lambda i: F.struct(i.alias("at"), F.substring("word", F.lit(1), i).alias("before"), F.substring("word", i + 2, size).alias("after"))
-    places = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), opened))
-    best = lambda n, w: F.struct((-n).alias("m"), w.alias("w"))
-
-    # replacements: of each wildcard the size and the two first words
-    open_words = cut(known.select("word", "n", F.explode(places).alias("key")), "wildcards")
-    tops = open_words.groupBy("key").agg(F.count("*").alias("size"), F.min(best(F.col("n"), F.col("word"))).alias("top")).where("size > 1")
-    tops = cut(tops, "wildcard-tops")
-    # the second is the first without the top: groups of one word are gone by now
-    shared = open_words.join(tops, "key")
-    second = shared.where(F.col("word") != F.col("top.w")).groupBy("key").agg(F.min(best(F.col("n"), F.col("word"))).alias("next")).withColumnRenamed("key", "s_key")
-    both = cut(tops.join(second, F.col("key") == F.col("s_key")).select("key", "size", "top", "next"), "wildcard-pairs")
-    replaced = open_words.join(both, "key").groupBy("word").agg(F.sum(F.col("size") - 1).alias("near"), F.min(F.when(F.col("word") == F.col("top.w"), F.col("next")).otherwise(F.col("top"))).alias("best"))
-
-    # deletions: the distinct words that a word gives by leaving one code point out
-    shorter = known.select("word", "n", F.explode(F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<struct<at:int,before:string,after:string>>")), lambda p: F.concat(p["before"], p["after"])))).alias("less"))
-    targets = known.select(F.col("word").alias("t_word"), F.col("n").alias("t_n"))
-    met = cut(shorter.join(targets, F.col("less") == F.col("t_word")).select("word", "n", "less", "t_n"), "deletions")
-    inserted = met.groupBy(F.col("less").alias("word")).agg(F.count("*").alias("near"), F.min(best(F.col("n"), F.col("word"))).alias("best"))
-    deleted = met.groupBy("word").agg(F.count("*").alias("near"), F.min(best(F.col("t_n"), F.col("less"))).alias("best"))
-
-    near = replaced.unionByName(inserted).unionByName(deleted).groupBy(F.col("word").alias("of")).agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
+    places = F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    without = lambda i, mark: F.concat(F.substring("word", F.lit(1), i), F.lit(mark), F.substring("word", i + 2, size))
+    # a word's keys: itself (0), what is left without one letter (1), and its wildcards (2), whose open place no word can fill
+    keyed = lambda kind: lambda x: F.struct(x.alias("key"), F.lit(kind).alias("kind"))
+    keys = F.concat(
+        F.array(keyed(0)(F.col("word"))), F.transform(F.array_distinct(F.transform(places, lambda i: without(i, ""))), keyed(1)),
+        F.transform(F.transform(places, lambda i: without(i, "\u0000")), keyed(2)),
+    )
+    spread = known.select("word", "n", F.explode(keys).alias("k")).select("word", "n", "k.key", "k.kind")
+    # members of a group differ in one letter at one place, or left one out: the alphabet bounds them
+    member = F.struct((-F.col("n")).alias("m"), F.col("word").alias("w"))
+    groups = spread.groupBy("key").agg(F.max(F.when(F.col("kind") == 0, member)).alias("self"), F.array_sort(F.collect_list(F.when(F.col("kind") > 0, member))).alias("members"), F.max("kind").alias("kind"))
+    members, count = F.col("members"), F.size("members").cast("long")
+    told = lambda w, near, best: F.struct(w.alias("word"), near.alias("near"), best.alias("best"))
+    replaced = F.transform(members, lambda x: told(x["w"], count - 1, F.when(x["w"] == members[0]["w"], F.get(members, F.lit(1))).otherwise(members[0])))
+    changed = F.concat(F.array(told(F.col("self.w"), count, F.get(members, F.lit(0)))), F.transform(members, lambda x: told(x["w"], F.lit(1).cast("long"), F.col("self"))))
+    answers = groups.where(((F.col("kind") == 2) & (count > 1)) | ((F.col("kind") == 1) & F.col("self").isNotNull())).select(F.explode(F.when(F.col("kind") == 2, replaced).otherwise(changed)).alias("a"))
+    near = answers.select("a.*").groupBy(F.col("word").alias("of")).agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
     fits = -F.col("best.m") >= F.col("n") * ratio
     found = known.join(near, F.col("word") == F.col("of"), "left")
     found = cut(found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("best.w")).alias("form"), F.when(fits, -F.col("best.m")).alias("form_n")), "forms")

@@ -1,10 +1,10 @@
 """Operator 9, embedding near-duplicates with navigable small-world graphs.
 
 Vectors of one label and dimension are dealt into shards of bounded size, each with its own hierarchical
-graph. Every vector queries every shard of its label: a beam finds the neighbourhood, which is then widened
-along the graph as far as links go. Every query of a block is audited by the block's exact matrix product in
-double precision: queries without a link aren't searched, and where the graph missed a link the product
-answers. Components are joined from each block's local ones. Equal vectors are one point throughout.
+graph. Every vector queries every shard of its label: a beam finds the neighbourhood, which is then followed
+along the graph as far as links go, and cosines are verified in double precision. For each pair of shards a recall audit
+of stored and of planted queries widens the beam until it misses nothing; only where it still does at full width the
+pair's exact product answers. Components are joined from each pair's local ones. Equal vectors are one point throughout.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 import heapq
 import math
 import random
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from advisorium.llm.common import connected_components, cut, table
 
-SHARD, DEGREE, BUILD_BEAM, BEAM, MARGIN, TILE = 8192, 16, 48, 32, 0.03 + 1e-5, 256
+SHARD, DEGREE, BUILD_BEAM, BEAM, MARGIN, TILE, AUDITS = 8192, 16, 48, 32, 0.03 + 1e-5, 256, 32
 
 
 class Graph:
@@ -156,29 +157,77 @@ def unpack(raw: bytes, vectors: np.ndarray) -> Graph:
     return graph
 
 
-def linked(queries: np.ndarray, graph: Graph, targets: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query all targets with a cosine of least at least: the graph's, or the exact product's where the graph missed any."""
+def planted(targets: np.ndarray, least: float, n: int) -> np.ndarray:
+    """Unit vectors each moved from a target, spread over all of them, to a cosine between least and halfway from there to 1."""
+    own = targets[np.linspace(0, len(targets) - 1, n).astype(int)]
+    aside = np.random.default_rng(len(targets)).normal(size=own.shape)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    cosine = np.linspace(least + 1e-6, (1 + least) / 2, n)[:, None]
+    moved = cosine * own + np.sqrt(1 - cosine**2) * aside
+    return moved / np.linalg.norm(moved, axis=1, keepdims=True)
+
+
+def search(graph: Graph, queries: np.ndarray, targets: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+    """For each query the targets that the graph leads to and whose cosine, in double precision, is least at least."""
     found = []
-    for start in range(0, len(queries), TILE):
-        tile = queries[start : start + TILE]
-        true = tile @ targets.T >= least
-        for q, own in zip(tile, true, strict=True):
-            if not own.any():
-                found.append(np.zeros(0, np.int64))
-                continue
-            met = graph.within(q.astype(np.float32), least, BEAM, MARGIN)
-            met = met[targets[met] @ q >= least]
-            found.append(met if len(met) == own.sum() else np.flatnonzero(own))
+    for q in queries:
+        met = graph.within(q.astype(np.float32), least, beam, MARGIN)
+        found.append(np.sort(met[targets[met] @ q >= least]))
     return found
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93) -> DataFrame:
+def passing_beam(graph: Graph, queries: np.ndarray, targets: np.ndarray, least: float, beam: int = BEAM, audits: int = AUDITS) -> int:
+    """The first width, doubled from beam on, at which a recall audit misses nothing; 0 if it still does with all targets.
+
+    The audit's queries are some of those at hand and as many vectors planted near targets; what they should find is told by their
+    exact product.
+    """
+    n = min(audits, len(queries))
+    asked = np.concatenate([queries[np.linspace(0, len(queries) - 1, n).astype(int)], planted(targets, least, audits)])
+    true = [np.flatnonzero(t) for t in asked @ targets.T >= least]
+    while True:
+        missed = [i for i, (t, f) in enumerate(zip(true, search(graph, asked, targets, least, beam), strict=True)) if np.setdiff1d(t, f, assume_unique=True).size]
+        if not missed:
+            return beam
+        if beam >= len(targets):
+            return 0
+        beam = min(2 * beam, len(targets))
+
+
+def product(queries: np.ndarray, targets: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each query all targets with a cosine of least at least, by blocks of the exact product."""
+    return [np.flatnonzero(t) for start in range(0, len(queries), TILE) for t in queries[start : start + TILE] @ targets.T >= least]
+
+
+def linked(queries: np.ndarray, graph: Graph, targets: np.ndarray, least: float) -> tuple[list[np.ndarray], int]:
+    """(targets linked with each query, beam): by the graph at the width that passed its audit; by the product, with beam 0, where none did."""
+    beam = passing_beam(graph, queries, targets, least)
+    return (search(graph, queries, targets, least, beam) if beam else product(queries, targets, least)), beam
+
+
+def link_pairs(a: np.ndarray, a_graph: Graph, b: np.ndarray | None, b_graph: Graph | None, least: float) -> tuple[np.ndarray, list[int]]:
+    """(rows of two numbers, beams): links between two shards, or within one, found from either end. Of a link within one both orders are returned."""
+    met, first = linked(a, a_graph if b is None else b_graph, a if b is None else b, least)
+    near = np.concatenate([np.stack([np.full(len(m), i), m], axis=1) for i, m in enumerate(met)])
+    if b is None:
+        near = near[near[:, 0] != near[:, 1]]
+        return np.unique(np.concatenate([near, near[:, ::-1]]), axis=0), [first]
+    met, second = linked(b, a_graph, a, least)
+    back = np.concatenate([np.stack([m, np.full(len(m), i)], axis=1) for i, m in enumerate(met)])
+    return np.unique(np.concatenate([near, back]), axis=0), [first, second]
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, report: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """One row per input row: vec_id, n_links (other vectors linked directly), component_id (smallest id reachable), kept.
 
     Vectors are linked if their labels are equal and not null, they have one dimension, and their cosine in
     double precision is least at least. Null vectors, null ids, zero vectors and those that hold null or
     non-finite components are linked with nothing: no links, their own component, kept.
 
+    A link is found if the graph search from either of its ends meets it; recall is audited for each pair of shards, as in passing_beam().
+    report is given how many searches ran at each width (beam, searches), those by the exact product under width 0.
+
     Repeated rows of an id are one vector, each returned with the same values. Other columns are not read; an
     empty table gives no rows.
     """
@@ -203,20 +252,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return pa.Table.from_pylist([row], schema=built_schema)
 
     built = cut(dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shards int, shard int, ids binary, members binary, x binary, graph binary"), "graphs")
-    # every shard's vectors are a block of queries for every shard of their label
-    asks = built.select("label", "dim", F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    # every shard meets itself and each later shard of its label; links are looked for from both sides
+    left = built.select("label", "dim", "shards", *[F.col(c).alias(f"a_{c}") for c in ("shard", "ids", "members", "x", "graph")], F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard"))
     # each pair of shards is a task of its own, however few bytes it has: its work is what counts
-    tasks = built.agg(F.sum("shards")).first()[0] or 1
-    pairs = asks.join(built.drop("shards"), ["label", "dim", "shard"]).repartition(tasks).select("dim", (F.col("q_shard") == F.col("shard")).alias("own"), "q_ids", "q_x", "ids", "members", "x", "graph")
-    found_schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+    tasks = built.agg(F.sum((F.col("shards") + 1) / 2).cast("int")).first()[0] or 1
+    both = left.join(built.drop("shards"), ["label", "dim", "shard"]).repartitionByRange(tasks, "label", "dim", "a_shard", "shard")
+    pairs = both.select("dim", (F.col("a_shard") == F.col("shard")).alias("own"), "a_ids", "a_members", "a_x", "a_graph", "ids", "members", "x", "graph")
+    found_schema = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("beam", pa.int32())])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                q_ids, ids, size = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["members"], np.int64)
-                q_x, x = np.frombuffer(row["q_x"]).reshape(len(q_ids), row["dim"]), np.frombuffer(row["x"]).reshape(len(ids), row["dim"])
-                found = linked(q_x, unpack(row["graph"], x), x, least)
+
+                def side(prefix: str, row: dict = row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+                    ids, size = np.frombuffer(row[prefix + "ids"], np.int64), np.frombuffer(row[prefix + "members"], np.int64)
+                    x = np.frombuffer(row[prefix + "x"]).reshape(len(ids), row["dim"])
+                    return ids, size, x, unpack(row[prefix + "graph"], x)
+
+                a_ids, a_size, a, a_graph = side("a_")
+                if row["own"]:
+                    b_ids, b_size = a_ids, a_size
+                    near, beams = link_pairs(a, a_graph, None, None, least)
+                else:
+                    b_ids, b_size, b, b_graph = side("")
+                    near, beams = link_pairs(a, a_graph, b, b_graph, least)
                 root: dict[int, int] = {}
 
                 def top(i: int, root: dict[int, int] = root) -> int:
@@ -224,20 +284,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                         root[i] = i = root[j]
                     return i
 
-                links = np.zeros(len(q_ids), np.int64)
-                for q, (name, near) in enumerate(zip(q_ids.tolist(), found, strict=True)):
-                    if row["own"]:
-                        near = near[near != q]
-                    links[q] = size[near].sum()
-                    for j in ids[near].tolist():
-                        a, b = top(name), top(j)
-                        if a != b:
-                            root[max(a, b)] = min(a, b)
-                nodes = list(root)
-                of = dict(zip(q_ids.tolist(), links.tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(i) for i in nodes], pa.int64()), pa.array([of.get(i, 0) for i in nodes], pa.int64())], schema=found_schema)
-
-    found = cut(pairs.mapInArrow(search, "node long, root long, links long"), "found")
+                links: dict[int, int] = defaultdict(int)
+                for i, j in near.tolist():
+                    one, two = int(a_ids[i]), int(b_ids[j])
+                    links[one] += int(b_size[j])
+                    if not row["own"]:
+                        links[two] += int(a_size[i])
+                    if (p := top(one)) != (q := top(two)):
+                        root[max(p, q)] = min(p, q)
+                # the widths that passed are rows without a node
+                nodes = [*root, *[None] * len(beams)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(nodes, pa.int64()), pa.array([None if i is None else top(i) for i in nodes], pa.int64()), pa.array([None if i is None else links[i] for i in nodes], pa.int64()), pa.array([None] * len(root) + beams, pa.int32()),
+                ], schema=found_schema)
+
+    met = cut(pairs.mapInArrow(meet, "node long, root long, links long, beam int"), "found")
+    if report:
+        report(met.where("node is null").groupBy("beam").agg(F.count("*").alias("searches")))
+    found = met.where("node is not null").drop("beam")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(members.select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
     component = cut(connected_components(edges), "component")

@@ -3,7 +3,7 @@
 Tokens with digits or an at sign are instances; the words before them, and a token's shape, are their
 lexical patterns. Instances that hold a base span are the seeds. Round by round, patterns are scored by the
 confidence of their distinct instances and instances by their patterns, on the graph of both as joins and
-sums; what high-confidence patterns point to is found too. DataFrame functions only.
+sums, until no confidence changes; what high-confidence patterns point to is found too. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -56,30 +56,32 @@ def patterns_of(words: Column, token: Column) -> Column:
     return F.filter(F.array(near, both), lambda p: p.isNotNull())
 
 
-def bootstrap(mentions: DataFrame, rounds: int = 30, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
+def bootstrap(mentions: DataFrame, rounds: int = 60, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
     """Tokens that high-confidence patterns find: token. mentions has token, seed (boolean) and patterns (array).
 
     A pattern's confidence is the mean confidence of its distinct tokens, if at least least_support of them
-    are confident, else 0; a token's is 1 for seeds, else one minus the product of its patterns' doubts.
-    Only patterns and tokens of at least least_confidence count in the next round. Confidence only ever grows,
-    and rounds go on until no token is added (RuntimeError if some still are after rounds).
+    are confident, else 0; a token's is 1 for seeds, else one minus the product of its patterns' doubts, rounded down to
+    three decimals. Only patterns and tokens of at least least_confidence count in the next round. Confidence only ever grows,
+    and rounds go on until it is the same for all tokens (RuntimeError if it still grows after rounds).
     """
     edges = cut(mentions.select("token", "seed", F.explode("patterns").alias("pattern")).groupBy("token", "pattern").agg(F.max("seed").alias("seed")), "edges")
     seeds = sure = cut(edges.where("seed").select("token").distinct().withColumn("confidence", F.lit(1.0)), "seeds")
     doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
+    confidence = F.floor((1 - doubt) * 1000 + 1e-6) / 1000
     others = edges.where("not seed").join(seeds.select("token"), "token", "left_anti").select("token", "pattern")
-    added = 0
+    before = None
     for _ in range(rounds):
         rated = edges.join(sure, "token", "left").groupBy("pattern").agg(F.count("confidence").alias("support"), (F.coalesce(F.sum("confidence"), F.lit(0.0)) / F.count("*")).alias("trust"))
         trusted = rated.where((F.col("support") >= least_support) & (F.col("trust") >= least_confidence)).select("pattern", "trust")
-        reached = cut(others.join(trusted, "pattern").groupBy("token").agg((1 - doubt).alias("confidence")).where(F.col("confidence") >= least_confidence), "reached")
-        if (now := reached.count()) == added:
+        reached = cut(others.join(trusted, "pattern").groupBy("token").agg(confidence.alias("confidence")).where(F.col("confidence") >= least_confidence), "reached")
+        now = reached.agg(F.count("*"), F.sum(F.round(F.col("confidence") * 1000).cast("long"))).first()
+        if now == before:
             return reached.select("token")
-        added, sure = now, seeds.unionByName(reached)
-    raise RuntimeError(f"tokens were still added after {rounds} rounds")
+        before, sure = now, seeds.unionByName(reached)
+    raise RuntimeError(f"confidences still grew after {rounds} rounds")
 
 
-def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 30, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
+def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 60, least_support: int = 3, least_confidence: float = 0.8) -> DataFrame:
     """One row per input row: row, doc_id, digest (the text's xxhash64), n_email, n_ip, n_card, n_phone, base (spans), spans (all); a span has kind, begin, finish.
 
     Spans are in code points, end exclusive, by kind and then start. Identifiers found by bootstrapping are

@@ -185,6 +185,14 @@ def test_bootstrapping_finds_identifiers_in_seeded_contexts(spark):
     assert {r.doc_id: r.t for r in clean.collect()}[99] == "write to mail: <found> today"
 
 
+def test_bootstrapping_goes_on_to_its_fixed_point(spark):
+    # t1 and t2 rise a second time without a token being added; only then Q is trusted, and finds late
+    rows = [(f"s{i}", True, ["P", "Q"] if i < 3 else ["P"]) for i in range(8)] + [("t1", False, ["P", "Q"]), ("t2", False, ["P", "Q"]), ("late", False, ["Q"])]
+    mentions = spark.createDataFrame(rows, "token string, seed boolean, patterns array<string>")
+    assert {r.token for r in pii.bootstrap(mentions).collect()} == {"t1", "t2", "late"}
+    assert pii.bootstrap(none_of(mentions)).count() == 0
+
+
 def test_contexts_reach_over_the_whole_text(spark):
     far = " " * 300
     rows = [(0, f"call{far}now 12{far}34 x"), (1, "q" * 100 + " 55"), (2, "77 a@b.c"), (3, "one 5")]
@@ -293,16 +301,35 @@ def test_near_duplicate_vectors(spark):
     assert hnsw.near_duplicates(none_of(vectors)).count() == 0
 
 
-def test_graph_recall():
+def never(*_):
+    raise AssertionError("the exact product was called")
+
+
+def true_pairs(a, b):
+    return {(i, j) for i, j in np.argwhere(a @ b.T >= 0.93).tolist() if a is not b or i != j}
+
+
+def test_graph_recall_without_the_product(monkeypatch):
+    monkeypatch.setattr(hnsw, "product", never)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 24))
     x[750:] = x[:750] + 0.1 * rng.normal(size=(750, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = hnsw.Graph(x)
-    again = hnsw.unpack(hnsw.pack(graph), x)
-    found = hnsw.linked(x, again, x, 0.93)
-    true = (x @ x.T >= 0.93).sum()
-    assert sum(map(len, found)) >= 0.98 * true
+    again = hnsw.unpack(hnsw.pack(hnsw.Graph(x)), x)
+    found, beams = hnsw.link_pairs(x, again, None, None, 0.93)
+    true = true_pairs(x, x)
+    assert {tuple(p) for p in found.tolist()} <= true and len(found) >= 0.98 * len(true) and beams[0] >= hnsw.BEAM
+
+
+def test_sparse_pairs_across_two_shards_without_the_product(monkeypatch):
+    monkeypatch.setattr(hnsw, "product", never)
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2000, 32)), rng.normal(size=(1500, 32))
+    b[::50] = a[:30] + 0.2 * rng.normal(size=(30, 32))
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
+    found, beams = hnsw.link_pairs(a, hnsw.Graph(a), b, hnsw.Graph(b), 0.93)
+    true = true_pairs(a, b)
+    assert len(true) >= 30 and {tuple(p) for p in found.tolist()} <= true and len(found) >= 0.98 * len(true) and len(beams) == 2
 
 
 def test_links_of_a_node_that_the_graph_lost():
@@ -314,8 +341,24 @@ def test_links_of_a_node_that_the_graph_lost():
     for layer in graph.layers:  # as where pruning leaves no link to a node
         for i, near in layer.items():
             layer[i] = near[near != 7]
-    found = hnsw.linked(x, hnsw.unpack(hnsw.pack(graph), x), x, 0.93)
-    assert [sorted(f.tolist()) for f in found] == [np.flatnonzero(x @ q >= 0.93).tolist() for q in x]
+    found, _ = hnsw.link_pairs(x, hnsw.unpack(hnsw.pack(graph), x), None, None, 0.93)
+    assert {tuple(p) for p in found.tolist()} == true_pairs(x, x)  # met from its other end
+
+
+def test_audits_widen_the_beam_and_give_up_a_broken_graph():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(400, 16))
+    x[200:] = x[:200] + 0.05 * rng.normal(size=(200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    assert hnsw.passing_beam(graph, x, x, 0.93, beam=1) >= 1
+    for layer in graph.layers:
+        for i in layer:
+            layer[i] = np.zeros(0, np.int64)
+    graph.near[:] = -1
+    assert hnsw.passing_beam(graph, x, x, 0.93) == 0
+    found, beams = hnsw.link_pairs(x, graph, None, None, 0.93)
+    assert beams == [0] and {tuple(p) for p in found.tolist()} == true_pairs(x, x)
 
 
 def test_sparse_pairs_across_shards(spark, monkeypatch):
@@ -324,11 +367,14 @@ def test_sparse_pairs_across_shards(spark, monkeypatch):
     x = rng.normal(size=(900, 24))
     x[880:] = x[:20] + 0.05 * rng.normal(size=(20, 24))
     vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(vectors).collect()}
+    widths = {}
+    found = hnsw.near_duplicates(vectors, report=lambda df: widths.update({r.beam: r.searches for r in df.collect()}))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.93
     assert near.sum() == 900 + 2 * 20
     assert got == {i: (near[i].sum() - 1, np.flatnonzero(near[i]).min()) for i in range(900)}
+    assert 0 not in widths and sum(widths.values()) == 6 * 6  # each of 6 shards meets itself once and each other from both sides
 
 
 def near_brute(texts, words=5, percent=75):

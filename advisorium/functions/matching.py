@@ -73,12 +73,21 @@ def vendor_name(vendor: Column) -> Column:
     return F.when(~low.isin(NO_VENDOR), F.coalesce(known, own))
 
 
-def vendor_in_title(title: Column, vendors: list[str]) -> Column:
-    """The longest of the vendors that a title names as a whole word, as it is shown, else the capitalised word after product or produit."""
-    low = F.lower(title)
-    found = [F.when(low.rlike(rf"(?U)\b\Q{v}\E\b"), F.lit(v)) for v in sorted(vendors, key=lambda v: (-len(v), v))]
-    after = F.regexp_extract(title, r"(?:produits?|products?)\s+([A-Z][\w.-]+)", 1)
-    return F.coalesce(vendor_name(F.coalesce(*found, F.lit(None).cast("string"))), F.nullif(after, F.lit("")))
+#: Vendors in titles that are shown in another spelling than with capitals first (fixed values).
+TITLE_NAMES = {
+    "redhat": "Red Hat", "red hat": "Red Hat", "ibm": "IBM", "sap": "SAP", "php": "PHP", "f5": "F5", "vmware": "VMware", "nodejs": "Node.js", "node.js": "Node.js", "gitlab": "GitLab", "jetbrains": "JetBrains", "openssl": "OpenSSL",
+    "bind": "BIND", "xen": "Xen", "palo alto": "Palo Alto Networks", "sonicwall": "SonicWall", "moveit": "MOVEit",
+}
+
+
+def title_name(vendor: Column) -> Column:
+    """A vendor, in lower case, as a title's vendor is shown."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in TITLE_NAMES.items() for x in pair]), vendor), F.initcap(vendor))
+
+
+def named_product(title: Column) -> Column:
+    """The capitalised word after product or produit in a title; null if there is none."""
+    return F.nullif(F.regexp_extract(title, r"(?:produits?|products?)\s+([A-Z][\w.-]+)", 1), F.lit(""))
 
 
 def products_of_lines(lines: Column, most: int = 15) -> Column:

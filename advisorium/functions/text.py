@@ -195,6 +195,14 @@ def clean_text(value: Column, least: int = 12) -> Column:
     return F.when((F.length(bare) >= least) & ~_spoiled(value, bare) & ~holds_any(bare, FRAME_MARKS) & ~repeats_like_menu(bare), bare)
 
 
+def unescaped(value: Column) -> Column:
+    """A text with its basic entities decoded."""
+    out = value
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(character))
+    return out
+
+
 def text_lines(html: Column) -> Column:
     """The lines of HTML: ends of blocks end lines, tags go, basic entities are decoded, white space is collapsed, empty lines go."""
     broken = F.regexp_replace(F.regexp_replace(html, r"(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/dt|/dd|/td|/th|/section|/article)[^>]*>", "\n"), "<[^>]+>", " ")

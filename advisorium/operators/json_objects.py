@@ -1,15 +1,13 @@
-"""Records out of JSON of any shape, in Arrow batches: nothing built in descends to unknown depths."""
+"""Records out of JSON of any shape, from its nodes as rows."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from advisorium.functions import text as text_functions
+from advisorium.operators.json_nodes import json_nodes
+
 #: Keys by which a record's fields go, in lower case (fixed values).
 ALIASES = {
     "title": ["title", "cvetitle", "vulnerabilityname", "headline", "name"], "description": ["description", "summary", "shortdescription", "unformatteddescription"],
@@ -17,79 +15,90 @@ ALIASES = {
     "vendor": ["vendor", "vendorproject", "issuingcna"], "versions": ["vulnerable_version_range", "affectedversions", "versionaffected"],
     "solution": ["solution", "remediation", "requiredaction", "recommendation", "mitigation", "fix", "fixinformation"],
 }
-CVE = re.compile(r"CVE-\d{4}-\d{4,7}", re.IGNORECASE)
-SCHEMA = "cve_id string, title string, description string, severity string, score string, product string, vendor string, versions string, solution string, refs array<string>, weaknesses array<string>"
-
-
-def nodes(root: object) -> Iterator[object]:
-    """A JSON value and all within it, a parent before its children, these in order."""
-    waiting = [root]
-    while waiting:
-        here = waiting.pop()
-        yield here
-        within = here.values() if isinstance(here, dict) else here if isinstance(here, list) else ()
-        waiting.extend(reversed(list(within)))
-
-
-def first_scalar(root: object, keys: list[str]) -> str | None:
-    """The first text or number under one of the keys: an object's own before those within it."""
-    for here in nodes(root):
-        for key, value in here.items() if isinstance(here, dict) else ():
-            if key.lower() in keys and isinstance(value, (str, int, float)) and value != "":
-                return value if isinstance(value, str) else json.dumps(value)
-    return None
-
-
-def first_id(root: object) -> str | None:
-    return next((found[0].upper() for x in nodes(root) if isinstance(x, str) and (found := CVE.search(x))), None)
-
+ID = r"(?i)CVE-\d{4}-\d{4,7}"
+#: Keys under which a weakness stands (fixed values).
+WEAKNESS_KEYS = ["cwe", "cweid", "cwe_id"]
+SCHEMA = "cve_id string, title string, description string, severity string, score string, product string, vendor string, versions string, solution string, refs array<string>, weaknesses array<string>, weakness string"
 
-def id_objects(root: object) -> list[dict]:
-    """The longest list of objects that hold an id, without its other members; else the root, if it holds one."""
-    lists = [[x for x in here if isinstance(x, dict) and first_id(x)] for here in nodes(root) if isinstance(here, list)]
-    best = max(lists, key=len, default=[])
-    return best or ([root] if isinstance(root, dict) and first_id(root) else [])
 
+def values_alone(json: Column) -> Column:
+    """A JSON text without its names, so that a pattern meets values only."""
+    return F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"\s*:', "")
 
-def references(root: object, most: int) -> list[str]:
-    """Distinct http urls of lists called references or refs, as texts or as objects with a url."""
-    found = {}
-    for here in nodes(root):
-        for key, value in here.items() if isinstance(here, dict) else ():
-            for x in value if key.lower() in ("references", "refs") and isinstance(value, list) else ():
-                url = x.get("url") or x.get("URL") if isinstance(x, dict) else x
-                if isinstance(url, str) and url.startswith("http"):
-                    found[url] = None
-    return list(found)[:most]
 
+def id_objects(bodies: DataFrame) -> DataFrame:
+    """bodies (doc, body) as doc, at, json: the objects with an id of the list that has most of them, the first of several; else the whole object.
 
-def record(root: dict, most: int) -> dict:
-    """An object's fields; an English description among several languages before any other."""
-    english = next((x["value"] for x in nodes(root) if isinstance(x, dict) and x.get("lang") == "en" and isinstance(x.get("value"), str) and x["value"]), None)
-    fields = {name: first_scalar(root, keys) for name, keys in ALIASES.items()}
-    weaknesses = list(dict.fromkeys(re.findall(r"CWE-\d+", json.dumps(root))))
-    return fields | {"cve_id": first_id(root), "description": english or fields["description"], "refs": references(root, most), "weaknesses": weaknesses}
-
-
-def json_records(bodies: DataFrame, column: str, most: int = 12) -> DataFrame:
-    """bodies with one row more for each record of a JSON text, as columns of SCHEMA under r.
-
-    Texts that are null, no JSON, or nested too deeply to be read, and those without an id, give no row.
+    Within a list objects keep their order; members of an object are met in the order of their names.
     """
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    @F.pandas_udf(f"array<struct<{', '.join(f'{x.split()[0]}: {x.split()[1]}' for x in SCHEMA.split(', '))}>>")
-    def found(texts: pd.Series) -> pd.Series:
-        def one(body: str | None) -> list[dict]:
-            try:
-                root = json.loads(body or "")
-            except (ValueError, RecursionError):
-                return []
-            return [{name: r[name] for name in names} for r in (record(x, most) for x in id_objects(root))]
-
-        return texts.map(one)
-
-    return bodies.withColumn("r", F.explode(found(F.col(column))))
+    nodes = json_nodes(bodies)
+    whole = nodes.where("kind = 'object'").withColumn("holds", values_alone(F.col("json")).rlike(ID))
+    listed = F.try_element_at("keys", F.lit(-1)).isNull() & (F.size("keys") > 0)
+    members = whole.where("holds").where(listed).select("doc", F.slice("path", 1, F.size("path") - 1).alias("of"), F.try_element_at("path", F.lit(-1)).alias("at"), "json")
+    most = members.groupBy("doc", "of").agg(F.count("*").alias("n")).groupBy(F.col("doc").alias("m_doc")).agg(F.min_by("of", F.struct((-F.col("n")).alias("n"), "of")).alias("m_of"))
+    best = members.join(most, (F.col("doc") == F.col("m_doc")) & (F.col("of") == F.col("m_of"))).select("doc", "at", "json")
+    alone = whole.where("holds").where(F.size("path") == 0).join(most, F.col("doc") == F.col("m_doc"), "left_anti").select("doc", F.lit(0).alias("at"), "json")
+    return best.unionByName(alone)
+
+
+def json_records(bodies: DataFrame, most: int = 12) -> DataFrame:
+    """bodies (doc, body) as a record for each of their id_objects(): doc, at and the columns of SCHEMA.
+
+    A field is the first text or number under one of its names, an object's own before those within it; a description in English before
+    any other; product and vendor by the first CPE where no field names a product. Texts that are null, no JSON, or nested too deeply, and
+    those without an id, give no row. doc must be unique.
+    """
+    objects = id_objects(bodies)
+    nodes = json_nodes(objects.select(F.struct("doc", "at").alias("doc"), F.col("json").alias("body")))
+    entries = F.map_entries("scalars")
+    named = lambda keys: F.get(F.filter(entries, lambda e: F.lower(e["key"]).isin(keys) & (e["value"] != "")), F.lit(0))["value"]
+    texts = F.coalesce(F.map_values("strings"), F.col("items"), F.array().cast("array<string>"))
+    own = lambda test: F.get(F.filter(texts, test), F.lit(0))
+    text = lambda key: F.try_element_at(F.col("strings"), F.lit(key))
+    cpe = own(lambda x: x.startswith("cpe:2.3:") & (F.size(F.split(x, ":")) >= 5) & ~F.get(F.split(x, ":"), F.lit(4)).isin("*", "-", ""))
+    part = lambda i: F.replace(F.get(F.split(cpe, ":"), F.lit(i)), F.lit("_"), F.lit(" "))
+    value = text("value")
+    coded = F.coalesce(F.when(value.startswith("CWE-") & ~value.contains("Other") & ~F.lower(value).contains("noinfo"), value), F.get(F.filter("items", lambda x: F.upper(x).startswith("CWE-")), F.lit(0)))
+    # urls of a list called references: its texts, and the url of its objects
+    lists = F.lower(F.try_element_at("keys", F.lit(-1))).isin("references", "refs") & (F.col("kind") == "array")
+    member = (F.size("keys") > 1) & F.try_element_at("keys", F.lit(-1)).isNull() & F.lower(F.try_element_at("keys", F.lit(-2))).isin("references", "refs") & (F.col("kind") == "object")
+    url = F.coalesce(F.nullif(text("url"), F.lit("")), text("URL"))
+    urls = F.when(lists, F.transform(F.filter("items", lambda x: x.startswith("http")), lambda x, i: F.struct(F.concat("path", F.array(i)).alias("path"), x.alias("url")))).when(member & url.startswith("http"), F.array(F.struct("path", url.alias("url"))))
+    picked = {name: named(keys) for name, keys in ALIASES.items()}
+    picked |= {
+        "cve_id": F.nullif(F.upper(F.regexp_extract(own(lambda x: x.rlike(ID)), ID, 0)), F.lit("")), "english": F.when((text("lang") == "en") & (value != ""), value),
+        "named_weakness": named(WEAKNESS_KEYS), "coded_weakness": coded, "cpe_product": part(4), "cpe_vendor": F.when(~part(3).isin("*", "-", ""), part(3)),
+    }
+    rows = nodes.select("doc", "path", *[c.alias(n) for n, c in picked.items()], urls.alias("urls"), F.when(F.size("path") == 0, F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0)))).alias("weaknesses"))
+    first = [F.min_by(n, F.when(F.col(n).isNotNull(), F.col("path"))).alias(n) for n in picked]
+    whole = rows.groupBy("doc").agg(*first, F.array_sort(F.flatten(F.collect_list("urls"))).alias("urls"), F.max("weaknesses").alias("weaknesses"))
+    named_first = F.when(F.upper("named_weakness").startswith("CWE-"), F.col("named_weakness"))
+    out = whole.select(
+        "doc.doc", "doc.at", "cve_id", "title", F.coalesce("english", "description").alias("description"), "severity", "score", F.coalesce("product", "cpe_product").alias("product"),
+        F.coalesce("vendor", F.when(F.col("product").isNull(), F.col("cpe_vendor"))).alias("vendor"), "versions", "solution", F.slice(F.array_distinct(F.transform("urls", lambda u: u["url"])), 1, most).alias("refs"),
+        "weaknesses", F.coalesce(named_first, "coded_weakness").alias("weakness"),
+    )
+    return out.select("doc", "at", *[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def comments(threads: DataFrame, posts: int = 3, each: int = 4) -> DataFrame:
+    """threads (topic, post, at, body) as topic, post, number, author, said, url: of each topic's first posts by their place (at) the first comments, in the order given.
+
+    A body is a list of two listings, of which the second holds the comments; only entries of kind t1 with a text and a link count.
+    Deleted authors are null. A body of another shape gives no row.
+    """
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("at", "post"))
+    first = threads.withColumn("place", place).where(F.col("place") <= posts)
+    nodes = json_nodes(first.select(F.struct("topic", "post").alias("doc"), "body"))
+    # [1].data.children[i] and its data
+    child = (F.get("path", F.lit(0)) == 1) & (F.try_element_at("keys", F.lit(2)) == "data") & (F.try_element_at("keys", F.lit(3)) == "children") & F.try_element_at("keys", F.lit(1)).isNull()
+    heads = nodes.where((F.size("keys") == 4) & (F.col("kind") == "object")).where(child).where(F.try_element_at("strings", F.lit("kind")) == "t1").select("doc", "path")
+    bodies = nodes.where((F.size("keys") == 5) & (F.col("kind") == "object")).where(child & (F.try_element_at("keys", F.lit(5)) == "data"))
+    look = lambda key: F.try_element_at(F.col("strings"), F.lit(key))
+    told = bodies.select(F.col("doc").alias("thread"), F.slice("path", 1, 4).alias("of"), F.nullif(look("author"), F.lit("[deleted]")).alias("author"), text_functions.bare_text(look("body")).alias("said"), look("permalink").alias("url"))
+    kept = told.join(heads, (F.col("thread") == F.col("doc")) & (F.col("of") == F.col("path"))).where("said is not null and url <> ''")
+    rank = F.row_number().over(Window.partitionBy("thread").orderBy("of"))
+    return kept.withColumn("number", rank).where(F.col("number") <= each).select("thread.topic", "thread.post", "number", "author", "said", "url")
 
 
 def two_levels(pages: DataFrame, ids: str, links: str, least: int = 3, follow: int = 20) -> DataFrame:

@@ -25,7 +25,8 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit('"}], "references": [{"url": "https://a/'), event.cast("string"), F.lit('"}, "ftp://c", "https://b", "https://b"]}, {"id": "CVE-2024-'), (20000 + event).cast("string"), F.lit('", "summary": "short"}, {"id": "none"}]}'),
         F.when(F.col("user_id") % 4 == 3, "").otherwise("}"),
     )
-    return json_objects.json_records(table(spark, d, "events").select("event_id", body.alias("body")), "body").select("event_id", "r.cve_id", "r.title", "r.description", "r.severity", "r.score", "r.refs", "r.weaknesses")
+    found = json_objects.json_records(table(spark, d, "events").select(event.alias("doc"), body.alias("body")))
+    return found.select(F.col("doc").alias("event_id"), "cve_id", "title", "description", "severity", "score", "refs", "weaknesses")
 
 
 @query("two_level_ids", """

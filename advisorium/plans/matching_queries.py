@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.functions import dates, matching, scoring, text, urls
+from advisorium.operators import catalogue
 from advisorium.operators import matching as joins
 from advisorium.operators import records as ops
 from advisorium.plans.registry import query
@@ -81,11 +82,16 @@ def vendor_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(said).select("nation", matching.vendor_name(F.col("nation")).alias("shown"))
 
 
-@query("title_vendors", "SELECT n_name AS nation, CASE WHEN n_name = 'UNITED STATES' THEN 'united states' WHEN n_name LIKE '%UNITED%' THEN 'United' WHEN n_name = 'CHINA' THEN 'China' ELSE 'Zed.' || n_nationkey END AS vendor FROM nation")
+@query("title_vendors", """
+WITH v AS (SELECT unnest(['palo alto', 'jetbrains', 'ibm', 'node.js', 'united states', 'united', 'alto']) AS vendor, unnest(['Palo Alto Networks', 'JetBrains', 'IBM', 'Node.js', 'United States', 'United', 'Alto']) AS shown)
+SELECT c_custkey, CASE c_custkey % 8 WHEN 7 THEN 'Zed.' || c_nationkey ELSE ['Palo Alto Networks', 'JetBrains', 'IBM', 'Node.js', 'United States', 'United', 'Alto'][c_custkey % 8 + 1] END AS vendor FROM customer""")
 def title_vendors(spark: SparkSession, d: str) -> DataFrame:
-    """The vendor that a title names, longest first; else the word after product."""
-    title = F.concat(F.lit("Several flaws in "), "n_name", F.lit(", products Zed."), F.col("n_nationkey").cast("string"))
-    return table(spark, d, "nation").select(F.col("n_name").alias("nation"), matching.vendor_in_title(title, ["united", "united states", "china", "ina"]).alias("vendor"))
+    """The vendor that a title names, longest first, as it is shown; else the word after product."""
+    vendors = spark.createDataFrame([(x,) for x in ("palo alto", "jetbrains", "ibm", "node.js", "united states", "united", "alto")], "vendor string")
+    k = F.col("c_custkey") % 8
+    named = F.element_at(F.array(*[F.lit(x) for x in ("PALO ALTO", "JetBrains", "ibm", "Node.js", "the United States", "United", "Alto", "reunited")]), (k + 1).cast("int"))
+    title = F.concat(F.lit("Flaws of "), named, F.lit(", products Zed."), F.col("c_nationkey").cast("string"), F.lit(" and "), F.col("c_custkey").cast("string"))
+    return catalogue.title_vendors(table(spark, d, "customer").select("c_custkey", title.alias("title")), vendors).select("c_custkey", "vendor")
 
 
 @query("line_products", sql("SELECT DISTINCT vendor, product, [vendor || ' ' || product, product] AS names FROM vuln_raw"))

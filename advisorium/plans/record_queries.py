@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from advisorium.functions import scoring, text
+from advisorium.operators import catalogue
 from advisorium.operators import records as ops
 from advisorium.plans.registry import query
 from advisorium.sources.tables import NOW, sql, table, vuln_raw
@@ -288,12 +289,17 @@ def corroboration(spark: SparkSession, d: str) -> DataFrame:
     return ops.corroborated(vuln_raw(spark, d))
 
 
-@query("alias_theta_join", sql("SELECT DISTINCT cve_id, p_name AS name FROM (SELECT cve_id, 'seen in ' || product || '; not in x' || vendor AS note FROM vuln_raw) JOIN (SELECT DISTINCT p_name FROM part) n ON regexp_matches(lower(note), '(^|[^a-z0-9])' || lower(n.p_name) || '([^a-z0-9]|$)')"))
+@query("alias_theta_join", sql("""
+, notes AS (SELECT DISTINCT product, vendor, ' ' || trim(regexp_replace(lower('seen in ' || product || '; not in x' || vendor), '[^a-z0-9]+', ' ', 'g')) || ' ' AS note FROM vuln_raw),
+met AS (SELECT product, vendor, p_name AS name FROM notes JOIN (SELECT DISTINCT p_name FROM part) n ON contains(note, ' ' || lower(n.p_name) || ' '))
+SELECT DISTINCT cve_id, name FROM vuln_raw JOIN met USING (product, vendor)"""))
 def alias_join(spark: SparkSession, d: str) -> DataFrame:
-    """Names in texts at word bounds, by n-grams and an equi-join in place of a nested loop."""
-    note = F.concat(F.lit("seen in "), "product", F.lit("; not in x"), "vendor")
-    names = table(spark, d, "part").select(F.col("p_name").alias("name"))
-    return ops.alias_match(vuln_raw(spark, d).select("cve_id", note.alias("note")), names, "note").select("cve_id", "name").distinct()
+    """Names in texts at word bounds: distinct texts meet distinct names by words, and records are joined back."""
+    note = F.lower(F.concat(F.lit("seen in "), "product", F.lit("; not in x"), "vendor"))
+    records = vuln_raw(spark, d).select("cve_id", note.alias("note"))
+    names = table(spark, d, "part").select(F.col("p_name").alias("name"), F.lower("p_name").alias("alias")).distinct()
+    met = catalogue.word_join(records.select(F.col("note").alias("text")), names).join(ops.small(names), "alias")
+    return records.join(ops.small(met.select(F.col("text").alias("note"), "name")), "note").select("cve_id", "name").distinct()
 
 
 @query("asof_last_run", "SELECT event_id, last_run::DATE::VARCHAR AS last_run FROM events e ASOF LEFT JOIN (SELECT user_id, ts AS last_run FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'signup')) r ON e.user_id = r.user_id AND e.ts >= r.last_run WHERE event_type <> 'signup'")

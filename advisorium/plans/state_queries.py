@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from advisorium.functions import dates, scoring, text
-from advisorium.operators import questions
+from advisorium.operators import grounding, questions
 from advisorium.operators import records as ops
 from advisorium.plans.registry import query
 from advisorium.sources.tables import NOW, sql, table, vuln_raw
@@ -214,12 +214,17 @@ def percentile_bands(spark: SparkSession, d: str) -> DataFrame:
     return vuln_raw(spark, d).withColumn("q", quarter).where("q = 4").groupBy("vendor").agg(F.min("cvss_score").alias("low"), F.max("cvss_score").alias("high"), F.count("*").alias("n"))
 
 
-@query("technical_tokens_kept", "SELECT doc_id, true AS kept FROM documents")
+@query("technical_tokens_kept", """
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['CWE-' || (o_custkey % 90 + 10)] WHEN 2 THEN ['2.' || o_custkey || '.1'] ELSE list_sort(['CVE-2020-' || (10000 + o_orderkey), 'https://maker.example/' || o_orderkey || '?a=1']) END AS lost FROM orders""")
 def technical_tokens_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Whether all technical tokens of a text stand in its rewritten form."""
-    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+(?:\.\d+)+"), F.lit(0)))
-    rewritten = F.concat(F.lit("Summary: "), F.regexp_replace("text", r"\s+", " "))
-    return table(spark, d, "documents").select("doc_id", F.forall(tokens, lambda t: F.contains(rewritten, t)).alias("kept"))
+    """The technical values of a text that its translation lost or altered."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    weakness = F.concat(F.lit("CWE-"), (F.col("o_custkey") % 90 + 10).cast("string"))
+    text = lambda cve, url, cwe, version: F.concat(F.lit("Flaw "), cve, F.lit(" (see "), url, F.lit(") of kind "), cwe, F.lit(" before "), version)
+    cve, url, version = F.concat(F.lit("CVE-2020-"), (10000 + F.col("o_orderkey")).cast("string")), F.concat(F.lit("https://maker.example/"), k, F.lit("?a=1")), F.concat(F.lit("2."), c, F.lit(".1"))
+    case, said = F.col("o_orderkey") % 4, text(cve, url, weakness, version)
+    kept = F.when(case == 0, F.lower(said)).when(case == 1, text(cve, url, F.lit("CWE-9"), version)).when(case == 2, text(cve, url, weakness, F.concat(F.lit("2."), c, F.lit(".2")))).otherwise(text(F.lit("CVE-2020-9999"), F.concat(F.lit("https://maker.example/"), k), weakness, version))
+    return table(spark, d, "orders").select("o_orderkey", grounding.missing_values(said, kept).alias("lost"))
 
 
 @query("completeness_rows", sql("SELECT seq, round_even((2 + CASE WHEN solution <> '' THEN 1 ELSE 0 END + CASE WHEN cve_status <> '' THEN 1 ELSE 0 END) * 100 / 4, 0)::INTEGER AS filled FROM vuln_raw"))

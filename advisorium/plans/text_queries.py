@@ -66,14 +66,6 @@ def host_suffix(spark: SparkSession, d: str) -> DataFrame:
     return ops.host_suffix_match(table(spark, d, "pages").select(urls.host(F.col("url")).alias("host")).where("host is not null").distinct(), known)
 
 
-@query("typosquat", f"SELECT DISTINCT label, n_name AS near FROM (SELECT string_split({HOST}, '.')[1] AS label FROM pages) JOIN (SELECT lower(n_name) AS n_name FROM nation) ON levenshtein(label, n_name) <= 2 AND label <> n_name")
-def typosquat(spark: SparkSession, d: str) -> DataFrame:
-    """First host labels within two edits of a known name; the names are a counted small side."""
-    labels = table(spark, d, "pages").select(F.substring_index(urls.host(F.col("url")), ".", 1).alias("label")).where("label is not null").distinct()
-    names = ops.small(table(spark, d, "nation").select(F.lower("n_name").alias("near")))
-    return labels.join(names, (F.levenshtein("label", "near", 2) >= 0) & (F.col("label") != F.col("near"))).select("label", "near").distinct()
-
-
 @query("strip_tags", "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS body FROM pages")
 def strip_tags(spark: SparkSession, d: str) -> DataFrame:
     """The text of pages."""
@@ -247,9 +239,8 @@ def stream_tumbling_day(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_dedup_watermark", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """ST02, ST19: each event once, by state that is kept for three days of event time."""
-    found = runs.drained(spark, f"{d}/events.parque[t]", lambda e: runs.deduplicated(e.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("at")), "event_id", "at"), "append", _state_dir(spark))
-    return found.groupBy("event_type").agg(F.count("*").alias("n"))
+    """ST02: each event once, whatever the order of files and however late an event is."""
+    return runs.deduplicated(spark, f"{d}/events.parque[t]", "event_id", "ts", _state_dir(spark)).read().groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("stream_alerts", "SELECT 'failing:' || user_id AS alert_key, runs, failures FROM (SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failures FROM events GROUP BY user_id) WHERE failures > 0.1 * runs")

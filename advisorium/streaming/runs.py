@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from advisorium.streaming.store import KeyedStore
+
 
 def drained(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], mode: str, state_dir: str, files: int = 4) -> DataFrame:
     """What a streaming plan over the files of a path (a folder, or a pattern for one file) gives once all are read, in batches of a few files.
@@ -32,9 +34,28 @@ def drained(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFram
     return written.drop("batch")
 
 
-def deduplicated(events: DataFrame, key: str, ts_col: str, late: str = "3 days") -> DataFrame:
-    """Each key once among events that lie within late of one another; the state of older ones is given up."""
-    return events.withWatermark(ts_col, late).dropDuplicatesWithinWatermark([key])
+def deduplicated(spark: SparkSession, path: str, key: str, ts_col: str, state_dir: str, files: int = 4) -> KeyedStore:
+    """Each key once, however late, repeated or unordered the files of a path bring it: a store in buckets by day of event time.
+
+    A key's rows must agree on their time; of rows that differ elsewhere the greatest counts. Only the days that a
+    batch's rows fall into are read and written. Rows without a key are left out, rows without a time share a bucket.
+    """
+    schema = spark.read.parquet(path).schema
+    store = KeyedStore(spark, f"{state_dir}/seen-{uuid.uuid4().hex}", schema, key, bucket=F.unix_date(F.to_date(ts_col)))
+    store.feed(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path), f"{store.path}/checkpoint")
+    return store
+
+
+def rescanned(store: KeyedStore, source: DataFrame, ts_col: str, batch: int, overlap: str = "3 days") -> DataFrame:
+    """Rows of a source that a run adds to a store: those from overlap before the store's newest time on, not met before.
+
+    The bound is one value, so that it reaches the source's scan. A row that turns up later than overlap after its
+    time is left to a run with a longer one. The rows are returned as the store's changes of this batch.
+    """
+    mark = store.read().agg(F.max(ts_col)).first()[0]
+    fresh = source if mark is None else source.where(F.col(ts_col) >= F.lit(mark) - F.expr(f"INTERVAL {overlap}"))
+    store.apply(fresh, batch)
+    return store.changes().where((F.col("batch") == batch) & F.col("before").isNull()).select(store.key, "after.*")
 
 
 def tumbling(events: DataFrame, ts_col: str, width: str, group: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_functions_give_a_defined_result_for_nulls_and_empty_texts(spark):
     assert one(spark, matching.file_name(F.lit("¿?"))) == "document"
     assert one(spark, matching.file_name(F.lit("Élan / n° 1.pdf "))) == "Elan_n_1.pdf"
     assert one(spark, matching.advisory_id(F.lit("CERTFR-2024- AVI -0123 x"))) == "CERTFR-2024-AVI-0123"
-    assert one(spark, matching.vendor_in_title(none, ["acme"])) is None
+    assert one(spark, matching.title_name(none)) is None and one(spark, matching.named_product(none)) is None
     assert one(spark, matching.question_scope(none, F.lit(None).cast("array<string>"), none, F.lit(None).cast("boolean"))) == "auto"
     assert one(spark, urls.reputation(none, ["a.b"], [])) == "unknown"
     assert one(spark, urls.reputation(F.lit("x.cert.gov.uk"), [], [])) == "whitelisted"
@@ -86,7 +86,7 @@ def test_json_of_any_shape(spark):
     deep = "[" * 100000 + "]" * 100000
     bodies = [None, "", "no json", deep, "[1]", '{"id": "CVE-2020-1234", "a": {"title": ""}, "b": {"Title": "t"}}', '[{"x": "CVE-2020-0001"}, {"x": "CVE-2020-0001"}, {"y": 1}]']
     rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string")
-    found = json_objects.json_records(rows, "body").select("id", "r.cve_id", "r.title", "r.refs").collect()
+    found = json_objects.json_records(rows.withColumnRenamed("id", "doc")).select("doc", "cve_id", "title", "refs").collect()
     assert sorted(map(tuple, found)) == [(5, "CVE-2020-1234", "t", []), (6, "CVE-2020-0001", None, []), (6, "CVE-2020-0001", None, [])]
 
 

@@ -146,7 +146,7 @@ def advisories(pages: DataFrame, now: Column) -> DataFrame:
     """
     none = F.array().cast("array<string>")
     # each step is read several times by the next, so each is a projection of its own
-    own = pages.select(*[c for c in pages.columns if c not in FIELDS], F.coalesce("html", F.lit("")).alias("a_page"))
+    own = pages.select(F.struct("*").alias("a_doc"), "url", F.coalesce("html", F.lit("")).alias("a_page"))
     own = own.withColumns({"a_lines": text.text_lines(F.col("a_page")), "a_pairs": pairs(F.col("a_page")), "a_heading": title(F.col("a_page")), "a_host": F.coalesce(urls.host(F.col("url")), F.lit(""))})
     own = own.withColumn("a_found", sections(F.col("a_lines")))
     own = own.withColumns({f"a_{name}": values_of(F.col("a_found"), name) for name in LINE_LABELS})
@@ -180,7 +180,7 @@ def advisories(pages: DataFrame, now: Column) -> DataFrame:
     }
     moment = lambda c: F.get(F.filter(F.transform(c, lambda x: dates.parsed_time(x, now)), lambda x: x.isNotNull()), F.lit(0))
     out = own.withColumns(told).withColumns({"a_published": moment("a_published_text"), "a_updated": moment("a_updated_text")})
-    kept = [F.col(c) for c in pages.columns if c not in FIELDS]
+    kept = [F.col("a_doc").getField(c).alias(c) for c in pages.columns if c not in FIELDS]
     renamed = {"published_at": "a_published", "updated_at": "a_updated", "risk_level": "a_risk", "impact": "a_impact_text", "platform": "a_platform_text", "product": "a_product_text", "fixed_version": "a_fix", "solution": "a_solution_text", "description": "a_description_text"}
     fields = {name: text.risk_severity(F.col("a_risk")) if name == "severity" else F.col(renamed.get(name, name)) for name in FIELDS}
     return out.select(*kept, *[c.alias(name) for name, c in fields.items()])

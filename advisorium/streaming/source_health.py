@@ -19,6 +19,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 #: Hours without a good result, failures, empty results and minutes of delay from which an alert is raised (fixed values).
 STALE_HOURS, RETRIES, EMPTIES, DELAY_MINUTES = 24, 3, 5, 15
+#: How far the watermark is held back, so that no late result is dropped; timers are set back as far, so they follow the newest time.
+LATE_DAYS = 3650
 #: Alerts and their levels (fixed values).
 LEVELS = {"stale": "critical", "retries": "warning", "empty": "info", "delay": "warning"}
 
@@ -75,7 +77,7 @@ class Health(StatefulProcessor):
         self.marks.update((*(newest or (None, None)), *(good or (None, None)), *(found or (None, None)), old[6] + 1))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        due = None if good is None else good[0] // 1000 + STALE_HOURS * 3_600_000 + 1
+        due = None if good is None else good[0] // 1000 + STALE_HOURS * 3_600_000 + 1 - LATE_DAYS * 86_400_000
         stale = due is None or due <= timerValues.getCurrentWatermarkInMs()
         if not stale:
             self.handle.registerTimer(due)
@@ -107,11 +109,11 @@ def source_health(results: DataFrame) -> DataFrame:
     """A feed of states and alerts, a row for each source and batch that changed it or let its timer run out.
 
     results is a stream of source (string), id (long), ts (timestamp), status and error. The clock is the newest
-    time in the stream. Results without a source, id or time are left out.
+    time in the stream. Results without a source, id or time are left out, and those of over LATE_DAYS before the newest one.
     """
     spark = results.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    told = results.where("source is not null and id is not null and ts is not null").select("source", "id", "ts", "status", "error").withWatermark("ts", "0 seconds")
+    told = results.where("source is not null and id is not null and ts is not null").select("source", "id", "ts", "status", "error").withWatermark("ts", f"{LATE_DAYS} days")
     return told.groupBy("source").transformWithStateInPandas(Health(), FEED, "Update", "EventTime")
 
 

@@ -54,10 +54,10 @@ class KeyedStore:
         return self._exists(f"{self.path}/manifest/{batch:012d}/_SUCCESS")
 
     def _buckets(self, of: dict[int, int]) -> DataFrame:
-        paths = [f"{self.path}/rows/{written:012d}/store_bucket={bucket}" for bucket, written in sorted(of.items())]
+        paths = [f"{self.path}/rows/written={written}/store_bucket={bucket}" for bucket, written in sorted(of.items())]
         if not paths:
             return self.spark.createDataFrame([], self.bucketed)
-        return self.spark.read.schema(self.bucketed).option("basePath", f"{self.path}/rows").parquet(*paths)
+        return self.spark.read.schema(self.bucketed).option("basePath", f"{self.path}/rows").parquet(*paths).select(*self.bucketed.names)
 
     def read(self) -> DataFrame:
         """All rows as they are now, whatever is written later."""
@@ -101,7 +101,7 @@ class KeyedStore:
         changed = both.where("is_new or not (before <=> store_row)").select("store_key", "before", F.col("store_row").alias("after"), F.lit(batch).cast("long").alias("batch"))
         changed.write.mode("overwrite").parquet(f"{self.path}/changes/{name}")
         if touched:
-            both.select("store_bucket", "store_key", "store_row").repartition(len(touched), "store_bucket").write.mode("overwrite").partitionBy("store_bucket").parquet(f"{self.path}/rows/{name}")
+            both.select("store_bucket", "store_key", "store_row").repartition(len(touched), "store_bucket").write.mode("overwrite").partitionBy("store_bucket").parquet(f"{self.path}/rows/written={batch}")
         if log is not None:
             log.select(F.lit(batch).cast("long").alias("batch"), "level", "source", "message").write.mode("overwrite").parquet(f"{self.path}/log/{name}")
         manifest = known | dict.fromkeys(touched, batch)

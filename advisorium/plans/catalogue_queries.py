@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advisorium.functions import urls
+from advisorium.functions import official, urls
 from advisorium.operators import catalogue, similarity
 from advisorium.plans.page_queries import joined
 from advisorium.plans.registry import query
@@ -125,3 +125,33 @@ SELECT p_partkey, name AS product, domain, is_primary FROM r JOIN p ON r.structu
 def catalogue_matches(spark: SparkSession, d: str) -> DataFrame:
     """Records matched by the older rule, CPE matches added, with the primary product of each."""
     return catalogue.matched(records(spark, d), products(spark, d)).select("p_partkey", "product", "domain", "is_primary")
+
+
+@query("official_sources", """
+WITH c AS (SELECT c_custkey AS k, 'maker' || c_nationkey AS maker, 'CVE-2020-' || (10000 + c_custkey) AS cve FROM customer)
+SELECT k AS c_custkey, list_sort([maker || 'labs', maker || '-labs', maker] || CASE WHEN k % 3 = 0 THEN ['firefox', 'mozilla'] ELSE [] END) AS slugs,
+  CASE k % 5 WHEN 0 THEN 'https://www.' || maker || '.com/security/' || k WHEN 1 THEN 'https://github.com/' || maker || '/x' WHEN 2 THEN 'https://nvd.nist.gov/vuln/detail/' || cve WHEN 3 THEN 'https://www.cve.org/CVERecord?id=' || cve ELSE 'https://support.' || maker || '.com/a' END AS source,
+  CASE k % 5 WHEN 0 THEN 'https://www.' || maker || '.com/security/' || k WHEN 1 THEN 'https://github.com/' || maker || '/x' WHEN 4 THEN 'https://support.' || maker || '.com/a' END AS site FROM c""")
+def official_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Names of vendors in hosts, and the official source and site that they tell among references."""
+    k, maker = F.col("c_custkey"), joined("maker", F.col("c_nationkey"))
+    cve = joined("CVE-2020-", 10000 + k)
+    blog, other, nvd = joined("https://blog.example/", cve), joined("https://", maker, ".com/CVE-2020-", 10001 + k), joined("https://nvd.nist.gov/vuln/detail/", cve)
+    refs = (
+        F.when(k % 5 == 0, F.array(joined("https://", maker, ".com/home"), joined("https://bugs.", maker, ".com/security/1"), joined("https://www.", maker, ".com/security/", k), nvd))
+        .when(k % 5 == 1, F.array(blog, nvd, joined("https://github.com/other/", maker), joined("https://github.com/", maker, "/x")))
+        .when(k % 5 == 2, F.array(blog, joined("https://www.cisa.gov/x"), nvd, other)).when(k % 5 == 3, F.array(blog, nvd)).otherwise(F.array(nvd, joined("https://support.", maker, ".com/a"), F.lit("ftp://x")))
+    )
+    slugs = official.vendor_slugs(F.concat(maker, F.lit(" Labs Inc.")), F.when(k % 3 == 0, F.array(F.lit("Linux Firefox"), F.lit("NVD - CVE-2020-0001"))))
+    rows = table(spark, d, "customer").select("c_custkey", refs.alias("refs"), cve.alias("cve"), maker.alias("vendor"), F.filter(slugs, lambda s: ~s.contains("inc")).alias("own"), F.when(k % 5 == 3, joined(nvd, "/")).alias("collected"))
+    own = F.concat(F.col("own"), F.array(F.concat("vendor", F.lit("labs")), F.concat("vendor", F.lit("-labs"))))
+    told = rows.withColumn("slugs", F.array_sort(F.array_distinct(own)))
+    return told.select("c_custkey", "slugs", official.official_source(F.col("refs"), F.col("slugs"), F.col("cve"), F.col("collected")).alias("source"), official.official_site(F.when(F.col("c_custkey") % 5 == 2, F.slice("refs", 1, 3)).otherwise(F.col("refs")), F.col("slugs"), F.col("vendor")).alias("site"))
+
+
+@query("vendor_sites", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'https://maker' || c_nationkey || '.com/' WHEN 1 THEN 'https://a.maker' || c_nationkey || '.org/' END AS site FROM customer")
+def vendor_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites of vendors that are called by their domains."""
+    k, n = F.col("c_custkey") % 3, F.col("c_nationkey")
+    vendor = F.when(k == 0, joined(" Maker", n, ".COM/ ")).when(k == 1, joined("https://A.maker", n, ".org/x")).otherwise(joined("Maker ", n, " Inc."))
+    return table(spark, d, "customer").select("c_custkey", official.vendor_site(vendor).alias("site"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from advisorium.functions import advisories
+from advisorium.functions import advisories, official
 from advisorium.operators import audits, catalogue, grounding, identifier_dates, json_nodes, json_objects, similarity
 
 def now():
@@ -166,3 +166,16 @@ def test_values_stand_whole_or_within_longer_ones(spark):
     texts = spark.createDataFrame([(1, "s", "2.4 and https://a.example/x"), (1, "t", "2.5"), (2, "s", "CVE-2020-0001"), (3, "s", "cve-2020-0001"), (4, "s", "no values"), (5, "s", None), (6, "s", "1.0")], "id int, field string, said string")
     got = {(r.id, r.field): r.invented for r in grounding.ungrounded(texts, pages).collect()}
     assert got == {(1, "s"): [], (1, "t"): ["2.5"], (2, "s"): ["CVE-2020-0001"], (3, "s"): [], (4, "s"): [], (5, "s"): [], (6, "s"): ["1.0"]}
+
+
+def test_slugs_of_vendors(spark):
+    rows = [("Red Hat", None), ("Google Chrome", []), ("F5", ["Linux Mac OS Windows"]), (None, ["NVD - CVE-2020-0001", "Windows Firefox 3", None]), ("Node.js", ["a", "b", "c", "Chrome"]), (None, None), ("NVD", [""]), ("Acme Cloud Systems", None)]
+    frame = spark.createDataFrame(rows, "vendor string, products array<string>")
+    got = [r.s for r in frame.select(official.vendor_slugs(F.col("vendor"), F.col("products")).alias("s")).collect()]
+    assert got == [["redhat", "red-hat"], ["googlechrome", "google-chrome", "google", "chrome"], [], ["firefox", "mozilla"], ["nodejs"], [], [], ["acmecloudsystems", "acme-cloud-systems", "acme"]]
+
+
+def test_scores_of_references(spark):
+    urls = ["https://acme.com/x", "https://my-acme.org/security/1", "https://acmeco.com/", "https://github.com/acme/x/releases", "https://github.com/other/acme", "https://jira.acme.com/browse/1", "https://nvd.nist.gov/vuln/1", "https://blog.example/acme", "no url", None]
+    frame = spark.createDataFrame([(u, ["acme"]) for u in urls], "url string, slugs array<string>")
+    assert [r.s for r in frame.select(official.reference_score(F.col("url"), F.col("slugs")).alias("s")).collect()] == [100, 106, 0, 96, 0, 80, 56, 0, 0, 0]

@@ -86,10 +86,11 @@ def store_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("store_changes", """
-WITH t AS (SELECT conv_id, turn % 2 AS batch, max((turn, text)) AS r FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id, turn % 2), b AS (SELECT conv_id, r AS before FROM t WHERE batch = 0)
+WITH t AS (SELECT conv_id, turn % 2 AS batch, max((turn, text)) AS r FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id, turn % 2), b AS (SELECT conv_id, r AS before FROM t WHERE batch = 0),
+m AS (SELECT conv_id, before, greatest(before, r)[1] AS turn, CASE WHEN length(least(before, r)[2]) > length(greatest(before, r)[2]) THEN least(before, r)[2] ELSE greatest(before, r)[2] END AS after FROM t JOIN b USING (conv_id) WHERE batch = 1)
 SELECT conv_id, 0::BIGINT AS batch, NULL::VARCHAR AS before, r[2] AS after FROM t WHERE batch = 0
 UNION ALL SELECT conv_id, 1, NULL, r[2] FROM t WHERE batch = 1 AND conv_id NOT IN (SELECT conv_id FROM b)
-UNION ALL SELECT conv_id, 1, before[2], CASE WHEN length(least(before, r)[2]) > length(greatest(before, r)[2]) THEN least(before, r)[2] ELSE greatest(before, r)[2] END FROM t JOIN b USING (conv_id) WHERE batch = 1""")
+UNION ALL SELECT conv_id, 1, before[2], after FROM m WHERE turn <> before[1] OR after <> before[2]""")
 def store_changes(spark: SparkSession, d: str) -> DataFrame:
     """ST07: the change feed of the same store."""
     return _store(spark, d).changes().select("conv_id", "batch", F.col("before.text").alias("before"), F.col("after.text").alias("after"))

@@ -134,7 +134,7 @@ def page_ids(html: Column) -> Column:
 
 def is_portal(html: Column, host: Column) -> Column:
     """Whether a listing is one of advisories: a known host, or numbers of advisories and no CVE id."""
-    numbers = F.coalesce(html.rlike(NUMBER), F.lit(False)) & ~F.coalesce(html.rlike(r"(?i)CVE-\d{4}-\d{4,7}"), F.lit(False))
+    numbers = F.coalesce(html.rlike(NUMBER), F.lit(False)) & ~F.coalesce(html.rlike(r"(?i)CVE-\d{4}-\d{4,}"), F.lit(False))
     return urls.under_any(F.regexp_replace(F.lower(host), r"^\.+", ""), PORTALS) | numbers
 
 

@@ -35,7 +35,7 @@ def vendor_slugs(vendor: Column, products: Column) -> Column:
     """
     none = F.array().cast("array<string>")
     first_word = lambda p: F.get(F.filter(F.split(F.trim(p), r"\s+"), lambda w: ~F.regexp_replace(F.lower(w), "[^a-z0-9]+", "").isin(PLATFORMS)), F.lit(0))
-    told = F.filter(F.slice(F.coalesce(products, none), 1, 3), lambda p: (p != "") & ~p.rlike(r"(?i)CVE-\d{4}-\d{4,7}"))
+    told = F.filter(F.slice(F.coalesce(products, none), 1, 3), lambda p: (p != "") & ~p.rlike(r"(?i)CVE-\d{4}-\d{4,}"))
     names = F.filter(F.transform(F.concat(F.array(vendor), F.transform(told, first_word)), lambda n: F.trim(F.regexp_replace(F.lower(n), "[^a-z0-9 ]+", ""))), lambda n: F.length(n) >= 3)
     makers = F.create_map(*[F.lit(x) for pair in MAKERS.items() for x in pair])
 

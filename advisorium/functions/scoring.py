@@ -152,7 +152,7 @@ def discussion_relevance(cve_id: Column, title: Column, body: Column, comment: C
     """How much a discussion is about an id, from 0 to 1: nothing unless it cites the id; then half, more for the title unless it is a
     comment, for technical words and for answers, less if it cites five other ids or more. Nulls count as absent."""
     said = F.lower(F.concat_ws(" ", title, body))
-    cited = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit(r"cve-\d{4}-\d{4,7}"), F.lit(0)), F.upper))
+    cited = F.array_distinct(F.transform(F.regexp_extract_all(said, F.lit(r"cve-\d{4}-\d{4,}"), F.lit(0)), F.upper))
     points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
     total = 50 + points(F.contains(F.upper(title), F.upper(cve_id)) & ~F.coalesce(comment, F.lit(False)), 30) + points(said.rlike("|".join(TECHNICAL_WORDS)), 15) + points((F.coalesce(answers, F.lit(0)) > 0) | (F.coalesce(comments, F.lit(0)) >= 3), 5)
     total = total - points(F.size(F.array_except(cited, F.array(F.upper(cve_id)))) >= 5, 20)

@@ -13,7 +13,7 @@ STOP_WORDS = {"en": ["the", "and", "of", "to", "in", "is", "that", "for", "with"
 
 def cve_ids(text: Column) -> Column:
     """Distinct CVE ids, upper-cased, in order of first sight."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)CVE-\d{4}-\d{4,7}"), F.lit(0)), F.upper))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)CVE-\d{4}-\d{4,}"), F.lit(0)), F.upper))
 
 
 def slug(text: Column) -> Column:
@@ -186,7 +186,7 @@ def clean_description(value: Column) -> Column:
 def clean_product(value: Column) -> Column:
     """A usable product or vendor of at most 160 characters, or null: no id, no code, no section's title."""
     bare = bare_text(value)
-    return F.when((F.length(bare) <= 160) & ~bare.rlike(r"(?i)CVE-\d{4}-\d{4,7}") & ~_spoiled(value, bare) & ~bare.rlike(SECTION_TITLE), bare)
+    return F.when((F.length(bare) <= 160) & ~bare.rlike(r"(?i)CVE-\d{4}-\d{4,}") & ~_spoiled(value, bare) & ~bare.rlike(SECTION_TITLE), bare)
 
 
 def clean_text(value: Column, least: int = 12) -> Column:

@@ -72,7 +72,7 @@ def organisation(name: Column) -> Column:
 
 def cites_other_id(url: Column, cve_id: Column) -> Column:
     """Whether a url names CVE ids and cve_id isn't among them."""
-    cited = F.transform(F.regexp_extract_all(url, F.lit(r"(?i)CVE-\d{4}-\d{4,7}"), F.lit(0)), F.upper)
+    cited = F.transform(F.regexp_extract_all(url, F.lit(r"(?i)CVE-\d{4}-\d{4,}"), F.lit(0)), F.upper)
     return F.coalesce((F.size(cited) > 0) & ~F.array_contains(cited, F.upper(cve_id)), F.lit(False))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values that must not change: ids, weaknesses, urls, score vectors, CPEs and versions (fixed patterns).
-TECHNICAL = [r"(?i)CVE-\d{4}-\d{4,7}", r"(?i)CWE-\d+", r"(?i)https?://[^\s<>\"')]+", r"CVSS:\d\.\d/[A-Z:/.\d]+", r"(?i)cpe:2\.3:[^\s]+", r"\b\d+\.\d+(?:\.\d+){0,3}\b"]
+TECHNICAL = [r"(?i)CVE-\d{4}-\d{4,}", r"(?i)CWE-\d+", r"(?i)https?://[^\s<>\"')]+", r"CVSS:\d\.\d/[A-Z:/.\d]+", r"(?i)cpe:2\.3:[^\s]+", r"\b\d+\.\d+(?:\.\d+){0,3}\b"]
 
 
 def technical_values(text: Column) -> Column:

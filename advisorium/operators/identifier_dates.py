@@ -20,7 +20,7 @@ LINKED_KEYS = ["name", "headline", "identifier", "about", "@id"]
 XML_TAGS = ["pubdate", "published", "dc:date", "updated", "date", "lastbuilddate"]
 #: How far before and after an id its date may stand, and how much before a date tells what it is (fixed values).
 BEFORE, AFTER, CUE = 120, 1400, 28
-ID = r"CVE-\d{4}-\d{4,7}"
+ID = r"CVE-\d{4}-\d{4,}"
 #: Dates as they are written (fixed patterns).
 DATE = r"\b\d{4}-\d{2}-\d{2}(?!\d)|\b\d{1,2}[/.]\d{1,2}[/.]\d{4}\b|\b\d{1,2}\s+[A-Za-zàâçéèêëîïôûùüÿ]+\s+\d{4}\b|\b[A-Za-z]+\s+\d{1,2},?\s+\d{4}\b"
 

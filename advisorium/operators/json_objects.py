@@ -15,7 +15,7 @@ ALIASES = {
     "vendor": ["vendor", "vendorproject", "issuingcna"], "versions": ["vulnerable_version_range", "affectedversions", "versionaffected"],
     "solution": ["solution", "remediation", "requiredaction", "recommendation", "mitigation", "fix", "fixinformation"],
 }
-ID = r"(?i)CVE-\d{4}-\d{4,7}"
+ID = r"(?i)CVE-\d{4}-\d{4,}"
 #: Keys under which a weakness stands (fixed values).
 WEAKNESS_KEYS = ["cwe", "cweid", "cwe_id"]
 SCHEMA = "cve_id string, title string, description string, severity string, score string, product string, vendor string, versions string, solution string, refs array<string>, weaknesses array<string>, weakness string"

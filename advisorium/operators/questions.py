@@ -29,8 +29,8 @@ class Parsed(NamedTuple):
 def parsed(question: str, today: dt.date) -> Parsed:
     """Ids, severity, least score, period and remaining words of a question."""
     low = question.lower()
-    ids = list(dict.fromkeys(x.upper() for x in re.findall(r"cve-\d{4}-\d{4,7}", low)))
-    tokens = re.findall(r"[^\W_]+", re.sub(r"cve-\d{4}-\d{4,7}", " ", low))
+    ids = list(dict.fromkeys(x.upper() for x in re.findall(r"cve-\d{4}-\d{4,}", low)))
+    tokens = re.findall(r"[^\W_]+", re.sub(r"cve-\d{4}-\d{4,}", " ", low))
     severity = next((name for name, words in SEVERITY_WORDS.items() if any(w in tokens for w in words)), None)
     score = re.search(r"(?:score|cvss)\s*(?:above|>=|over|≥)\s*(\d+(?:\.\d+)?)", low)
     period = dates.period_of(question, today)

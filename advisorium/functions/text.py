@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from advisorium.functions.columns import once
+
 #: Stop words by language, in natural order.
 STOP_WORDS = {"en": ["the", "and", "of", "to", "in", "is", "that", "for", "with", "this"], "fr": ["le", "la", "les", "de", "des", "et", "une", "est", "pour", "que"], "de": ["der", "die", "und", "das", "den", "von", "mit", "ist", "ein", "auf"], "es": ["el", "los", "que", "en", "por", "una", "con", "para", "del", "se"]}
 
@@ -86,10 +89,13 @@ def is_cve_id(text: Column) -> Column:
 
 def holds_any(text: Column, marks: list[str]) -> Column:
     """Whether a text holds any mark, in either case."""
-    low, found = F.lower(text), F.lit(False)
-    for x in marks:
-        found |= low.contains(x.lower())
-    return F.coalesce(found, F.lit(False))
+    def held(low: Column) -> Column:
+        found = F.lit(False)
+        for x in marks:
+            found |= low.contains(x.lower())
+        return F.coalesce(found, F.lit(False))
+
+    return once(F.lower(text), held)
 
 
 def fold_accents(text: Column) -> Column:
@@ -143,56 +149,65 @@ def risk_severity(label: Column) -> Column:
 def bare_text(value: Column) -> Column:
     """A value without tags, which begin with a letter, slash or exclamation mark; entities of presentation decoded, those that can
     carry a payload kept; white space collapsed; null if nothing is left."""
-    out = F.regexp_replace(value, r"<[a-zA-Z/!][^>]{0,80}>", " ")
-    for entity, character in (("&nbsp;", " "), ("&#39;", "'"), ("&apos;", "'")):
-        out = F.replace(out, F.lit(entity), F.lit(character))
-    # numeric entities: what lies between two of them stays, each is read by itself
-    spelled = F.regexp_extract_all(out, F.lit(r"&#(x?[0-9a-fA-F]+);"), F.lit(1))
-    between = F.split(out, r"&#x?[0-9a-fA-F]+;", -1)
-
     def character(x: Column) -> Column:
         code = F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 9), 16, 10)).otherwise(x).try_cast("int")
         over = F.greatest(code - 0x10000, F.lit(0))
         pairs = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(F.concat(F.hex(F.shiftright(over, 10) + 0xD800), F.hex(over % 1024 + 0xDC00)))
         return F.when(code.isNull() | code.isin(34, 38, 60, 62) | (code > 0x10FFFF), F.concat(F.lit("&#"), x, F.lit(";"))).when(code < 32, " ").otherwise(F.decode(F.unhex(pairs), "UTF-16BE"))
 
-    decoded = F.when(F.size(spelled) > 0, F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform(spelled, character), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")).otherwise(out)
-    plain = F.trim(F.regexp_replace(F.when(F.contains(value, F.lit("<")) | F.contains(value, F.lit("&")), decoded).otherwise(value), r"\s+", " "))
-    return F.nullif(plain, F.lit(""))
+    def decoded(out: Column) -> Column:
+        # numeric entities: what lies between two of them stays, each is read by itself
+        spelled = F.regexp_extract_all(out, F.lit(r"&#(x?[0-9a-fA-F]+);"), F.lit(1))
+        between = F.split(out, r"&#x?[0-9a-fA-F]+;", -1)
+        joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform(spelled, character), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+        return F.when(out.rlike(r"&#x?[0-9a-fA-F]+;"), joined).otherwise(out)
+
+    def read(given: Column) -> Column:
+        out = F.regexp_replace(given, r"<[a-zA-Z/!][^>]{0,80}>", " ")
+        for entity, plain in (("&nbsp;", " "), ("&#39;", "'"), ("&apos;", "'")):
+            out = F.replace(out, F.lit(entity), F.lit(plain))
+        marked = F.contains(given, F.lit("<")) | F.contains(given, F.lit("&"))
+        bare = F.trim(F.regexp_replace(F.when(marked, once(out, decoded)).otherwise(given), r"\s+", " "))
+        return once(bare, lambda b: F.nullif(b, F.lit("")))
+
+    return once(value, read)
 
 
 def repeats_like_menu(text: Column, least: int = 8, share: float = 0.4) -> Column:
     """Whether a short text has at least so many words of over two letters, one of which is a share of all or more: sorted, then runs."""
-    words = F.array_sort(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w'-]+"), F.lit(0)), lambda w: F.length(w) > 2))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w'-]+"), F.lit(0)), lambda w: F.length(w) > 2)
     start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
     def step(s: Column, w: Column) -> Column:
         run = F.when(s["word"] == w, s["run"] + 1).otherwise(1)
         return F.struct(w.alias("word"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
 
-    return F.coalesce((F.size(words) >= least) & (F.aggregate(words, start, step)["most"] >= share * F.size(words)), F.lit(False))
+    runs = lambda w: (F.size(w) >= least) & (F.aggregate(F.array_sort(w), start, step)["most"] >= share * F.size(w))
+    return F.coalesce(once(words, runs), F.lit(False))
 
 
 def _spoiled(value: Column, bare: Column) -> Column:
     return holds_any(value, CODE_MARKS) | holds_any(bare, CODE_MARKS) | holds_any(bare, UNSHOWN_MARKS)
 
 
+def _kept(value: Column, fit: Callable[[Column, Column], Column]) -> Column:
+    """The bare text of a value if fit(value, bare text), else null; both are read once."""
+    return once(value, lambda v: once(bare_text(v), lambda b: F.when(fit(v, b), b)))
+
+
 def clean_description(value: Column) -> Column:
     """A usable description of 40 characters or more, or null: no code, no page that was not shown, no frame of a site if under 200."""
-    bare = bare_text(value)
-    return F.when((F.length(bare) >= 40) & ~_spoiled(value, bare) & ~(holds_any(bare, FRAME_MARKS) & (F.length(bare) < 200)), bare)
+    return _kept(value, lambda v, b: (F.length(b) >= 40) & ~_spoiled(v, b) & ~((F.length(b) < 200) & holds_any(b, FRAME_MARKS)))
 
 
 def clean_product(value: Column) -> Column:
     """A usable product or vendor of at most 160 characters, or null: no id, no code, no section's title."""
-    bare = bare_text(value)
-    return F.when((F.length(bare) <= 160) & ~bare.rlike(r"(?i)CVE-\d{4}-\d{4,}") & ~_spoiled(value, bare) & ~bare.rlike(SECTION_TITLE), bare)
+    return _kept(value, lambda v, b: (F.length(b) <= 160) & ~b.rlike(r"(?i)CVE-\d{4}-\d{4,}") & ~_spoiled(v, b) & ~b.rlike(SECTION_TITLE))
 
 
 def clean_text(value: Column, least: int = 12) -> Column:
     """A usable short text of at least so many characters, or null: no code, no frame of a site, no menu."""
-    bare = bare_text(value)
-    return F.when((F.length(bare) >= least) & ~_spoiled(value, bare) & ~holds_any(bare, FRAME_MARKS) & ~repeats_like_menu(bare), bare)
+    return _kept(value, lambda v, b: (F.length(b) >= least) & ~_spoiled(v, b) & ~holds_any(b, FRAME_MARKS) & ~repeats_like_menu(b))
 
 
 def unescaped(value: Column) -> Column:

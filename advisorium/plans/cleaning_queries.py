@@ -83,7 +83,8 @@ _BARE = "trim(regexp_replace(replace(replace(replace(regexp_replace(text, '<[a-z
 @query("clean_descriptions", f"SELECT doc_id, sha256(b) AS digest, length(b)::INTEGER AS n FROM (SELECT doc_id, text, {_BARE} AS b FROM documents) WHERE length(b) >= 40 AND NOT {_holds('text', text.CODE_MARKS)} AND NOT {_holds('b', text.CODE_MARKS + text.UNSHOWN_MARKS)} AND NOT ({_holds('b', text.FRAME_MARKS)} AND length(b) < 200)")
 def clean_descriptions(spark: SparkSession, d: str) -> DataFrame:
     """Usable descriptions among all texts; code, unshown pages and frames give none."""
-    rows = table(spark, d, "documents").select("doc_id", text.clean_description(F.col("text")).alias("b"))
+    # in a generator, so that the filter and both columns don't clean the text anew
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.array(text.clean_description(F.col("text")))).alias("b"))
     return rows.where("b is not null").select("doc_id", F.sha2("b", 256).alias("digest"), F.length("b").alias("n"))
 
 

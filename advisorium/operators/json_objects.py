@@ -26,30 +26,16 @@ def values_alone(json: Column) -> Column:
     return F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"\s*:', "")
 
 
-def id_objects(bodies: DataFrame) -> DataFrame:
-    """bodies (doc, body) as doc, at, json: the objects with an id of the list that has most of them, the first of several; else the whole object.
-
-    Within a list objects keep their order; members of an object are met in the order of their names.
-    """
-    nodes = json_nodes(bodies)
-    whole = nodes.where("kind = 'object'").withColumn("holds", values_alone(F.col("json")).rlike(ID))
-    listed = F.try_element_at("keys", F.lit(-1)).isNull() & (F.size("keys") > 0)
-    members = whole.where("holds").where(listed).select("doc", F.slice("path", 1, F.size("path") - 1).alias("of"), F.try_element_at("path", F.lit(-1)).alias("at"), "json")
-    most = members.groupBy("doc", "of").agg(F.count("*").alias("n")).groupBy(F.col("doc").alias("m_doc")).agg(F.min_by("of", F.struct((-F.col("n")).alias("n"), "of")).alias("m_of"))
-    best = members.join(most, (F.col("doc") == F.col("m_doc")) & (F.col("of") == F.col("m_of"))).select("doc", "at", "json")
-    alone = whole.where("holds").where(F.size("path") == 0).join(most, F.col("doc") == F.col("m_doc"), "left_anti").select("doc", F.lit(0).alias("at"), "json")
-    return best.unionByName(alone)
-
-
 def json_records(bodies: DataFrame, most: int = 12) -> DataFrame:
-    """bodies (doc, body) as a record for each of their id_objects(): doc, at and the columns of SCHEMA.
+    """bodies (doc, body) as a record for each of their objects with an id: doc, at and the columns of SCHEMA.
 
+    Of a text the objects with an id of the list that has most of them count, the first of several lists; else the whole object. Within a
+    list objects keep their order; members of an object are met in the order of their names.
     A field is the first text or number under one of its names, an object's own before those within it; a description in English before
     any other; product and vendor by the first CPE where no field names a product. Texts that are null, no JSON, or nested too deeply, and
     those without an id, give no row. doc must be unique.
     """
-    objects = id_objects(bodies)
-    nodes = json_nodes(objects.select(F.struct("doc", "at").alias("doc"), F.col("json").alias("body")))
+    nodes = json_nodes(bodies)
     entries = F.map_entries("scalars")
     named = lambda keys: F.get(F.filter(entries, lambda e: F.lower(e["key"]).isin(keys) & (e["value"] != "")), F.lit(0))["value"]
     texts = F.coalesce(F.map_values("strings"), F.col("items"), F.array().cast("array<string>"))
@@ -69,12 +55,26 @@ def json_records(bodies: DataFrame, most: int = 12) -> DataFrame:
         "cve_id": F.nullif(F.upper(F.regexp_extract(own(lambda x: x.rlike(ID)), ID, 0)), F.lit("")), "english": F.when((text("lang") == "en") & (value != ""), value),
         "named_weakness": named(WEAKNESS_KEYS), "coded_weakness": coded, "cpe_product": part(4), "cpe_vendor": F.when(~part(3).isin("*", "-", ""), part(3)),
     }
-    rows = nodes.select("doc", "path", *[c.alias(n) for n, c in picked.items()], urls.alias("urls"), F.when(F.size("path") == 0, F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0)))).alias("weaknesses"))
+    # objects that may be records: those of lists, and the whole
+    root = F.size("path") == 0
+    listed = ~root & F.try_element_at("keys", F.lit(-1)).isNull()
+    record = (F.col("kind") == "object") & (root | listed)
+    holds = F.when(record, F.coalesce(values_alone(F.col("json")).rlike(ID), F.lit(False))).otherwise(False)
+    told = F.struct(*[c.alias(n) for n, c in picked.items()], urls.alias("urls"), F.when(record, F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0)))).alias("weaknesses"), holds.alias("holds"))
+    rows = nodes.select("doc", "path", listed.alias("listed"), F.explode(F.array(told)).alias("p")).select("doc", "path", "listed", "p.*")
+    # a text's nodes meet once, by its doc: how many objects with ids a list has, and which list has most
+    own_list = F.when(F.col("holds") & F.col("listed"), F.slice("path", 1, F.size("path") - 1))
+    rows = rows.withColumn("of", own_list).repartition("doc").withColumn("n", F.count("of").over(Window.partitionBy("doc", "of")))
+    rows = rows.withColumn("best", F.min(F.when(F.col("of").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("of").alias("of")))).over(Window.partitionBy("doc"))["of"])
+    # the object that a node lies in
+    top = F.when(F.col("best").isNull(), F.lit(0)).otherwise(F.size("best") + 1)
+    within = F.col("best").isNull() | ((F.size("path") >= top) & (F.slice("path", 1, F.size("best")) == F.col("best")))
+    rows = rows.where(within).withColumn("at", F.when(F.col("best").isNull(), F.lit(0)).otherwise(F.get("path", F.size("best")))).withColumn("is_top", F.size("path") == top)
     first = [F.min_by(n, F.when(F.col(n).isNotNull(), F.col("path"))).alias(n) for n in picked]
-    whole = rows.groupBy("doc").agg(*first, F.array_sort(F.flatten(F.collect_list("urls"))).alias("urls"), F.max("weaknesses").alias("weaknesses"))
+    whole = rows.groupBy("doc", "at").agg(*first, F.array_sort(F.flatten(F.collect_list(F.when(~F.col("is_top"), F.col("urls"))))).alias("urls"), F.max(F.when(F.col("is_top"), F.col("weaknesses"))).alias("weaknesses"), F.max(F.col("is_top") & F.col("holds")).alias("kept")).where("kept")
     named_first = F.when(F.upper("named_weakness").startswith("CWE-"), F.col("named_weakness"))
     out = whole.select(
-        "doc.doc", "doc.at", "cve_id", "title", F.coalesce("english", "description").alias("description"), "severity", "score", F.coalesce("product", "cpe_product").alias("product"),
+        "doc", "at", "cve_id", "title", F.coalesce("english", "description").alias("description"), "severity", "score", F.coalesce("product", "cpe_product").alias("product"),
         F.coalesce("vendor", F.when(F.col("product").isNull(), F.col("cpe_vendor"))).alias("vendor"), "versions", "solution", F.slice(F.array_distinct(F.transform("urls", lambda u: u["url"])), 1, most).alias("refs"),
         "weaknesses", F.coalesce(named_first, "coded_weakness").alias("weakness"),
     )

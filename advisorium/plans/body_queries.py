@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.functions import matching, text, urls
+from advisorium.functions.columns import spread
 from advisorium.operators import json_objects
 from advisorium.plans.registry import query
 from advisorium.plans.text_queries import _state_dir
@@ -25,7 +26,7 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit('"}], "references": [{"url": "https://a/'), event.cast("string"), F.lit('"}, "ftp://c", "https://b", "https://b"]}, {"id": "CVE-2024-'), (20000 + event).cast("string"), F.lit('", "summary": "short"}, {"id": "none"}]}'),
         F.when(F.col("user_id") % 4 == 3, "").otherwise("}"),
     )
-    found = json_objects.json_records(table(spark, d, "events").select(event.alias("doc"), body.alias("body")))
+    found = json_objects.json_records(spread(table(spark, d, "events"), "event_id").select(event.alias("doc"), body.alias("body")))
     return found.select(F.col("doc").alias("event_id"), "cve_id", "title", "description", "severity", "score", "refs", "weaknesses")
 
 

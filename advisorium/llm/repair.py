@@ -1,9 +1,9 @@
 """Operator 11, token ids as binary shards under Re-Pair grammars.
 
 Documents are dealt by ranges of their id, encoded, and gathered in order into shards of about a million ids.
-Each shard has a grammar of its own: frequent pairs of neighbouring symbols become nonterminals, sweep by
-sweep; of a sweep's pairs no two can overlap, so all of them are replaced at once. No pair crosses a document's
-end. A shard keeps its rules, the length that each symbol expands to, its shortened sequence and where documents
+Each shard has a grammar of its own: the most frequent pairs of neighbouring symbols become nonterminals, sweep by
+sweep, until no pair occurs twice; of a sweep's pairs no two can overlap, and none is over twice as frequent as another, so all
+of them are replaced at once, and counts are taken anew. No pair crosses a document's end. A shard keeps its rules, the length that each symbol expands to, its shortened sequence and where documents
 start in it, so any stretch of ids is decoded from the symbols that cover it.
 
 A shard is a row of a Parquet table; numbers in its binary columns are little-endian:
@@ -34,8 +34,8 @@ from advisorium.llm.common import bounded_batches, cut, portions, table
 
 #: Ids of a shard, but for a single document that is longer.
 SHARD = 1 << 20
-#: Least occurrences of a pair in a shard, most rules of a sweep, and sweeps.
-LEAST, SWEEP, SWEEPS = 16, 2048, 3
+#: Least occurrences of a pair in a shard that becomes a rule: Re-Pair ends when no pair occurs twice.
+LEAST = 2
 #: Words that a worker remembers (about 200 bytes each) before it starts anew, and their greatest length.
 REMEMBERED, WORD = 300_000, 64
 #: Texts that need no normalising but lower case, and the pieces that the file's own pattern finds in those (fixed values).
@@ -115,18 +115,18 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def chosen(keys: np.ndarray, wide: int, least: int, most: int) -> np.ndarray:
+def chosen(keys: np.ndarray, wide: int, least: int) -> np.ndarray:
     """The most frequent pairs (left * wide + right), of which no two can overlap: no symbol is the left of one and the right of another.
 
-    A pair of two equal symbols shares its symbol with no other pair. Of equal counts the smaller pair is first. At most
-    most pairs are chosen, among the 2 * most most frequent ones.
+    A pair of two equal symbols shares its symbol with no other pair. Of equal counts the smaller pair is first. Pairs of
+    less than half the first one's count are left to later sweeps, which count anew.
     """
     keys = np.sort(keys)
     bounds = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     starts, ends = np.concatenate(([0], bounds)), np.append(bounds, len(keys))
     counts = ends - starts
-    often = np.flatnonzero(counts >= least)
-    often = often[np.argsort(-counts[often], kind="stable")][: 2 * most]
+    often = np.flatnonzero(counts >= max(least, (int(counts.max()) + 1) // 2))
+    often = often[np.argsort(-counts[often], kind="stable")]
     side: dict[int, int] = {}
     taken = []
     for key in keys[starts[often]].tolist():
@@ -140,29 +140,32 @@ def chosen(keys: np.ndarray, wide: int, least: int, most: int) -> np.ndarray:
         else:
             side[a], side[b] = 1, 2
         taken.append(key)
-        if len(taken) == most:
-            break
     return np.array(sorted(taken), keys.dtype)
 
 
-def grammar(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, sweep: int = SWEEP, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, symbols, ends): ids with frequent pairs replaced; ends are where documents end, in ids and then in symbols.
+def grammar(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, sweeps: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, symbols, ends): ids with repeated pairs replaced, until no pair occurs least times; ends are where documents end, in ids and then in symbols.
 
-    Nonterminals are numbered from base on, in the order of rules. They stay under 65536 where base does, so
-    that symbols keep 16 bits. Sweeps end when no pair occurs least times, or after so many. A pair across two
-    documents may be counted, but is never replaced.
+    Nonterminals are numbered from base on, in the order of rules; symbols have 16 bits while all of them fit, else 32. A pair across
+    two documents is neither counted nor replaced. sweeps ends it after so many; by default only the lack of pairs does.
     """
     wide = 1 << 16 if base <= 1 << 16 else 1 << 31
     kind, key_kind = (np.uint16, np.uint32) if wide == 1 << 16 else (np.uint32, np.uint64)
     symbols, rules, ends = ids.astype(kind), np.zeros((0, 2), kind), ends.astype(np.int64)
-    for _ in range(sweeps):
-        room = wide - base - len(rules)
-        if len(symbols) < 2 or not room:
-            break
+    done = 0
+    while len(symbols) > 1 and done != sweeps:
+        within = np.ones(len(symbols), bool)
+        within[ends - 1] = False
         keys = symbols[:-1].astype(key_kind) * key_kind(wide) + symbols[1:]
-        new = chosen(keys, wide, least, min(sweep, room))
+        own = keys[within[:-1]]
+        new = chosen(own, wide, least) if len(own) else own
         if not len(new):
             break
+        if wide == 1 << 16 and base + len(rules) + len(new) > wide:
+            # more symbols than 16 bits hold: from here on all have 32
+            wide, kind, key_kind = 1 << 31, np.uint32, np.uint64
+            symbols, rules = symbols.astype(kind), rules.astype(kind)
+            continue
         pairs = np.stack([new // key_kind(wide), new % key_kind(wide)], axis=1).astype(kind)
         role = np.zeros(int(symbols.max()) + 1, np.uint8)
         role[pairs[:, 0]] |= 1
@@ -190,6 +193,7 @@ def grammar(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, sw
         inner[:] = True
         inner[at + 1] = False
         symbols = symbols[inner]
+        done += 1
     return rules, symbols, ends
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advisorium.functions import dates, text, urls
+from advisorium.functions.columns import once
 
 #: Labels of lines, in lower case, and the fields that they name (fixed values).
 LINE_LABELS = {
@@ -55,7 +56,7 @@ FIELDS = ["advisory_id", "title", "published_at", "updated_at", "risk_level", "s
 
 def bare(html: Column) -> Column:
     """A piece of HTML as one line of text; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " ")), F.lit(""))
+    return once(F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"\s+", " ")), lambda x: F.nullif(x, F.lit("")))
 
 
 def _key(line: Column) -> Column:
@@ -97,12 +98,20 @@ def inline(html: Column, label: str) -> Column:
     return F.left(F.coalesce(after, said), F.lit(600))
 
 
-def labelled(html: Column, found: Column, labels: list[str]) -> Column:
-    """The first value that is not empty: label by label, of each the definition list, then the table, then the text; found is pairs(html)."""
+def folded(html: Column) -> Column:
+    """A page in a case of its own: it holds every label, in lower case, that a pattern finds in the page in any case."""
+    return F.translate(F.lower(html), "ıſ\u0307", "is")
+
+
+def labelled(html: Column, low: Column, found: Column, labels: list[str]) -> Column:
+    """The first value that is not empty: label by label, of each the definition list, then the table, then the text; low is folded(html), found pairs(html).
+
+    Patterns only read a page that holds their label.
+    """
     def first(label: str, form: int) -> Column:
         return bare(F.get(F.filter(found, lambda p: (p["form"] == form) & (p["label"] == label)), F.lit(0))["value"])
 
-    return F.coalesce(*[x for label in labels for x in (first(label, 0), first(label, 1), inline(html, label))])
+    return F.coalesce(*[x for label in labels for x in (first(label, 0), first(label, 1), F.when(F.contains(low, F.lit(label)), inline(html, label)))])
 
 
 def title(html: Column) -> Column:
@@ -147,14 +156,14 @@ def advisories(pages: DataFrame, now: Column) -> DataFrame:
     none = F.array().cast("array<string>")
     # each step is read several times by the next, so each is a projection of its own
     own = pages.select(F.struct("*").alias("a_doc"), "url", F.coalesce("html", F.lit("")).alias("a_page"))
-    own = own.withColumns({"a_lines": text.text_lines(F.col("a_page")), "a_pairs": pairs(F.col("a_page")), "a_heading": title(F.col("a_page")), "a_host": F.coalesce(urls.host(F.col("url")), F.lit(""))})
+    own = own.withColumns({"a_lines": text.text_lines(F.col("a_page")), "a_pairs": pairs(F.col("a_page")), "a_low": folded(F.col("a_page")), "a_heading": title(F.col("a_page")), "a_host": F.coalesce(urls.host(F.col("url")), F.lit(""))})
     own = own.withColumn("a_found", sections(F.col("a_lines")))
     own = own.withColumns({f"a_{name}": values_of(F.col("a_found"), name) for name in LINE_LABELS})
     lines_of = lambda name: F.col(f"a_{name}")
     joined = lambda name, by=" ": F.nullif(F.trim(F.array_join(lines_of(name), by)), F.lit(""))
     first = lambda name: F.nullif(F.trim(F.get(lines_of(name), F.lit(0))), F.lit(""))
     page = F.col("a_page")
-    or_label = lambda value, name: F.coalesce(value, labelled(page, F.col("a_pairs"), FIELD_LABELS[name]))
+    or_label = lambda value, name: F.coalesce(value, labelled(page, F.col("a_low"), F.col("a_pairs"), FIELD_LABELS[name]))
     number = F.coalesce(F.nullif(F.regexp_extract(page, NUMBER, 0), F.lit("")), F.nullif(F.regexp_extract("url", NUMBER, 0), F.lit("")))
     meta = text.unescaped(F.regexp_extract(page, r"""(?i)<meta[^>]+(?:name|property)=["'](?:description|og:description)["'][^>]+content=["']([^"']+)["']""", 1))
     block = F.coalesce(lines_of("affected_block"), none)
@@ -170,13 +179,13 @@ def advisories(pages: DataFrame, now: Column) -> DataFrame:
     linked = F.filter(F.regexp_extract_all(page, F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1)), outside)
     told = {
         "advisory_id": F.coalesce(first("advisory_id"), F.regexp_replace(number, r"\s+", "")), "title": or_label(F.coalesce(first("title"), F.col("a_heading")), "title"),
-        "a_published_text": F.array(first("published_at"), labelled(page, F.col("a_pairs"), FIELD_LABELS["published_at"])),
-        "a_updated_text": F.array(first("updated_at"), labelled(page, F.col("a_pairs"), FIELD_LABELS["updated_at"])),
+        "a_published_text": F.array(first("published_at"), labelled(page, F.col("a_low"), F.col("a_pairs"), FIELD_LABELS["published_at"])),
+        "a_updated_text": F.array(first("updated_at"), labelled(page, F.col("a_low"), F.col("a_pairs"), FIELD_LABELS["updated_at"])),
         "a_risk": joined("risk_level"), "a_impact_text": or_label(joined("impact", " ; "), "impact"), "a_platform_text": or_label(F.coalesce(joined("platform"), F.get(block, F.lit(0))), "platform"),
         "a_product_text": or_label(F.coalesce(F.col("a_heading"), joined("product")), "product"), "affected_versions": or_label(F.coalesce(joined("product"), F.nullif(F.array_join(block, " ; "), F.lit(""))), "affected_versions"),
         "a_fix": or_label(joined("fixed_version"), "fixed_version"), "a_solution_text": or_label(joined("solution"), "solution"),
         "a_description_text": or_label(F.coalesce(joined("description"), paragraph(F.col("a_lines")), F.nullif(F.trim(meta), F.lit(""))), "description"),
-        "vendor": labelled(page, F.col("a_pairs"), FIELD_LABELS["vendor"]), "cves": F.when(F.size(cited) > 0, cited).otherwise(page_ids(page)), "references": F.slice(F.array_distinct(F.concat(named, linked)), 1, 12), "affected_systems": block,
+        "vendor": labelled(page, F.col("a_low"), F.col("a_pairs"), FIELD_LABELS["vendor"]), "cves": F.when(F.size(cited) > 0, cited).otherwise(page_ids(page)), "references": F.slice(F.array_distinct(F.concat(named, linked)), 1, 12), "affected_systems": block,
     }
     moment = lambda c: F.get(F.filter(F.transform(c, lambda x: dates.parsed_time(x, now)), lambda x: x.isNotNull()), F.lit(0))
     out = own.withColumns(told).withColumns({"a_published": moment("a_published_text"), "a_updated": moment("a_updated_text")})

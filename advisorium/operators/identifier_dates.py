@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advisorium.functions import dates, text
-from advisorium.operators.json_nodes import json_nodes
+from advisorium.functions.columns import once
+from advisorium.operators.json_nodes import json_nodes, levels_of
 
 #: Keys of publication and of change in order of preference, keys that hold an id, and tags of an entry's date (fixed values).
 PUBLISHED_KEYS = ["publisheddate", "datepublished", "published", "date_published", "pubdate", "dateadded", "date_added", "created", "datecreated", "date", "dc:date", "disclosuredate", "releasedate"]
@@ -35,7 +36,7 @@ def any_day(said: Column) -> Column:
     month = lambda p, i: dates.month_number(part(p, i)).cast("string")
     named = F.coalesce(F.when(month(first, 2).isNotNull(), day(part(first, 3), month(first, 2), part(first, 1))), F.when(month(second, 1).isNotNull(), day(part(second, 3), month(second, 1), part(second, 2))))
     found = F.coalesce(iso.try_cast("date").cast("string"), F.when(part(numbers, 3) != "", day(part(numbers, 3), part(numbers, 2), part(numbers, 1))), named)
-    return F.when(F.left(found, F.lit(4)).between("1900", "2100"), found)
+    return once(found, lambda x: F.when(F.left(x, F.lit(4)).between("1900", "2100"), x))
 
 
 def first_of(texts: Column) -> Column:
@@ -61,8 +62,8 @@ def json_dates(bodies: DataFrame) -> DataFrame:
     objects = json_nodes(bodies.select("doc", "body")).where("kind = 'object'")
     cve = F.get(F.filter(F.transform(preferred("strings", ID_KEYS), lambda x: F.upper(F.regexp_extract(x, f"(?i){ID}", 0))), lambda x: x != ""), F.lit(0))
     first_day = lambda keys: first_of(preferred("scalars", keys))
-    keyed = objects
-    found = keyed.select("doc", "path", cve.alias("cve"), first_day(PUBLISHED_KEYS).alias("published"), first_day(MODIFIED_KEYS).alias("modified")).where("cve is not null")
+    keyed = objects.select("doc", "path", "scalars", F.explode(F.array(cve)).alias("cve")).where("cve is not null")
+    found = keyed.select("doc", "path", "cve", first_day(PUBLISHED_KEYS).alias("published"), first_day(MODIFIED_KEYS).alias("modified"))
     return _merged(found, ["path"])
 
 
@@ -72,14 +73,23 @@ def xml_dates(bodies: DataFrame) -> DataFrame:
     each = bodies.select("doc", F.posexplode(entries).alias("at", "entry"))
     tag = lambda name: F.nullif(F.trim(F.regexp_extract("entry", rf"(?is)<\Q{name}\E\b[^>]*>(.*?)</\Q{name}\E>", 1)), F.lit(""))
     cve = F.nullif(F.upper(F.regexp_extract("entry", f"(?i){ID}", 0)), F.lit(""))
-    found = each.select("doc", "at", cve.alias("cve"), first_of(F.array(*[tag(x) for x in XML_TAGS])).alias("published"), first_of(F.array(F.coalesce(tag("updated"), tag("modified")))).alias("modified"))
-    return _merged(found.where("cve is not null"), ["at"])
+    named = each.select("doc", "at", "entry", F.explode(F.array(cve)).alias("cve")).where("cve is not null")
+    found = named.select("doc", "at", "cve", first_of(F.array(*[tag(x) for x in XML_TAGS])).alias("published"), first_of(F.array(F.coalesce(tag("updated"), tag("modified")))).alias("modified"))
+    return _merged(found, ["at"])
 
 
-def linked_dates(bodies: DataFrame) -> DataFrame:
-    """bodies (doc, body) of HTML as doc, cve, published, modified by their blocks of linked data, and the members of a block's @graph."""
-    blocks = bodies.select("doc", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("block", "body"))
-    nodes = json_nodes(blocks.select(F.struct("doc", "block").alias("doc"), "body")).where("kind = 'object'")
+def blocks_of(bodies: DataFrame) -> DataFrame:
+    """bodies (doc, body) of HTML as doc, block, body: their blocks of linked data."""
+    return bodies.select("doc", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("block", "body"))
+
+
+def linked_dates(bodies: DataFrame, levels: int | None = None) -> DataFrame:
+    """bodies (doc, body) of HTML as doc, cve, published, modified by their blocks of linked data, and the members of a block's @graph.
+
+    levels is the depth of the deepest block, or more, where that is known already.
+    """
+    blocks = blocks_of(bodies)
+    nodes = json_nodes(blocks.select(F.struct("doc", "block").alias("doc"), "body"), levels=levels).where("kind = 'object'")
     # the block itself, a member of its list, or of its own or such a member's @graph
     names = F.filter("keys", lambda k: k.isNotNull())
     inner = F.try_element_at("keys", F.lit(-1)).isNull() & (F.size("keys") <= 3)
@@ -87,8 +97,9 @@ def linked_dates(bodies: DataFrame) -> DataFrame:
     look = lambda key: F.try_element_at(F.col("scalars"), F.lit(key))
     blob = F.concat_ws(" ", *[F.coalesce(look(k), F.get_json_object("json", f"$['{k}']")) for k in LINKED_KEYS])
     cve = F.nullif(F.upper(F.regexp_extract(blob, f"(?i){ID}", 0)), F.lit(""))
-    found = nodes.where(top).select("doc.doc", "doc.block", "path", cve.alias("cve"), first_of(F.array(look("datePublished"), look("dateCreated"))).alias("published"), first_of(F.array(look("dateModified"))).alias("modified"))
-    return _merged(found.where("cve is not null"), ["block", "path"])
+    named = nodes.where(top).select("doc", "path", "scalars", F.explode(F.array(cve)).alias("cve")).where("cve is not null")
+    found = named.select("doc.doc", "doc.block", "path", "cve", first_of(F.array(look("datePublished"), look("dateCreated"))).alias("published"), first_of(F.array(look("dateModified"))).alias("modified"))
+    return _merged(found, ["block", "path"])
 
 
 def marks(texts: DataFrame) -> DataFrame:
@@ -139,7 +150,8 @@ def identifier_dates(bodies: DataFrame) -> DataFrame:
     by_xml = xml_dates(told.where("kind = 'xml'")).withColumn("found", F.lit("rss"))
     done = by_json.select("doc").unionAll(by_xml.select("doc")).distinct()
     pages = told.join(done, "doc", "left_anti").select("doc", "body")
-    linked = linked_dates(pages).withColumn("found", F.lit("json_ld"))
+    # the depth of all bodies' blocks, for which no body need be told from the others
+    linked = linked_dates(pages, levels_of(blocks_of(told))).withColumn("found", F.lit("json_ld"))
     near = near_dates(pages.select("doc", F.regexp_replace("body", "<[^>]+>", " ").alias("said"))).select(F.col("doc").alias("n_doc"), F.col("cve").alias("n_cve"), F.col("published").alias("n_published"))
     both = linked.join(near, (F.col("doc") == F.col("n_doc")) & (F.col("cve") == F.col("n_cve")), "full")
     html = both.select(F.coalesce("doc", "n_doc").alias("doc"), F.coalesce("cve", "n_cve").alias("cve"), F.coalesce("published", "n_published").alias("published"), "modified", F.coalesce("found", F.lit("scraping")).alias("found"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from advisorium.functions.columns import spread
 from advisorium.operators import audits, catalogue, grounding
 from advisorium.plans.page_queries import joined
 from advisorium.plans.registry import query
@@ -21,7 +22,7 @@ def audited_records(spark: SparkSession, d: str) -> DataFrame:
     description = F.when(k % 7 == 0, joined("function(", k, "){ return display:none }; some code that was taken for a text")).when(k % 7 == 1, joined("<p>", told, "</p>")).when(k % 7 == 2, joined("** REJECTED ** Rejected reason: a copy of ", k, " was told apart")).when(k % 7 == 3, F.lit(None).cast("string")).when(k % 7 == 4, "too short").otherwise(told)
     solution = F.when(k % 6 == 0, joined("Update boxes&nbsp;to version 1.", k)).when(k % 6 == 1, "Sign in").otherwise(joined("Update boxes to version 1.", k))
     source = F.when(k % 4 == 0, joined("https://maker.example/CVE-2020-", 10001 + k)).when(k % 4 == 1, joined("https://maker.example/", F.lower(cve))).otherwise(joined("https://maker.example/", k))
-    return table(spark, d, "customer").select(
+    return spread(table(spark, d, "customer"), "c_custkey").select(
         cve.alias("cve_id"), refs.alias("references"), day.alias("published_at"), F.when(k % 3 == 0, day).when(k % 3 == 1, F.timestamp_add("DAY", F.lit(1), day)).alias("advisory_published_at"), description.alias("description"), solution.alias("solution"),
         source.alias("official_source_url"), F.lit("verified").alias("validation_status"), F.lit(None).cast("string").alias("cve_status"), k.alias("c_custkey"),
     )
@@ -60,7 +61,7 @@ def copied_records(spark: SparkSession, d: str) -> DataFrame:
     brand = lambda x: joined("brand", F.lpad(x.cast("string"), 2, "0"))
     named = F.when(k % 2 == 1, (n + 1) % 25).otherwise(n)
     empty = F.array().cast("array<string>")
-    return table(spark, d, "customer").select(
+    return spread(table(spark, d, "customer"), "c_custkey").select(
         joined("CVE-2021-", 10000 + k).alias("cve_id"), F.when(k % 9 == 8, F.lit(None).cast("string")).otherwise(F.concat(brand(n), F.lit(" Inc"))).alias("vendor"), F.when(k % 3 == 0, F.concat(brand(n), F.lit(" Suite"))).otherwise("other thing").alias("product"),
         F.lit(None).cast("array<string>").alias("affected_products"), F.array(F.concat(brand(named), F.lit(" OS")), F.when(k % 4 == 0, "any system").otherwise("all systems")).alias("affected_systems"),
         F.concat(F.lit("Élévation de privileges in "), F.upper(brand(named)), F.lit(" boxes")).alias("impact"), F.lit("Apply the update").alias("solution"), F.lit("t").alias("title"), F.lit("d").alias("description"), empty.alias("cpes"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advisorium.functions import official, urls
+from advisorium.functions.columns import spread
 from advisorium.operators import catalogue, similarity
 from advisorium.plans.page_queries import joined
 from advisorium.plans.registry import query
@@ -143,7 +144,7 @@ def official_sources(spark: SparkSession, d: str) -> DataFrame:
         .when(k % 5 == 2, F.array(blog, joined("https://www.cisa.gov/x"), nvd, other)).when(k % 5 == 3, F.array(blog, nvd)).otherwise(F.array(nvd, joined("https://support.", maker, ".com/a"), F.lit("ftp://x")))
     )
     slugs = official.vendor_slugs(F.concat(maker, F.lit(" Labs Inc.")), F.when(k % 3 == 0, F.array(F.lit("Linux Firefox"), F.lit("NVD - CVE-2020-0001"))))
-    rows = table(spark, d, "customer").select("c_custkey", refs.alias("refs"), cve.alias("cve"), maker.alias("vendor"), F.filter(slugs, lambda s: ~s.contains("inc")).alias("own"), F.when(k % 5 == 3, joined(nvd, "/")).alias("collected"))
+    rows = spread(table(spark, d, "customer"), "c_custkey").select("c_custkey", refs.alias("refs"), cve.alias("cve"), maker.alias("vendor"), F.filter(slugs, lambda s: ~s.contains("inc")).alias("own"), F.when(k % 5 == 3, joined(nvd, "/")).alias("collected"))
     own = F.concat(F.col("own"), F.array(F.concat("vendor", F.lit("labs")), F.concat("vendor", F.lit("-labs"))))
     told = rows.withColumn("slugs", F.array_sort(F.array_distinct(own)))
     return told.select("c_custkey", "slugs", official.official_source(F.col("refs"), F.col("slugs"), F.col("cve"), F.col("collected")).alias("source"), official.official_site(F.when(F.col("c_custkey") % 5 == 2, F.slice("refs", 1, 3)).otherwise(F.col("refs")), F.col("slugs"), F.col("vendor")).alias("site"))

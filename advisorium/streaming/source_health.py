@@ -8,19 +8,22 @@ holds only results that can still count. A timer tells, without any input, that
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 #: Hours without a good result, failures, empty results and minutes of delay from which an alert is raised (fixed values).
 STALE_HOURS, RETRIES, EMPTIES, DELAY_MINUTES = 24, 3, 5, 15
 #: How far the watermark is held back, so that no late result is dropped; timers are set back as far, so they follow the newest time.
 LATE_DAYS = 3650
+#: Places of results that a batch holds of one source before it writes those that still count to the state.
+HELD = 10_000
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 #: Alerts and their levels (fixed values).
 LEVELS = {"stale": "critical", "retries": "warning", "empty": "info", "delay": "warning"}
 
@@ -37,69 +40,95 @@ def result_status(detected: Column, error: Column) -> Column:
     return F.coalesce(bad, F.when(detected > 0, "success").otherwise("empty"))
 
 
+def _micros(at: dt.datetime) -> int:
+    since = (at if at.tzinfo else at.replace(tzinfo=dt.UTC)) - EPOCH
+    return (since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds
+
+
 class Health(StatefulProcessor):
-    """One source: its newest result, its last good one, and the failures and empty results that came after."""
+    """One source: its newest result, its last good one, and the failures and empty results that came after.
+
+    A call of the state costs far more than a result, so what a batch itself outdates never gets there: places are held in
+    memory, up to HELD of them, and those that still count at the end are written. All else of a source is one value.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        marks = ["newest_ts", "newest_id", "good_ts", "good_id", "found_ts", "found_id", "step"]
-        self.marks = handle.getValueState("marks", T.StructType([T.StructField(x, T.LongType()) for x in marks]))
-        self.newest = handle.getValueState("newest", T.StructType([T.StructField("status", T.StringType()), T.StructField("error", T.StringType())]))
+        longs = ["newest_ts", "newest_id", "good_ts", "good_id", "found_ts", "found_id", "retries", "empties", "due", "step"]
+        fields = [(x, T.LongType()) for x in longs] + [(x, T.StringType()) for x in ("status", "error")] + [(x, T.BooleanType()) for x in ("on_stale", "on_retries", "on_empty")]
+        self.value = handle.getValueState("source", T.StructType([T.StructField(x, t) for x, t in fields]))
         place = T.StructType([T.StructField("ts", T.LongType()), T.StructField("id", T.LongType())])
         self.failures = handle.getMapState("failures", place, T.StructType([T.StructField("one", T.LongType())]))
         self.empties = handle.getMapState("empties", place, T.StructType([T.StructField("one", T.LongType())]))
-        self.active = handle.getValueState("active", T.StructType([T.StructField(x, T.BooleanType()) for x in ("stale", "retries", "empty")]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        old = self.marks.get() if self.marks.exists() else (None,) * 6 + (0,)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old = self.value.get() or ((None,) * 6 + (0, 0, None, 0, None, None, False, False, False))
         newest, good, found = ((old[i], old[i + 1]) if old[i] is not None else None for i in (0, 2, 4))
-        last = None
-        for chunk in rows:
-            micros = chunk["ts"].astype("datetime64[us]").astype("int64")
-            places = list(zip(micros.tolist(), chunk["id"].astype("int64").tolist(), strict=True))
-            for place, status, error in zip(places, chunk["status"].tolist(), chunk["error"].tolist(), strict=True):
-                if newest is None or place > newest:
-                    newest, last = place, (status, error)
-                if status == "success":
-                    found, good = max(found or place, place), max(good or place, place)
-                elif status == "empty":
-                    good = max(good or place, place)
-                    if found is None or place > found:
-                        self.empties.updateValue(place, (1,))
-                elif good is None or place > good:
-                    self.failures.updateValue(place, (1,))
-        if last:
-            self.newest.update((last[0], last[1] if last[0] in ("failed", "timeout", "parse_error") else None))
-        for state, bound in ((self.failures, good), (self.empties, found)):
-            for place in [tuple(k) for k in state.keys()] if bound else []:
-                if place < bound:
-                    state.removeKey(place)
-        self.marks.update((*(newest or (None, None)), *(good or (None, None)), *(found or (None, None)), old[6] + 1))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = None if good is None else good[0] // 1000 + STALE_HOURS * 3_600_000 + 1 - LATE_DAYS * 86_400_000
-        stale = due is None or due <= timerValues.getCurrentWatermarkInMs()
-        if not stale:
-            self.handle.registerTimer(due)
-        yield self.row(key, stale)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        marks = self.marks.get()
-        self.marks.update((*marks[:6], marks[6] + 1))
-        yield self.row(key, True)
-
-    def row(self, key: Any, stale: bool) -> pd.DataFrame:
-        """The state as it is now, with the alerts that open and close."""
-        marks, (status, error) = self.marks.get(), self.newest.get()
-        retries, empties = sum(1 for _ in self.failures.keys()), sum(1 for _ in self.empties.keys())
+        retries, empties, due, step, status, error = old[6:12]
+        failed, empty, good_then, found_then = set(), set(), good, found
+        for _, number, ts, said, why in rows:
+            place = (_micros(ts), number)
+            if newest is None or place > newest:
+                newest, status, error = place, said, why
+            if said == "success":
+                found, good = max(found or place, place), max(good or place, place)
+            elif said == "empty":
+                good = max(good or place, place)
+                if found is None or place > found:
+                    empty.add(place)
+            elif good is None or place > good:
+                failed.add(place)
+            if len(failed) + len(empty) >= HELD:
+                retries = self.settled(self.failures, retries, failed, good, good_then)
+                empties = self.settled(self.empties, empties, empty, found, found_then)
+                failed, empty, good_then, found_then = set(), set(), good, found
+        retries = self.settled(self.failures, retries, failed, good, good_then)
+        empties = self.settled(self.empties, empties, empty, found, found_then)
+        error = error if status in ("failed", "timeout", "parse_error") else None
+        now = None if good is None else good[0] // 1000 + STALE_HOURS * 3_600_000 + 1 - LATE_DAYS * 86_400_000
+        stale = now is None or now <= timerValues.getCurrentWatermarkInMs()
+        now = None if stale else now
+        if now != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if now is not None:
+                self.handle.registerTimer(now)
+        none = (None, None)
+        yield self.told(key, (*(newest or none), *(good or none), *(found or none), retries, empties, now, step + 1, status, error), stale, old[12:])
+
+    @staticmethod
+    def settled(places: MapState, kept: int, fresh: set[tuple[int, int]], bound: tuple[int, int] | None, before: tuple[int, int] | None) -> int:
+        """How many places the state holds once it has the fresh ones after bound, and no longer any up to it; it held kept after before."""
+        if kept and bound != before:
+            held = [tuple(k) for k in places.keys()]
+            gone = [k for k in held if k <= bound]
+            kept = len(held) - len(gone)
+            if not kept:
+                places.clear()
+            for k in gone if kept else []:
+                places.removeKey(k)
+        known = kept > 0
+        for place in fresh:
+            if (bound is None or place > bound) and not (known and places.containsKey(place)):
+                places.updateValue(place, (1,))
+                kept += 1
+        return kept
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        old = self.value.get()
+        yield self.told(key, (*old[:8], None, old[9] + 1, *old[10:12]), True, old[12:])
+
+    def told(self, key: Any, value: tuple, stale: bool, before: tuple) -> Row:
+        """The state as it is now, which is kept, with the alerts that open and close."""
+        retries, empties = value[6:8]
         now = {"stale": stale, "retries": retries >= RETRIES, "empty": empties >= EMPTIES}
-        before = dict(zip(now, self.active.get() if self.active.exists() else (False,) * 3, strict=True))
-        self.active.update(tuple(now.values()))
-        at = lambda micros: None if micros is None else pd.Timestamp(micros, unit="us")
-        return pd.DataFrame({
-            "source": [key[0]], "status": [status], "retry_count": [retries], "empty_streak": [empties], "last_attempt": [at(marks[0])], "last_good": [at(marks[2])], "last_error": [error],
-            "opened": [[x for x in now if now[x] and not before[x]]], "closed": [[x for x in now if before[x] and not now[x]]], "step": [marks[6]],
-        }).astype({"last_attempt": "datetime64[us]", "last_good": "datetime64[us]"})
+        was = dict(zip(now, before, strict=True))
+        self.value.update((*value, *now.values()))
+        at = lambda micros: None if micros is None else EPOCH + dt.timedelta(microseconds=micros)
+        return Row(
+            source=key[0], status=value[10], retry_count=retries, empty_streak=empties, last_attempt=at(value[0]), last_good=at(value[2]), last_error=value[11],
+            opened=[x for x in now if now[x] and not was[x]], closed=[x for x in now if was[x] and not now[x]], step=value[9],
+        )
 
     def close(self) -> None:
         pass
@@ -114,7 +143,7 @@ def source_health(results: DataFrame) -> DataFrame:
     spark = results.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     told = results.where("source is not null and id is not null and ts is not null").select("source", "id", "ts", "status", "error").withWatermark("ts", f"{LATE_DAYS} days")
-    return told.groupBy("source").transformWithStateInPandas(Health(), FEED, "Update", "EventTime")
+    return told.groupBy("source").transformWithState(Health(), FEED, "Update", "EventTime")
 
 
 def last_states(feed: DataFrame) -> DataFrame:

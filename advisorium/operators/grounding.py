@@ -21,6 +21,11 @@ def missing_values(expected: Column, text: Column) -> Column:
     return F.filter(technical_values(expected), lambda x: ~F.contains(low, F.lower(x)))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows as the right side of a join that deals both sides over tasks: pages shrink so much when written that they would be broadcast, at many times the size."""
+    return rows.hint("merge")
+
+
 def ungrounded(texts: DataFrame, pages: DataFrame) -> DataFrame:
     """texts (id, field, said) with id, field, invented: the technical values that stand in none of an id's pages (id, page).
 
@@ -29,11 +34,11 @@ def ungrounded(texts: DataFrame, pages: DataFrame) -> DataFrame:
     """
     said = texts.select("id", "field", F.explode(technical_values(F.col("said"))).alias("value")).withColumn("low", F.lower("value"))
     own = pages.select(F.col("id").alias("p_id"), F.explode(technical_values(F.col("page"))).alias("p_value")).select("p_id", F.lower("p_value").alias("p_value")).distinct()
-    left = said.join(own, (F.col("id") == F.col("p_id")) & (F.col("low") == F.col("p_value")), "left_anti")
+    left = said.join(_dealt(own), (F.col("id") == F.col("p_id")) & (F.col("low") == F.col("p_value")), "left_anti")
     read = pages.select(F.col("id").alias("p_id"), F.lower("page").alias("p_text"))
-    held = left.join(read, (F.col("id") == F.col("p_id")) & F.contains("p_text", F.col("low")), "left_anti")
+    held = left.join(_dealt(read), (F.col("id") == F.col("p_id")) & F.contains("p_text", F.col("low")), "left_anti")
     lost = held.groupBy(F.col("id").alias("l_id"), F.col("field").alias("l_field")).agg(F.array_sort(F.collect_set("value")).alias("invented"))
-    return texts.join(lost, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("field") == F.col("l_field")), "left").select("id", "field", F.coalesce("invented", F.array().cast("array<string>")).alias("invented"))
+    return texts.join(_dealt(lost), F.col("id").eqNullSafe(F.col("l_id")) & (F.col("field") == F.col("l_field")), "left").select("id", "field", F.coalesce("invented", F.array().cast("array<string>")).alias("invented"))
 
 
 def grounded(drafts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def grounded(drafts: DataFrame, pages: DataFrame) -> DataFrame:
     bad = ungrounded(texts, pages).where(F.size("invented") > 0).groupBy(F.col("id").alias("b_id")).agg(F.collect_set("field").alias("bad"))
     read = pages.groupBy(F.col("id").alias("r_id")).agg(F.count("*").alias("pages"))
     sources = pages.groupBy(F.col("id").alias("s_id"), F.col("url").alias("s_url")).agg(F.min("name").alias("s_name"))
-    both = rows.join(bad, F.col("id") == F.col("b_id"), "left").join(read, F.col("id") == F.col("r_id"), "left").join(sources, (F.col("id") == F.col("s_id")) & (F.col("url") == F.col("s_url")), "left")
+    both = rows.join(_dealt(bad), F.col("id") == F.col("b_id"), "left").join(_dealt(read), F.col("id") == F.col("r_id"), "left").join(_dealt(sources), (F.col("id") == F.col("s_id")) & (F.col("url") == F.col("s_url")), "left")
     fine = lambda f: ~F.coalesce(F.array_contains("bad", f), F.lit(False)) & F.col("pages").isNotNull()
     summary, solution = F.when(fine("summary"), F.col("summary")), F.when(fine("solution") & F.col("s_url").isNotNull(), F.col("solution"))
     silent = F.col("summary").isNull() & F.col("solution").isNull() & F.col("pages").isNotNull() & F.col("url").isNull()

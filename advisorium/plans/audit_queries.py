@@ -111,7 +111,7 @@ def isolation_second_run(spark: SparkSession, d: str) -> DataFrame:
 def read_pages(spark: SparkSession, d: str) -> DataFrame:
     """Two pages that were read for each customer but every eleventh, with versions, ids and urls of its own."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").where(k % 11 != 10).select(k.alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("p"))
+    rows = spread(table(spark, d, "customer"), "c_custkey").where(k % 11 != 10).select(k.alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("p"))
     page = F.when(F.col("p") == 1, joined("Boxes before 2.", F.col("id"), ".1 fall to CVE-2022-", 10000 + F.col("id"), " (CWE-79).")).otherwise(joined("Update to 3.", F.col("id"), " from https://maker.example/get/", F.col("id"), "?v=1"))
     return rows.select("id", joined("https://page", F.col("p"), ".example/", F.col("id")).alias("url"), joined("Page ", F.col("p")).alias("name"), page.alias("page"))
 
@@ -127,7 +127,7 @@ def grounded_drafts(spark: SparkSession, d: str) -> DataFrame:
     summary = F.when(k % 5 == 4, "  ").when(k % 5 == 1, joined("Boxes under 9.", k, ".1 have CVE-2022-", 10000 + k)).otherwise(joined("Boxes under 2.", k, ".1 have CVE-2022-", 10000 + k))
     solution = F.when(k % 5 == 4, F.lit(None).cast("string")).when(k % 4 == 1, joined("Go to 7.", k)).otherwise(joined("Go to 3.", k))
     url = F.when(k % 5 == 4, F.lit(None).cast("string")).when(k % 4 == 2, joined("https://elsewhere.example/", k)).otherwise(joined("https://page2.example/", k))
-    drafts = table(spark, d, "customer").select(k.alias("id"), summary.alias("summary"), solution.alias("solution"), url.alias("url"))
+    drafts = spread(table(spark, d, "customer"), "c_custkey").select(k.alias("id"), summary.alias("summary"), solution.alias("solution"), url.alias("url"))
     return grounding.grounded(drafts, read_pages(spark, d))
 
 

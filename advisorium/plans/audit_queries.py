@@ -137,7 +137,7 @@ def invented_values(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     version = F.when((k % 3 == 0) | (k % 11 == 10), joined("1.", k)).otherwise(joined("2.", k, ".1"))
     said = joined("See cve CVE-2022-", 10000 + k, " under ", version)
-    texts = table(spark, d, "customer").select(k.alias("id"), F.lit("text").alias("field"), said.alias("said"))
+    texts = spread(table(spark, d, "customer"), "c_custkey").select(k.alias("id"), F.lit("text").alias("field"), said.alias("said"))
     return grounding.ungrounded(texts, read_pages(spark, d)).select("id", "invented")
 
 

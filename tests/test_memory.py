@@ -1,7 +1,5 @@
 """Joins and groups whose memory in one task must not follow the table: dealt over tasks, not broadcast or read by one task."""
 
-import pytest
-
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +13,9 @@ def check_dealt(spark, name):
 
 def test_drafts_and_pages_are_dealt(spark):
     check_dealt(spark, "grounded_drafts")
+
+
+def test_texts_and_pages_are_dealt(spark):
+    check_dealt(spark, "invented_values")
+    plan = __spark_entry__.queries()["invented_values"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == plan.count("Relation [c_custkey")

@@ -98,10 +98,16 @@ def corroborated(records: DataFrame) -> DataFrame:
     return records.groupBy("cve_id").agg(F.countDistinct("source_id").alias("n_sources")).where("n_sources > 1")
 
 
-def contamination(records: DataFrame, fields: list[str], least: int) -> DataFrame:
-    """Values of a field that at least so many ids share exactly: field, value, n."""
+def contamination(records: DataFrame, fields: list[str], least: int, tasks: int | None = None) -> DataFrame:
+    """Values of a field that at least so many ids share exactly: field, value, n.
+
+    Nearly every id and value is a pair of its own, so with tasks the pairs are dealt by id over so many and told apart there.
+    """
     pairs = records.select("cve_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("p")).select("cve_id", "p.*")
-    return pairs.where("value is not null").groupBy("field", "value").agg(F.countDistinct("cve_id").alias("n")).where(F.col("n") >= least)
+    pairs = pairs.where("cve_id is not null and value is not null")
+    if tasks:
+        pairs = pairs.repartition(tasks, "cve_id")
+    return pairs.distinct().groupBy("field", "value").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def as_of(records: DataFrame, runs: DataFrame, at: str, key: str, run_at: str) -> DataFrame:

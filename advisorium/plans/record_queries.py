@@ -9,7 +9,7 @@ from advisorium.functions import scoring, text
 from advisorium.operators import catalogue
 from advisorium.operators import records as ops
 from advisorium.plans.registry import query
-from advisorium.sources.tables import NOW, sql, table, vuln_raw
+from advisorium.sources.tables import NOW, sql, table, tasks_for, vuln_raw
 
 SEV = "CASE WHEN cvss_score >= 9 THEN 'critical' WHEN cvss_score >= 7 THEN 'high' WHEN cvss_score >= 4 THEN 'medium' WHEN cvss_score IS NOT NULL THEN 'low' END"
 RANK = f"CASE {SEV} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -244,7 +244,8 @@ def audit_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("contamination_groups", sql("SELECT * FROM (SELECT 'product' AS field, product AS value, count(DISTINCT cve_id) AS n FROM vuln_raw GROUP BY product UNION ALL SELECT 'source_name', source_name, count(DISTINCT cve_id) FROM vuln_raw GROUP BY source_name) WHERE n >= 3"))
 def contamination_groups(spark: SparkSession, d: str) -> DataFrame:
     """Values that at least three ids share exactly."""
-    return ops.contamination(vuln_raw(spark, d), ["product", "source_name"], 3)
+    tasks = tasks_for(spark, d, "lineitem")
+    return ops.contamination(vuln_raw(spark, d, tasks), ["product", "source_name"], 3, tasks)
 
 
 @query("sample_per_source", sql("SELECT source_name, cve_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY seq) AS k FROM vuln_raw) WHERE k <= 3"))

@@ -13,12 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vuln_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows of a table that a task sorts or groups at most, where tasks are counted from the table.
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks to deal a table over, so that a task's memory doesn't follow the table's size: the session's number, or more for a large table. Its rows are counted from the files' footers."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, name).count() // ROWS_A_TASK))
+
+
+def vuln_raw(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Observations of vulnerabilities by sources; several rows of one cve_id are several sightings.
 
     seq is a sortable key of arrival, made of the row's own values: no global numbering, so no global sort.
+    With tasks, the join of the two large tables is dealt over so many.
     """
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if tasks:
+        line, orders = line.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     pad = lambda c, n: F.lpad(F.col(c).cast("bigint").cast("string"), n, "0")
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,25 +17,26 @@ VENDOR_NAMES = {
     "php group": "PHP", "the php group": "PHP", "fortinet": "Fortinet", "sap": "SAP", "atlassian": "Atlassian",
 }
 NO_VENDOR = ["", "n/a", "na", "none", "null", "unknown", "inconnu", "autres", "other", "-"]
-#: Risks by weakness and by pattern of text, in order (fixed values).
+#: Risks by weakness (fixed values).
 WEAKNESS_RISKS = {
     "CWE-79": "Injection de scripts (XSS)", "CWE-89": "Injection SQL", "CWE-352": "Falsification de requête (CSRF)", "CWE-918": "Falsification de requêtes côté serveur (SSRF)",
     "CWE-22": "Traversée de répertoire", "CWE-787": "Écriture hors limites (corruption mémoire)", "CWE-125": "Lecture hors limites", "CWE-862": "Contournement d'autorisation",
     "CWE-287": "Contournement d'authentification", "CWE-269": "Élévation de privilèges", "CWE-400": "Déni de service (épuisement de ressources)", "CWE-502": "Désérialisation non sécurisée",
     "CWE-94": "Injection de code",
 }
+#: Risks by phrases of a text, and by words that must stand alone, in order (fixed values).
 TEXT_RISKS = {
-    r"remote code execution|arbitrary code|\brce\b|code arbitraire|exécution de code": "Exécution de code arbitraire à distance",
-    r"denial of service|\bdos\b|déni de service": "Déni de service",
-    r"information disclosure|sensitive (information|data)|data exposure|divulgation|fuite d": "Divulgation d'informations sensibles",
-    r"privilege escalation|elevation of privilege|escalade de privil|élévation de privil": "Élévation de privilèges",
-    r"cross-site scripting|\bxss\b": "Injection de scripts (XSS)",
-    r"sql injection|injection sql": "Injection SQL",
-    r"server-side request forgery|\bssrf\b": "Falsification de requêtes côté serveur (SSRF)",
-    r"authentication bypass|security bypass|contournement": "Contournement de la politique de sécurité",
-    r"spoofing|usurpation": "Usurpation d'identité",
-    r"buffer overflow|out-of-bounds|dépassement de tampon|hors limites": "Corruption de mémoire",
-}
+    "Exécution de code arbitraire à distance": (["remote code execution", "arbitrary code", "code arbitraire", "exécution de code"], ["rce"]),
+    "Déni de service": (["denial of service", "déni de service"], ["dos"]),
+    "Divulgation d'informations sensibles": (["information disclosure", "sensitive information", "sensitive data", "data exposure", "divulgation", "fuite d"], []),
+    "Élévation de privilèges": (["privilege escalation", "elevation of privilege", "escalade de privil", "élévation de privil"], []),
+    "Injection de scripts (XSS)": (["cross-site scripting"], ["xss"]),
+    "Injection SQL": (["sql injection", "injection sql"], []),
+    "Falsification de requêtes côté serveur (SSRF)": (["server-side request forgery"], ["ssrf"]),
+    "Contournement de la politique de sécurité": (["authentication bypass", "security bypass", "contournement"], []),
+    "Usurpation d'identité": (["spoofing", "usurpation"], []),
+    "Corruption de mémoire": (["buffer overflow", "out-of-bounds", "dépassement de tampon", "hors limites"], []),
+}
 #: Words before which a product's name ends in a line of affected systems (fixed pattern).
 VERSION_WORDS = r"\b(versions?|versoions?|all\s+versions|ant[ée]rieures?|avant|before|prior\s+to|jusqu|[àa]\s+la\s+version)\b|[<>]"
 
@@ -103,10 +107,14 @@ def products_of_lines(lines: Column, most: int = 15) -> Column:
 
 
 def risks(said: Column, weakness: Column, most: int = 8) -> Column:
-    """Distinct risks that a record states: first by the weaknesses it names, then by patterns of its text, in their order."""
+    """Distinct risks that a record states: first by the weaknesses it names, then by phrases and words of its text, in their order.
+
+    A pattern is only tried for a word that the text holds, as it costs far more than looking for that.
+    """
     named = F.transform(F.regexp_extract_all(F.upper(F.coalesce(weakness, F.lit(""))), F.lit(r"CWE-\d+"), F.lit(0)), lambda w: F.try_element_at(F.create_map(*[F.lit(x) for pair in WEAKNESS_RISKS.items() for x in pair]), w))
     low = F.lower(F.concat_ws(" ", said, weakness))
-    read = F.array(*[F.when(low.rlike(f"(?U){pattern}"), F.lit(label)) for pattern, label in TEXT_RISKS.items()])
+    says = lambda phrases, words: reduce(or_, [low.contains(x) for x in phrases] + [low.contains(x) & low.rlike(rf"(?U)\b{x}\b") for x in words])
+    read = F.array(*[F.when(says(*told), F.lit(label)) for label, told in TEXT_RISKS.items()])
     return F.slice(F.array_distinct(F.filter(F.concat(named, read), lambda x: x.isNotNull())), 1, most)
 
 

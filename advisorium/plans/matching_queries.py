@@ -107,7 +107,9 @@ def line_products(spark: SparkSession, d: str) -> DataFrame:
 def risk_labels(spark: SparkSession, d: str) -> DataFrame:
     """Risks by named weaknesses, then by patterns, each once."""
     said = F.when(F.col("is_new") | F.col("solution").isNotNull(), F.concat(F.lit("A Denial of Service in "), "product")).otherwise(F.lit("endoscopy"))
-    return vuln_raw(spark, d).groupBy(matching.risks(said, F.when(F.col("is_new"), "cwe-89, SQL injection, CWE-1")).alias("risks")).agg(F.count("*").alias("n"))
+    weakness = F.when(F.col("is_new"), "cwe-89, SQL injection, CWE-1")
+    told = vuln_raw(spark, d).groupBy(said.alias("said"), weakness.alias("weakness")).agg(F.count("*").alias("n"))  # what is said alike is read once
+    return told.groupBy(matching.risks(F.col("said"), F.col("weakness")).alias("risks")).agg(F.sum("n").alias("n"))
 
 
 @query("neutral_texts", "SELECT conv_id, turn, sha256(left(trim(regexp_replace('[role] [removed]: ' || text, '\\s+', ' ', 'g')), 4000)) AS digest FROM conversations")

@@ -1,4 +1,4 @@
-"""Records out of JSON of any shape, from its nodes as rows."""
+"""Records out of JSON of any shape, by patterns over its text; comments, from its nodes as rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advisorium.functions import text as text_functions
+from advisorium.operators import json_text
 from advisorium.operators.json_nodes import json_nodes
 
 #: Keys by which a record's fields go, in lower case (fixed values).
@@ -15,72 +16,77 @@ ALIASES = {
     "vendor": ["vendor", "vendorproject", "issuingcna"], "versions": ["vulnerable_version_range", "affectedversions", "versionaffected"],
     "solution": ["solution", "remediation", "requiredaction", "recommendation", "mitigation", "fix", "fixinformation"],
 }
-ID = r"(?i)CVE-\d{4}-\d{4,}"
+_ID = r"[Cc][Vv][Ee]-\d{4}-\d{4,}"
+#: A text up to its first id, which is a group; letters and digits of escapes are none of an id's. And one that is no name.
+_TO_ID = rf'"(?:[^"\\Cc]++|(?!{_ID})[Cc]|\\u.{{4}}|\\[^u])*+({_ID})'
+WITH_ID = rf'{_TO_ID}{json_text.CHARS}"(?!:)'
 #: Keys under which a weakness stands (fixed values).
 WEAKNESS_KEYS = ["cwe", "cweid", "cwe_id"]
 SCHEMA = "cve_id string, title string, description string, severity string, score string, product string, vendor string, versions string, solution string, refs array<string>, weaknesses array<string>, weakness string"
 
 
-def values_alone(json: Column) -> Column:
-    """A JSON text without its names, so that a pattern meets values only."""
-    return F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"\s*:', "")
-
-
 def json_records(bodies: DataFrame, most: int = 12) -> DataFrame:
     """bodies (doc, body) as a record for each of their objects with an id: doc, at and the columns of SCHEMA.
 
     Of a text the objects with an id of the list that has most of them count, the first of several lists; else the whole object. Within a
     list objects keep their order; members of an object are met in the order of their names.
     A field is the first text or number under one of its names, an object's own before those within it; a description in English before
-    any other; product and vendor by the first CPE where no field names a product. Texts that are null, no JSON, or nested too deeply, and
-    those without an id, give no row. doc must be unique.
+    any other; product and vendor by the first CPE where no field names a product; urls in the order of the text. Texts that are null, no
+    JSON, or nested too deeply, and those without an id, give no row. A text is read in its row, by patterns: no node of it becomes a row.
     """
-    nodes = json_nodes(bodies)
-    entries = F.map_entries("scalars")
-    named = lambda keys: F.get(F.filter(entries, lambda e: F.lower(e["key"]).isin(keys) & (e["value"] != "")), F.lit(0))["value"]
-    texts = F.coalesce(F.map_values("strings"), F.col("items"), F.array().cast("array<string>"))
-    own = lambda test: F.get(F.filter(texts, test), F.lit(0))
-    text = lambda key: F.try_element_at(F.col("strings"), F.lit(key))
-    cpe = own(lambda x: x.startswith("cpe:2.3:") & (F.size(F.split(x, ":")) >= 5) & ~F.get(F.split(x, ":"), F.lit(4)).isin("*", "-", ""))
-    part = lambda i: F.replace(F.get(F.split(cpe, ":"), F.lit(i)), F.lit("_"), F.lit(" "))
-    value = text("value")
-    coded = F.coalesce(F.when(value.startswith("CWE-") & ~value.contains("Other") & ~F.lower(value).contains("noinfo"), value), F.get(F.filter("items", lambda x: F.upper(x).startswith("CWE-")), F.lit(0)))
-    # urls of a list called references: its texts, and the url of its objects
-    lists = F.lower(F.try_element_at("keys", F.lit(-1))).isin("references", "refs") & (F.col("kind") == "array")
-    member = (F.size("keys") > 1) & F.try_element_at("keys", F.lit(-1)).isNull() & F.lower(F.try_element_at("keys", F.lit(-2))).isin("references", "refs") & (F.col("kind") == "object")
-    url = F.coalesce(F.nullif(text("url"), F.lit("")), text("URL"))
-    urls = F.when(lists, F.transform(F.filter("items", lambda x: x.startswith("http")), lambda x, i: F.struct(F.concat("path", F.array(i)).alias("path"), x.alias("url")))).when(member & url.startswith("http"), F.array(F.struct("path", url.alias("url"))))
-    picked = {name: named(keys) for name, keys in ALIASES.items()}
-    picked |= {
-        "cve_id": F.nullif(F.upper(F.regexp_extract(own(lambda x: x.rlike(ID)), ID, 0)), F.lit("")), "english": F.when((text("lang") == "en") & (value != ""), value),
-        "named_weakness": named(WEAKNESS_KEYS), "coded_weakness": coded, "cpe_product": part(4), "cpe_vendor": F.when(~part(3).isin("*", "-", ""), part(3)),
-    }
-    # objects that may be records: those of lists, and the whole
-    root = F.size("path") == 0
-    listed = ~root & F.try_element_at("keys", F.lit(-1)).isNull()
-    record = (F.col("kind") == "object") & (root | listed)
-    holds = F.when(record, F.coalesce(values_alone(F.col("json")).rlike(ID), F.lit(False))).otherwise(False)
-    told = F.struct(*[c.alias(n) for n, c in picked.items()], urls.alias("urls"), F.when(record, F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0)))).alias("weaknesses"), holds.alias("holds"))
-    rows = nodes.select("doc", "path", listed.alias("listed"), F.explode(F.array(told)).alias("p")).select("doc", "path", "listed", "p.*")
-    # a text's nodes meet once, by its doc: how many objects with ids a list has, and which list has most
-    own_list = F.when(F.col("holds") & F.col("listed"), F.slice("path", 1, F.size("path") - 1))
-    rows = rows.withColumn("of", own_list).repartition("doc").withColumn("n", F.count("of").over(Window.partitionBy("doc", "of")))
-    rows = rows.withColumn("best", F.min(F.when(F.col("of").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("of").alias("of")))).over(Window.partitionBy("doc"))["of"])
-    # the object that a node lies in
-    top = F.when(F.col("best").isNull(), F.lit(0)).otherwise(F.size("best") + 1)
-    within = F.col("best").isNull() | ((F.size("path") >= top) & (F.slice("path", 1, F.size("best")) == F.col("best")))
-    rows = rows.where(within).withColumn("at", F.when(F.col("best").isNull(), F.lit(0)).otherwise(F.get("path", F.size("best")))).withColumn("is_top", F.size("path") == top)
-    first = [F.min_by(n, F.when(F.col(n).isNotNull(), F.col("path"))).alias(n) for n in picked]
-    whole = rows.groupBy("doc", "at").agg(*first, F.array_sort(F.flatten(F.collect_list(F.when(~F.col("is_top"), F.col("urls"))))).alias("urls"), F.max(F.when(F.col("is_top"), F.col("weaknesses"))).alias("weaknesses"), F.max(F.col("is_top") & F.col("holds")).alias("kept")).where("kept")
+    once_a_row = lambda c, name: F.explode(F.array(c)).alias(name)
+    holds = lambda x: x.rlike(WITH_ID)
+    record = lambda x: F.when(x.startswith("{") & holds(x), x)
+    rows = bodies.select("doc", once_a_row(json_text.canonical(F.col("body")), "body")).where(F.col("body").rlike(_ID))
+    # the members of each list with ids, null where they are no records, and the list that has most records
+    lists = F.filter(F.regexp_extract_all("body", F.lit(json_text.LISTS), F.lit(1)), holds)
+    members = F.transform(lists, lambda x: F.transform(F.regexp_extract_all(x, F.lit(json_text.MEMBERS), F.lit(1)), record))
+    counted = F.transform(members, lambda m, i: F.struct(F.size(F.array_compact(m)).alias("n"), (-i).alias("i"), m.alias("members")))
+    rows = rows.select("doc", "body", once_a_row(F.array_max(counted), "best"))
+    rows = rows.select("doc", F.posexplode(F.when(F.col("best.n") > 0, F.col("best.members")).otherwise(F.array(record(F.col("body"))))).alias("at", "json")).where("json is not null")
+    rows = rows.select("doc", "at", "json", once_a_row(json_text.own_first(F.col("json")), "t"))
+
+    text = lambda pattern, t="t": F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    names = lambda keys: f"(?i:{'|'.join(keys)})".replace("k", "[kK]")
+    named = lambda keys: text(rf'":{names(keys)}":"?((?<=:"){json_text.CHARS}|(?<=:)-?\d[^,}}]*+)', "fields")
+    fields = rf'":(?=[A-Za-z]){names([*sum(ALIASES.values(), []), *WEAKNESS_KEYS])}":(?:"(?!"){json_text.CHARS}"|-?\d[^,}}]*+)'
+    unsaid = r"(?:Other|(?i:noinfo))"
+    # each node's first CPE with a product, as far as that
+    part = r'(?:[^":\\]|\\.)*+'
+    cpes = F.regexp_extract_all("t", F.lit(rf'":"(cpe:2\.3:{part}:{part}:(?![*-]?[":]){part}){json_text.CHARS}"(?:,{json_text.OWN})*+'), F.lit(1))
+    found = rows.select("doc", "at", "json", "t", once_a_row(F.array_join(F.regexp_extract_all("t", F.lit(fields), F.lit(0)), ","), "fields")).select(
+        "doc", "at", F.upper(text(rf'":{_TO_ID}')).alias("cve_id"), *[named(keys).alias(name) for name, keys in ALIASES.items()], named(WEAKNESS_KEYS).alias("named_weakness"),
+        text(rf'":lang":"en"(?:,(?!":value":){json_text.OWN})*+,":value":"(?!")({json_text.CHARS})"').alias("english"),
+        text(rf'"(?::value":"(?=CWE-)(?!(?:(?!{unsaid})(?:{json_text.CHAR}))*+{unsaid})|\d{{10}}":"(?=(?i:CWE-)))({json_text.CHARS})').alias("coded_weakness"),
+        F.when(F.col("t").contains("cpe:2.3:"), cpes).alias("cpes"), F.slice(_urls(F.col("t")), 1, most).alias("refs"), F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0))).alias("weaknesses"),
+    )
+    written = [*ALIASES, "named_weakness", "english", "coded_weakness"]
+    told = found.select(*[json_text.said(F.col(x)).alias(x) if x in written else x for x in found.columns])
+    of_cpe = lambda x, i: F.replace(json_text.said(F.get(F.split(x, ":"), F.lit(i))), F.lit("_"), F.lit(" "))
+    with_vendor = F.filter("cpes", lambda x: ~F.get(F.split(x, ":"), F.lit(3)).isin("*", "-", ""))
+    cpe_vendor = F.when(F.col("product").isNull() & F.col("cpes").isNotNull(), of_cpe(F.get(with_vendor, F.lit(0)), 3))
     named_first = F.when(F.upper("named_weakness").startswith("CWE-"), F.col("named_weakness"))
-    out = whole.select(
-        "doc", "at", "cve_id", "title", F.coalesce("english", "description").alias("description"), "severity", "score", F.coalesce("product", "cpe_product").alias("product"),
-        F.coalesce("vendor", F.when(F.col("product").isNull(), F.col("cpe_vendor"))).alias("vendor"), "versions", "solution", F.slice(F.array_distinct(F.transform("urls", lambda u: u["url"])), 1, most).alias("refs"),
-        "weaknesses", F.coalesce(named_first, "coded_weakness").alias("weakness"),
+    out = told.select(
+        "doc", "at", "cve_id", "title", F.coalesce("english", "description").alias("description"), "severity", "score",
+        F.coalesce("product", F.when(F.col("cpes").isNotNull(), of_cpe(F.get("cpes", F.lit(0)), 4))).alias("product"), F.coalesce("vendor", cpe_vendor).alias("vendor"), "versions", "solution", "refs", "weaknesses",
+        F.coalesce(named_first, "coded_weakness").alias("weakness"),
     )
     return out.select("doc", "at", *[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _urls(t: Column) -> Column:
+    """The urls of lists called references in a text of json_text.own_first(), each once: their texts, and the url of their objects."""
+    name = r'"\{:(?i:references|refs)":'
+    lists = F.regexp_extract_all(t, F.lit(name + json_text.NUMBERED), F.lit(1))
+    members = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(json_text.NUMBERED_MEMBERS), F.lit(1))))
+    of = lambda key: rf'\{{(?:(?!":{key}":"){json_text.OWN},)*+":{key}":'
+    said = lambda x, where: F.regexp_extract(x, rf'\A\d{{10}}":{where}"(?!")({json_text.CHARS})', 1)
+    url = lambda x: F.coalesce(F.nullif(said(x, f"(?:{of('url')})?+"), F.lit("")), said(x, of("URL")))
+    placed = F.filter(F.transform(members, lambda x: F.struct(F.substring(x, 1, 10).alias("place"), url(x).alias("url"))), lambda x: x["url"].startswith("http"))
+    urls = F.array_distinct(F.transform(F.array_sort(placed), lambda x: json_text.said(x["url"])))
+    return F.when(t.rlike(name), urls).otherwise(F.array().cast("array<string>"))
+
+
 def comments(threads: DataFrame, posts: int = 3, each: int = 4) -> DataFrame:
     """threads (topic, post, at, body) as topic, post, number, author, said, url: of each topic's first posts by their place (at) the first comments, in the order given.
 

@@ -51,6 +51,7 @@ def json_records(bodies: DataFrame, most: int = 12) -> DataFrame:
     named = lambda keys: text(rf'":{names(keys)}":"?((?<=:"){json_text.CHARS}|(?<=:)-?\d[^,}}]*+)', "fields")
     fields = rf'":(?=[A-Za-z]){names([*sum(ALIASES.values(), []), *WEAKNESS_KEYS])}":(?:"(?!"){json_text.CHARS}"|-?\d[^,}}]*+)'
     unsaid = r"(?:Other|(?i:noinfo))"
+    weaknesses = F.when(F.col("json").contains("CWE-"), F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0)))).otherwise(F.array().cast("array<string>"))
     # each node's first CPE with a product, as far as that
     part = r'(?:[^":\\]|\\.)*+'
     cpes = F.regexp_extract_all("t", F.lit(rf'":"(cpe:2\.3:{part}:{part}:(?![*-]?[":]){part}){json_text.CHARS}"(?:,{json_text.OWN})*+'), F.lit(1))
@@ -58,7 +59,7 @@ def json_records(bodies: DataFrame, most: int = 12) -> DataFrame:
         "doc", "at", F.upper(text(rf'":{_TO_ID}')).alias("cve_id"), *[named(keys).alias(name) for name, keys in ALIASES.items()], named(WEAKNESS_KEYS).alias("named_weakness"),
         text(rf'":lang":"en"(?:,(?!":value":){json_text.OWN})*+,":value":"(?!")({json_text.CHARS})"').alias("english"),
         text(rf'"(?::value":"(?=CWE-)(?!(?:(?!{unsaid})(?:{json_text.CHAR}))*+{unsaid})|\d{{10}}":"(?=(?i:CWE-)))({json_text.CHARS})').alias("coded_weakness"),
-        F.when(F.col("t").contains("cpe:2.3:"), cpes).alias("cpes"), F.slice(_urls(F.col("t")), 1, most).alias("refs"), F.array_distinct(F.regexp_extract_all("json", F.lit(r"CWE-\d+"), F.lit(0))).alias("weaknesses"),
+        F.when(F.col("t").contains("cpe:2.3:"), cpes).alias("cpes"), F.slice(_urls(F.col("t")), 1, most).alias("refs"), weaknesses.alias("weaknesses"),
     )
     written = [*ALIASES, "named_weakness", "english", "coded_weakness"]
     told = found.select(*[json_text.said(F.col(x)).alias(x) if x in written else x for x in found.columns])

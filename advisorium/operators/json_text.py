@@ -42,16 +42,16 @@ NUMBERED_MEMBERS = rf'"[\[{{]?(\d{{10}}":(?:{_ANY})),?+'
 
 
 def canonical(body: Column) -> Column:
-    """A list or object in JSON in the order of its names, without blanks; null for what is none, or nested deeper than DEEPEST."""
+    """A text in JSON in the order of its names, without blanks; null for what is no JSON, or nested deeper than DEEPEST."""
     # a text with few brackets can't be deep, which is told sooner
-    deep = body.rlike(rf"\A(?:[^\[{{]*+[\[{{]){{{DEEPEST + 1}}}") & ~body.rlike(rf"\A\s*+[\[{{]{_INSIDE}[\]}}]")
-    return F.to_json(F.when(~deep & body.rlike(r"\A\s*+[\[{]"), F.try_parse_json(body)))
+    brackets = F.octet_length(body) - F.octet_length(F.replace(F.replace(body, F.lit("["), F.lit("")), F.lit("{"), F.lit("")))
+    return F.to_json(F.when((brackets <= DEEPEST) | body.rlike(rf"\A\s*+[\[{{]{_INSIDE}[\]}}]"), F.try_parse_json(body)))
 
 
 def _numbered(json: Column) -> Column:
     """A text of canonical() with its lists as objects; members' names begin with an escape that JSON doesn't have."""
     # cut after each bracket of a list, and each comma within it
-    pieces = F.regexp_extract_all(json, F.lit(rf'(?:[^"\[\],]++|{_STRING}|\[\]|,(?={_STRING}:))*+(?:[\[\],]|\z)'), F.lit(0))
+    pieces = F.regexp_extract_all(json, F.lit(rf'[^"\[\],]*+(?:(?:{_STRING}|\[\]|,{_STRING}:)[^"\[\],]*+)*+(?:[\[\],]|\z)'), F.lit(0))
 
     def put(x: Column, i: Column) -> Column:
         number = F.concat(F.lit(r'"\~'), (i + 1_000_000_000).cast("string"), F.lit('":'))

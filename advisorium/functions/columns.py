@@ -13,8 +13,8 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def spread(rows: DataFrame, *key: str) -> DataFrame:
-    """rows dealt by a key over all cores: a table in one small file would be one task, however much is made of each row."""
+def spread(rows: DataFrame, *key: str, least: int = 1) -> DataFrame:
+    """rows dealt by a key over all cores, in at least so many tasks: a table in one small file would be one task, however much is made of each row."""
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, least)
     return rows.repartition(parts, *key)

@@ -10,7 +10,7 @@ from advisorium.functions.columns import spread
 from advisorium.operators import json_objects
 from advisorium.plans.registry import query
 from advisorium.plans.text_queries import _state_dir
-from advisorium.sources.tables import table
+from advisorium.sources.tables import table, tasks_for
 from advisorium.streaming import runs, upserts
 
 
@@ -26,7 +26,9 @@ def json_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit('"}], "references": [{"url": "https://a/'), event.cast("string"), F.lit('"}, "ftp://c", "https://b", "https://b"]}, {"id": "CVE-2024-'), (20000 + event).cast("string"), F.lit('", "summary": "short"}, {"id": "none"}]}'),
         F.when(F.col("user_id") % 4 == 3, "").otherwise("}"),
     )
-    found = json_objects.json_records(spread(table(spark, d, "events"), "event_id").select(event.alias("doc"), body.alias("body")))
+    # some 40 s of work a task, so that the last ones keep no core waiting for long
+    events = spread(table(spark, d, "events"), "event_id", least=tasks_for(spark, d, "events", 100_000))
+    found = json_objects.json_records(events.select(event.alias("doc"), body.alias("body")))
     return found.select(F.col("doc").alias("event_id"), "cve_id", "title", "description", "severity", "score", "refs", "weaknesses")
 
 

@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_A_TASK = 500_000
 
 
-def tasks_for(spark: SparkSession, sf_dir: str, name: str) -> int:
+def tasks_for(spark: SparkSession, sf_dir: str, name: str, rows: int = ROWS_A_TASK) -> int:
     """Tasks to deal a table over, so that a task's memory doesn't follow the table's size: the session's number, or more for a large table. Its rows are counted from the files' footers."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, name).count() // ROWS_A_TASK))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, name).count() // rows))
 
 
 def vuln_raw(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:

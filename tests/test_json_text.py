@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from advisorium.operators import json_objects, json_text
 
 ID = re.compile(r"(?i)CVE-\d{4}-\d{4,}", re.A)
@@ -120,6 +121,12 @@ def test_a_text_is_read_in_its_row(spark):
     assert not re.search("Window|Aggregate|Repartition|Join", plan)
 
 
+def test_tasks_follow_the_table(spark, tmp_path):
+    spark.range(450_000).selectExpr("id event_id", "id % 7 user_id").write.parquet(f"{tmp_path}/events.parquet")
+    plan = __spark_entry__.queries()["json_records"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[event_id#\d+L?\], 5\b", plan)
+
+
 def test_own_values_come_first(spark):
     body = '{"z": {"k": [1]}, "a": [{"n": 2.50}, "t", [], [3]], "b": true}'
     row = spark.createDataFrame([(body,)], "body string").select(json_text.own_first(json_text.canonical(F.col("body"))).alias("t")).first()

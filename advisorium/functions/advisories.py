@@ -61,7 +61,8 @@ def bare(html: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """A line as a label: lower case, without white space and colons at its end."""
-    return F.trim(F.regexp_replace(F.lower(F.trim(line)), ":+$", ""))
+    low = F.lower(F.trim(line))
+    return F.trim(F.when(F.contains(line, F.lit(":")), F.regexp_replace(low, ":+$", "")).otherwise(low))
 
 
 def sections(lines: Column) -> Column:
@@ -69,9 +70,13 @@ def sections(lines: Column) -> Column:
     field = F.create_map(*[F.lit(x) for name, labels in LINE_LABELS.items() for label in labels for x in (label, name)])
     stops = [label for labels in LINE_LABELS.values() for label in labels] + FOOT
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), _key(x).alias("key")))
-    ends = F.filter(numbered, lambda x: x["key"].isin(stops))
-    until = lambda i: F.coalesce(F.get(ends, i + 1)["at"], F.size(lines))
-    found = F.transform(ends, lambda x, i: F.struct(F.try_element_at(field, x["key"]).alias("field"), F.slice(lines, x["at"] + 2, F.greatest(until(i) - x["at"] - 1, F.lit(0))).alias("values")))
+
+    def between(ends: Column) -> Column:
+        until = lambda i: F.coalesce(F.get(ends, i + 1)["at"], F.size(lines))
+        return F.transform(ends, lambda x, i: F.struct(F.try_element_at(field, x["key"]).alias("field"), F.slice(lines, x["at"] + 2, F.greatest(until(i) - x["at"] - 1, F.lit(0))).alias("values")))
+
+    # each label asks for the next one: the list of them is made once, not once a label
+    found = once(F.filter(numbered, lambda x: x["key"].isin(stops)), between)
     return F.filter(found, lambda s: s["field"].isNotNull() & (F.size(s["values"]) > 0))
 
 
@@ -81,13 +86,17 @@ def values_of(found: Column, name: str) -> Column:
 
 
 def pairs(html: Column) -> Column:
-    """(form, label, value) of definition lists and of table rows, labels in lower case without a colon, in order of sight."""
-    def read(form: int, pattern: str) -> Column:
+    """(form, label, value) of definition lists and of table rows, labels in lower case without a colon, in order of sight.
+
+    Patterns only read a page that holds the tag that they need.
+    """
+    def read(form: int, tag: str, pattern: str) -> Column:
         labels, values = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
         label = lambda a: F.trim(F.regexp_replace(F.lower(F.trim(F.regexp_replace(a, r"\s+", " "))), r"\s*:$", ""))
-        return F.zip_with(labels, values, lambda a, b: F.struct(F.lit(form).alias("form"), label(a).alias("label"), b.alias("value")))
+        found = F.zip_with(labels, values, lambda a, b: F.struct(F.lit(form).alias("form"), label(a).alias("label"), b.alias("value")))
+        return F.when(~F.contains(F.lower(html), F.lit(tag)), F.array().cast("array<struct<form: int, label: string, value: string>>")).otherwise(found)
 
-    return F.concat(read(0, r"(?is)<dt[^>]*>([^<]*)</dt>\s*<dd[^>]*>(.*?)</dd>"), read(1, r"(?is)<t[hd][^>]*>([^<]*)</t[hd]>\s*<td[^>]*>(.*?)</td>"))
+    return F.concat(read(0, "<dt", r"(?is)<dt[^>]*>([^<]*)</dt>\s*<dd[^>]*>(.*?)</dd>"), read(1, "<td", r"(?is)<t[hd][^>]*>([^<]*)</t[hd]>\s*<td[^>]*>(.*?)</td>"))
 
 
 def inline(html: Column, label: str) -> Column:
@@ -99,19 +108,24 @@ def inline(html: Column, label: str) -> Column:
 
 
 def folded(html: Column) -> Column:
-    """A page in a case of its own: it holds every label, in lower case, that a pattern finds in the page in any case."""
-    return F.translate(F.lower(html), "ıſ\u0307", "is")
+    """A page in a case of its own: it holds every label, in lower case, that inline() finds in the page in any case, and a colon just after it."""
+    low, others = F.lower(html), "ıſ\u0307"
+    some = F.contains(low, F.lit(others[0])) | F.contains(low, F.lit(others[1])) | F.contains(low, F.lit(others[2]))
+    return F.regexp_replace(F.replace(F.when(some, F.translate(low, others, "is")).otherwise(low), F.lit("</"), F.lit(":")), r"\s+:", ":")
 
 
 def labelled(html: Column, low: Column, found: Column, labels: list[str]) -> Column:
     """The first value that is not empty: label by label, of each the definition list, then the table, then the text; low is folded(html), found pairs(html).
 
-    Patterns only read a page that holds their label.
+    Pairs are only searched, and patterns only read a page, where they hold the label.
     """
     def first(label: str, form: int) -> Column:
         return bare(F.get(F.filter(found, lambda p: (p["form"] == form) & (p["label"] == label)), F.lit(0))["value"])
 
-    return F.coalesce(*[x for label in labels for x in (first(label, 0), first(label, 1), F.when(F.contains(low, F.lit(label)), inline(html, label)))])
+    def value(label: str) -> tuple[Column, Column]:
+        return F.when(F.array_contains(found["label"], label), F.coalesce(first(label, 0), first(label, 1))), F.when(F.contains(low, F.lit(f"{label}:")), inline(html, label))
+
+    return F.coalesce(*[x for label in labels for x in value(label)])
 
 
 def title(html: Column) -> Column:
@@ -122,23 +136,26 @@ def title(html: Column) -> Column:
 
 def paragraph(lines: Column) -> Column:
     """The description among lines: of the four before the first label of reference the nearest over 40 characters, else the first line over 60."""
-    keys = F.transform(lines, _key)
-    at = F.array_min(F.filter(F.array(*[F.nullif(F.array_position(keys, x), F.lit(0).cast("long")) for x in ("refer", "référence", "reference")]), lambda x: x.isNotNull()))
     fit = lambda x, n: (F.length(x) > n) & ~_key(x).isin(FOOT)
-    before = F.reverse(F.slice(lines, F.greatest(at - 4, F.lit(1)).cast("int"), F.least(at - 1, F.lit(4)).cast("int")))
-    near = F.get(F.filter(before, lambda x: fit(x, 40)), F.lit(0))
-    return F.coalesce(F.when(at > 1, near), F.get(F.filter(lines, lambda x: fit(x, 60) & ~x.startswith("http")), F.lit(0)))
+
+    def near(at: Column) -> Column:
+        before = F.reverse(F.slice(lines, F.greatest(at - 4, F.lit(1)).cast("int"), F.least(at - 1, F.lit(4)).cast("int")))
+        return F.when(at > 1, F.get(F.filter(before, lambda x: fit(x, 40)), F.lit(0)))
+
+    places = lambda keys: F.array_min(F.filter(F.array(*[F.nullif(F.array_position(keys, x), F.lit(0).cast("long")) for x in ("refer", "référence", "reference")]), lambda x: x.isNotNull()))
+    said = once(once(F.transform(lines, _key), places), near)
+    return F.coalesce(said, F.get(F.filter(lines, lambda x: fit(x, 60) & ~x.startswith("http")), F.lit(0)))
 
 
 def page_ids(html: Column) -> Column:
     """CVE ids within 1500 characters of the first label of ids that has any, else those of the whole page."""
-    low, none = F.lower(html), F.array().cast("array<string>")
-    found = none
-    for label in reversed(ID_LABELS):
-        at = F.instr(low, label)
-        own = F.when(at > 0, text.cve_ids(F.substring(html, at, F.lit(1500))))
-        found = F.when(F.size(F.coalesce(own, none)) > 0, own).otherwise(found)
-    return F.when(F.size(found) > 0, found).otherwise(text.cve_ids(html))
+    def of(low: Column) -> Column:
+        # a label's place is only counted where it is held, and a text after one is only read while no other had ids
+        places = F.filter(F.array(*[F.when(F.contains(low, F.lit(label)), F.instr(low, label)) for label in ID_LABELS]), lambda at: at.isNotNull())
+        near = lambda found, at: F.when(F.size(found) > 0, found).otherwise(text.cve_ids(F.substring(html, at, F.lit(1500))))
+        return F.aggregate(places, F.array().cast("array<string>"), near, lambda found: F.when(F.size(found) > 0, found).otherwise(text.cve_ids(html)))
+
+    return once(F.lower(html), of)
 
 
 def is_portal(html: Column, host: Column) -> Column:
@@ -164,17 +181,21 @@ def advisories(pages: DataFrame, now: Column) -> DataFrame:
     first = lambda name: F.nullif(F.trim(F.get(lines_of(name), F.lit(0))), F.lit(""))
     page = F.col("a_page")
     or_label = lambda value, name: F.coalesce(value, labelled(page, F.col("a_low"), F.col("a_pairs"), FIELD_LABELS[name]))
-    number = F.coalesce(F.nullif(F.regexp_extract(page, NUMBER, 0), F.lit("")), F.nullif(F.regexp_extract("url", NUMBER, 0), F.lit("")))
+    own_number = F.when(F.contains(F.col("a_low"), F.lit("cert")) & F.contains(F.col("a_low"), F.lit("vuln")), F.regexp_extract(page, NUMBER, 0))
+    number = F.coalesce(F.nullif(own_number, F.lit("")), F.nullif(F.regexp_extract("url", NUMBER, 0), F.lit("")))
     meta = text.unescaped(F.regexp_extract(page, r"""(?i)<meta[^>]+(?:name|property)=["'](?:description|og:description)["'][^>]+content=["']([^"']+)["']""", 1))
     block = F.coalesce(lines_of("affected_block"), none)
     cited = text.cve_ids(F.array_join(F.coalesce(lines_of("cve_block"), none), " "))
     named = F.flatten(F.transform(F.coalesce(lines_of("references_block"), none), lambda x: F.regexp_extract_all(x, F.lit(r"""https?://[^\s"'<>]+"""), F.lit(0))))
 
     def outside(x: Column) -> Column:
-        name, social = F.coalesce(urls.host(x), F.lit("")), F.lit(False)
-        for s in SOCIAL:
-            social |= name.contains(s)
-        return x.startswith("http") & (name != F.col("a_host")) & ~social
+        def foreign(name: Column) -> Column:
+            social = F.lit(False)
+            for s in SOCIAL:
+                social |= name.contains(s)
+            return (name != F.col("a_host")) & ~social
+
+        return x.startswith("http") & once(F.coalesce(urls.host(x), F.lit("")), foreign)
 
     linked = F.filter(F.regexp_extract_all(page, F.lit(r"""(?i)href=["']([^"']+)["']"""), F.lit(1)), outside)
     told = {

@@ -57,9 +57,12 @@ def _merged(found: DataFrame, order: list[str]) -> DataFrame:
     return ranked.select("doc", "cve", F.coalesce("dated", "first").alias("d")).select("doc", "cve", "d.published", "d.modified")
 
 
-def json_dates(bodies: DataFrame) -> DataFrame:
-    """bodies (doc, body) of JSON as doc, cve, published, modified: each object with an id under one of its own keys, in depth-first order."""
-    objects = json_nodes(bodies.select("doc", "body")).where("kind = 'object'")
+def json_dates(bodies: DataFrame, levels: int | None = None) -> DataFrame:
+    """bodies (doc, body) of JSON as doc, cve, published, modified: each object with an id under one of its own keys, in depth-first order.
+
+    levels is the depth of the deepest body, or more, where that is known already.
+    """
+    objects = json_nodes(bodies.select("doc", "body"), levels=levels).where("kind = 'object'")
     cve = F.get(F.filter(F.transform(preferred("strings", ID_KEYS), lambda x: F.upper(F.regexp_extract(x, f"(?i){ID}", 0))), lambda x: x != ""), F.lit(0))
     first_day = lambda keys: first_of(preferred("scalars", keys))
     keyed = objects.select("doc", "path", "scalars", F.explode(F.array(cve)).alias("cve")).where("cve is not null")
@@ -78,9 +81,13 @@ def xml_dates(bodies: DataFrame) -> DataFrame:
     return _merged(found, ["at"])
 
 
+def _blocks(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+
+
 def blocks_of(bodies: DataFrame) -> DataFrame:
     """bodies (doc, body) of HTML as doc, block, body: their blocks of linked data."""
-    return bodies.select("doc", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))).alias("block", "body"))
+    return bodies.select("doc", F.posexplode(_blocks(F.col("body"))).alias("block", "body"))
 
 
 def linked_dates(bodies: DataFrame, levels: int | None = None) -> DataFrame:
@@ -103,7 +110,7 @@ def linked_dates(bodies: DataFrame, levels: int | None = None) -> DataFrame:
 
 
 def marks(texts: DataFrame) -> DataFrame:
-    """texts (doc, said) as doc, at, until, mark, before: every id and date of a text with its place, and what stands before it, by running lengths."""
+    """texts (doc, said) as doc, k, at, until, mark, before: every id and date of a text with its number and place, and what stands before it, by running lengths."""
     pattern = rf"(?i:{ID})|{DATE}"
     pieces = texts.select("doc", "said", F.regexp_extract_all("said", F.lit(pattern), F.lit(0)).alias("found"), F.split("said", pattern, -1).alias("gaps"))
     each = pieces.select("doc", F.posexplode(F.arrays_zip(F.col("gaps"), F.col("found"))).alias("k", "z")).select("doc", "k", F.col("z.gaps").alias("gap"), F.col("z.found").alias("mark"))
@@ -111,7 +118,7 @@ def marks(texts: DataFrame) -> DataFrame:
     ends = F.sum(F.length("gap") + F.coalesce(F.length("mark"), F.lit(0))).over(rows)
     # what stands before a mark may reach over the mark before it
     before = F.right(F.concat(F.coalesce(F.lag("gap").over(rows), F.lit("")), F.coalesce(F.lag("mark").over(rows), F.lit("")), F.col("gap")), F.lit(CUE))
-    return each.select("doc", "mark", ends.alias("until"), before.alias("before")).where("mark is not null").withColumn("at", F.col("until") - F.length("mark"))
+    return each.select("doc", "k", "mark", ends.alias("until"), before.alias("before")).where("mark is not null").withColumn("at", F.col("until") - F.length("mark"))
 
 
 def near_dates(texts: DataFrame) -> DataFrame:
@@ -123,20 +130,25 @@ def near_dates(texts: DataFrame) -> DataFrame:
     """
     own = marks(texts)
     is_id = F.col("mark").rlike(f"^(?i:{ID})$")
-    rows = Window.partitionBy("doc").orderBy("at")
-    back, ahead = rows.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("doc").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    # in the order in which marks() has sorted them already
+    rows = Window.partitionBy("doc").orderBy("k")
+    back, ahead = rows.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("doc").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     place = F.when(is_id, F.struct("at", "until"))
     placed = own.select("doc", "at", "mark", "before", is_id.alias("is_id"), F.last(place, ignorenulls=True).over(back).alias("last"), F.last(place, ignorenulls=True).over(ahead).alias("next"))
-    # one row per day that counts: the expressions stand in a generator, so that they are not copied into filters
+    # ids as they are, and one row per day that counts: the expressions stand in a generator, so that they are not copied into filters
     told = F.transform(F.array("mark"), lambda m: F.struct(any_day(m).alias("day"), dates.date_kind(F.col("before")).alias("kind")))
-    day = placed.where("not is_id").select("doc", "at", "last", "next", F.explode(F.filter(told, lambda x: x["day"].isNotNull() & x["kind"].isin("publish", "plain"))).alias("t")).select("doc", "at", "last", "next", "t.*")
-    plain = (F.col("kind") == "plain").cast("int")
-    after = F.when(F.col("at") < F.col("last.at") + AFTER, F.struct(F.col("last.at").alias("of"), plain.alias("rank"), (F.col("at") - F.col("last.at")).alias("far"), F.col("day")))
-    prior = F.when(F.col("at") >= F.col("next.at") - BEFORE, F.struct(F.col("next.at").alias("of"), (plain + 2).alias("rank"), (F.col("next.at") - F.col("at")).alias("far"), F.col("day")))
-    best = day.select("doc", F.explode(F.array_compact(F.array(after, prior))).alias("c")).groupBy("doc", F.col("c.of").alias("of")).agg(F.min(F.struct("c.rank", "c.far", "c.day")).alias("b"))
-    ids = placed.where("is_id").select(F.col("doc").alias("i_doc"), F.col("at").alias("i_at"), F.upper("mark").alias("cve"))
-    met = ids.join(best, (F.col("i_doc") == F.col("doc")) & (F.col("i_at") == F.col("of")), "left")
-    return met.groupBy(F.col("i_doc").alias("doc"), "cve").agg(F.min_by("b.day", F.when(F.col("b").isNotNull(), F.col("i_at"))).alias("published"))
+    days = F.filter(told, lambda x: x["day"].isNotNull() & x["kind"].isin("publish", "plain"))
+    each = placed.select("doc", "at", "mark", "is_id", "last", "next", F.explode(F.when(F.col("is_id"), F.array(F.lit(None).cast("struct<day: string, kind: string>"))).otherwise(days)).alias("t")).select("doc", "at", "mark", "is_id", "last", "next", "t.*")
+    plain, none = (F.col("kind") == "plain").cast("int"), F.lit(None).cast("string")
+    dated = lambda of, rank, far: F.struct(of.alias("of"), none.alias("cve"), F.struct(rank.alias("rank"), far.alias("far"), F.col("day")).alias("b"))
+    own_row = F.when(F.col("is_id"), F.struct(F.col("at").alias("of"), F.upper("mark").alias("cve"), F.lit(None).cast("struct<rank: int, far: bigint, day: string>").alias("b")))
+    after = F.when(~F.col("is_id") & (F.col("at") < F.col("last.at") + AFTER), dated(F.col("last.at"), plain, F.col("at") - F.col("last.at")))
+    prior = F.when(~F.col("is_id") & (F.col("at") >= F.col("next.at") - BEFORE), dated(F.col("next.at"), plain + 2, F.col("next.at") - F.col("at")))
+    # an id and the days that count for it meet by its place, where they are: no part of the texts is read anew to be joined
+    claims = each.select("doc", F.explode(F.array_compact(F.array(own_row, after, prior))).alias("c")).select("doc", "c.*")
+    best = F.when(F.col("doc").isNotNull(), F.min("b").over(Window.partitionBy("doc", "of")))  # without a doc, nothing belongs to an id
+    met = claims.select("doc", "of", "cve", best.alias("b")).where("cve is not null")
+    return met.groupBy("doc", "cve").agg(F.min_by("b.day", F.when(F.col("b").isNotNull(), F.col("of"))).alias("published"))
 
 
 def identifier_dates(bodies: DataFrame) -> DataFrame:
@@ -146,12 +158,15 @@ def identifier_dates(bodies: DataFrame) -> DataFrame:
     by nearness in the visible text for ids that have no published date there. doc must be unique; null bodies give nothing.
     """
     told = bodies.where("body is not null").select("doc", "body", dates.content_kind(F.col("body"), F.col("content_type"), F.col("method")).alias("kind"))
-    by_json = json_dates(told.where("kind = 'json'")).withColumn("found", F.lit("api"))
+    # the depths of JSON and of all bodies' blocks, for which no body need be told from the others, in one reading
+    blocks = F.transform(_blocks(F.col("body")), lambda x: F.struct(F.lit("block").alias("kind"), x.alias("body")))
+    texts = told.select(F.explode(F.concat(F.when(F.col("kind") == "json", F.array(F.struct("kind", "body"))).otherwise(F.array()), blocks)).alias("t")).select("t.*")
+    levels = levels_of(texts, by="kind")
+    by_json = json_dates(told.where("kind = 'json'"), levels.get("json", 0)).withColumn("found", F.lit("api"))
     by_xml = xml_dates(told.where("kind = 'xml'")).withColumn("found", F.lit("rss"))
     done = by_json.select("doc").unionAll(by_xml.select("doc")).distinct()
     pages = told.join(done, "doc", "left_anti").select("doc", "body")
-    # the depth of all bodies' blocks, for which no body need be told from the others
-    linked = linked_dates(pages, levels_of(blocks_of(told))).withColumn("found", F.lit("json_ld"))
+    linked = linked_dates(pages, levels.get("block", 0)).withColumn("found", F.lit("json_ld"))
     near = near_dates(pages.select("doc", F.regexp_replace("body", "<[^>]+>", " ").alias("said"))).select(F.col("doc").alias("n_doc"), F.col("cve").alias("n_cve"), F.col("published").alias("n_published"))
     both = linked.join(near, (F.col("doc") == F.col("n_doc")) & (F.col("cve") == F.col("n_cve")), "full")
     html = both.select(F.coalesce("doc", "n_doc").alias("doc"), F.coalesce("cve", "n_cve").alias("cve"), F.coalesce("published", "n_published").alias("published"), "modified", F.coalesce("found", F.lit("scraping")).alias("found"))

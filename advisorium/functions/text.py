@@ -87,15 +87,18 @@ def is_cve_id(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^CVE-\d{4}-\d{4,}$"), F.lit(False))
 
 
-def holds_any(text: Column, marks: list[str]) -> Column:
-    """Whether a text holds any mark, in either case."""
+def holds_any(text: Column, marks: list[str], stored: bool = False) -> Column:
+    """Whether a text holds any mark, in either case.
+
+    stored tells that the text is a column of its own: then all is compiled, as it stands in no lambda.
+    """
     def held(low: Column) -> Column:
         found = F.lit(False)
         for x in marks:
             found |= low.contains(x.lower())
         return F.coalesce(found, F.lit(False))
 
-    return once(F.lower(text), held)
+    return held(F.lower(text)) if stored else once(F.lower(text), held)
 
 
 def fold_accents(text: Column) -> Column:
@@ -162,36 +165,41 @@ def bare_text(value: Column) -> Column:
         joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.transform(spelled, character), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
         return F.when(out.rlike(r"&#x?[0-9a-fA-F]+;"), joined).otherwise(out)
 
-    def read(given: Column) -> Column:
-        out = F.regexp_replace(given, r"<[a-zA-Z/!][^>]{0,80}>", " ")
+    def entities(out: Column) -> Column:
         for entity, plain in (("&nbsp;", " "), ("&#39;", "'"), ("&apos;", "'")):
             out = F.replace(out, F.lit(entity), F.lit(plain))
-        marked = F.contains(given, F.lit("<")) | F.contains(given, F.lit("&"))
-        bare = F.trim(F.regexp_replace(F.when(marked, once(out, decoded)).otherwise(given), r"\s+", " "))
-        return once(bare, lambda b: F.nullif(b, F.lit("")))
+        return once(out, decoded)
+
+    def read(given: Column) -> Column:
+        untagged = F.when(F.contains(given, F.lit("<")), F.regexp_replace(given, r"<[a-zA-Z/!][^>]{0,80}>", " ")).otherwise(given)
+        plain = once(untagged, lambda x: F.when(F.contains(x, F.lit("&")), entities(x)).otherwise(x))
+        return once(F.trim(F.regexp_replace(plain, r"\s+", " ")), lambda b: F.nullif(b, F.lit("")))
 
     return once(value, read)
 
 
 def repeats_like_menu(text: Column, least: int = 8, share: float = 0.4) -> Column:
-    """Whether a short text has at least so many words of over two letters, one of which is a share of all or more: sorted, then runs."""
+    """Whether a short text has at least so many words of over two letters, one of which is a share of all or more: sorted, a word that
+    often stands again as many places further on."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w'-]+"), F.lit(0)), lambda w: F.length(w) > 2)
-    start = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
 
-    def step(s: Column, w: Column) -> Column:
-        run = F.when(s["word"] == w, s["run"] + 1).otherwise(1)
-        return F.struct(w.alias("word"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+    def again(w: Column) -> Column:
+        run = F.greatest(F.ceil(share * F.size(w)), F.lit(1)).cast("int")
+        return F.size(F.filter(F.slice(w, run, F.size(w)), lambda x, i: x == F.get(w, i))) > 0
 
-    runs = lambda w: (F.size(w) >= least) & (F.aggregate(F.array_sort(w), start, step)["most"] >= share * F.size(w))
+    runs = lambda w: F.when(F.size(w) >= least, once(F.array_sort(w), again)).otherwise(F.lit(False))
     return F.coalesce(once(words, runs), F.lit(False))
 
 
-def _spoiled(value: Column, bare: Column) -> Column:
-    return holds_any(value, CODE_MARKS) | holds_any(bare, CODE_MARKS) | holds_any(bare, UNSHOWN_MARKS)
+def _spoiled(value: Column, bare: Column, more: list[str] = [], stored: bool = False) -> Column:  # noqa: B006
+    # a bare text is searched once for all marks, the value itself only where it says something else
+    return ((value != bare) & holds_any(value, CODE_MARKS, stored)) | holds_any(bare, CODE_MARKS + UNSHOWN_MARKS + more, stored)
 
 
-def _kept(value: Column, fit: Callable[[Column, Column], Column]) -> Column:
-    """The bare text of a value if fit(value, bare text), else null; both are read once."""
+def _kept(value: Column, fit: Callable[[Column, Column], Column], bare: Column | None = None) -> Column:
+    """The bare text of a value if fit(value, bare text), else null; both are read once. bare is the bare text where that and the value are columns of their own."""
+    if bare is not None:
+        return F.when(fit(value, bare), bare)
     return once(value, lambda v: once(bare_text(v), lambda b: F.when(fit(v, b), b)))
 
 
@@ -200,14 +208,16 @@ def clean_description(value: Column) -> Column:
     return _kept(value, lambda v, b: (F.length(b) >= 40) & ~_spoiled(v, b) & ~((F.length(b) < 200) & holds_any(b, FRAME_MARKS)))
 
 
-def clean_product(value: Column) -> Column:
-    """A usable product or vendor of at most 160 characters, or null: no id, no code, no section's title."""
-    return _kept(value, lambda v, b: (F.length(b) <= 160) & ~b.rlike(r"(?i)CVE-\d{4}-\d{4,}") & ~_spoiled(v, b) & ~b.rlike(SECTION_TITLE))
+def clean_product(value: Column, bare: Column | None = None) -> Column:
+    """A usable product or vendor of at most 160 characters, or null: no id, no code, no section's title. bare is bare_text(value) where both are columns."""
+    fit = lambda v, b: (F.length(b) <= 160) & ~b.rlike(r"(?i)CVE-\d{4}-\d{4,}") & ~_spoiled(v, b, stored=bare is not None) & ~b.rlike(SECTION_TITLE)
+    return _kept(value, fit, bare)
 
 
-def clean_text(value: Column, least: int = 12) -> Column:
-    """A usable short text of at least so many characters, or null: no code, no frame of a site, no menu."""
-    return _kept(value, lambda v, b: (F.length(b) >= least) & ~_spoiled(v, b) & ~holds_any(b, FRAME_MARKS) & ~repeats_like_menu(b))
+def clean_text(value: Column, least: int = 12, bare: Column | None = None) -> Column:
+    """A usable short text of at least so many characters, or null: no code, no frame of a site, no menu. bare is bare_text(value) where both are columns."""
+    fit = lambda v, b: (F.length(b) >= least) & ~_spoiled(v, b, FRAME_MARKS, stored=bare is not None) & ~repeats_like_menu(b)
+    return _kept(value, fit, bare)
 
 
 def unescaped(value: Column) -> Column:

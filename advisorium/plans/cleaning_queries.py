@@ -93,7 +93,10 @@ def clean_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields of a record that are an id's title or a menu become null, tags go."""
     product = F.when(F.col("is_new"), F.concat(F.lit("<b>"), "product", F.lit("</b>"))).otherwise(F.concat("cve_id", F.lit(" - Overview, Insights & Trends")))
     solution = F.when(F.col("solution").isNotNull(), F.concat(F.lit("Apply <i>update</i> "), "product")).otherwise("Services Support Back Support Support Home Support Library")
-    return vuln_raw(spark, d).select("seq", text.clean_product(product).alias("product"), text.clean_text(solution).alias("solution"))
+    said = vuln_raw(spark, d).select("seq", product.alias("p"), solution.alias("s"))
+    # the bare texts are columns of their own, so that the marks are looked for in compiled code
+    bare = said.withColumns({"p_bare": text.bare_text(F.col("p")), "s_bare": text.bare_text(F.col("s"))})
+    return bare.select("seq", text.clean_product(F.col("p"), bare=F.col("p_bare")).alias("product"), text.clean_text(F.col("s"), bare=F.col("s_bare")).alias("solution"))
 
 
 @query("decorative_links", f"SELECT page_id, url, (regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) IN ('', '/') AND NOT regexp_matches(url, '\\?.')) OR regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(?i)/(submit|share|sharer|intent/tweet|shareArticle|feed|rss|wp-json|wp-content|wp-includes|xmlrpc\\.php|tag|category|author)(/|$)') OR NOT coalesce(regexp_matches(url, '^https?://'), false) OR {HOST} IS NULL OR {HOST} IN ({_quoted(urls.FRAME_HOSTS)}) AS decorative FROM pages")

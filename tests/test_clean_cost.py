@@ -1,0 +1,58 @@
+"""Fields are cleaned in compiled code and give what they gave before, on null, empty and odd texts too."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from advisorium.functions import text
+
+SF = "/root/testdata/sf0.001"
+ODD = [
+    None, "", " ", "<b></b>", "Apply <i>update</i> 12", "Apply update 12 now", "a &amp;nbsp; text of &#60;style&#62;", "a text&#59; of &#x41;&#x1F600; and &nbsp; more", "a <style> text of code", "plain text function( of code", "FUNC<b>TION(</b> of a text", "we <b>NEWS</b>letter you all",
+    "we newsletter you all", "Enable JavaScript please now", "a < b & c > d in all texts", "tab\tand\nline  of a text", "cve-2020-0001 in a text", "Latest CVEs", "x" * 161, "İSTANBUL text of a field", "support home support back support menu support that", "Support SUPPORT Home Back Library Menu Here That Than This",
+]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_are_looked_for_in_columns(spark):
+    plan = plan_of(__spark_entry__.queries()["clean_fields"](spark, SF))
+    assert "lower(p_bare#" in plan.lower() and "lower(s_bare#" in plan.lower() and plan.count("[a-zA-Z/!]") == 2
+
+
+def test_stored_bare_texts_give_the_same(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(ODD)], "i int, v string").coalesce(1).withColumn("b", text.bare_text(F.col("v")))
+    v, b = F.col("v"), F.col("b")
+    for clean in (text.clean_product, text.clean_text):
+        assert [r.x for r in rows.select(clean(v, bare=b).alias("x")).collect()] == [r.x for r in rows.select(clean(v).alias("x")).collect()]
+    marks = text.CODE_MARKS + text.FRAME_MARKS
+    assert [r.x for r in rows.select(text.holds_any(v, marks, stored=True).alias("x")).collect()] == [r.x for r in rows.select(text.holds_any(v, marks).alias("x")).collect()]
+
+
+def test_odd_texts(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(ODD)], "i int, v string").coalesce(1)
+    got = rows.select(text.bare_text(F.col("v")).alias("b"), text.clean_product(F.col("v")).alias("p"), text.clean_text(F.col("v")).alias("t")).collect()
+    bare = [None, None, None, None, "Apply update 12", "Apply update 12 now", "a &amp;nbsp; text of &#60;style&#62;", "a text; of A😀 and more", "a text of code", "plain text function( of code", "FUNC TION( of a text", "we NEWS letter you all", *ODD[12:15], "tab and line of a text", *ODD[16:]]
+    assert [r.b for r in got] == bare
+    spoiled = {"a text of code", "plain text function( of code", "Enable JavaScript please now"}
+    assert [r.p for r in got] == [None if b in spoiled | {"cve-2020-0001 in a text", "Latest CVEs", "x" * 161} else b for b in bare]
+    menus = {"we newsletter you all", "support home support back support menu support that", "Latest CVEs"}
+    assert [r.t for r in got] == [None if b in spoiled | menus else b for b in bare]
+
+
+def test_menus_by_counting_words(spark):
+    draw = random.Random(7)
+    texts = [" ".join(draw.choices(["one", "two", "Two", "of", "three-x", "l'eau", "été", "...", "six"][: draw.randint(1, 9)], k=draw.randint(0, 40))) for _ in range(400)]
+
+    def menu(t, least, share):
+        words = [w for w in re.findall(r"[\w'-]+", t.lower()) if len(w) > 2]
+        return len(words) >= least and max((words.count(w) for w in words), default=0) >= share * len(words)
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").coalesce(1)
+    for least, share in ((8, 0.4), (1, 0.3), (3, 1.0)):
+        got = [r.m for r in rows.select(text.repeats_like_menu(F.col("t"), least, share).alias("m")).collect()]
+        assert got == [menu(t, least, share) for t in texts] + [False] and any(got)
